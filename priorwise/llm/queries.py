@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorwise.llm import secret_scan, url_filters
+from priorwise.llm import packing, secret_scan, url_filters, warc
+from priorwise.llm.shared import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +28,20 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(warc.plan_records(table(spark, sf_dir, "pages")), path)
+    records = warc.read_archives(spark, path)
+    full = F.col("payload").isNotNull()
+    return records.select(
+        warc.page_number("record_id").alias("page_id"),
+        F.when(full, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+        F.when(full, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        warc.page_number("refers_to").alias("refers_to"),
+    )
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.sql(
         "SELECT * FROM VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), "
@@ -35,12 +52,29 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op3_secret_scan": op3_secret_scan,
+    "op4_warc": op4_warc,
     "op7_url_filters": op7_url_filters,
+    "op9_packing": op9_packing,
 }
 
 ORACLE_SQL = {
+    "op4_warc": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+            FROM pages),
+        m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS kept FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN kept END AS refers_to
+        FROM m""",
     "op7_url_filters": r"""
         WITH parts AS (
             SELECT page_id,
