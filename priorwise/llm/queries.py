@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorwise.llm import packing, secret_scan, url_filters, warc
+from priorwise.llm import packing, secret_scan, simhash, url_filters, warc
 from priorwise.llm.shared import shared_folder
 
 
@@ -58,11 +58,17 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_warc": op4_warc,
     "op7_url_filters": op7_url_filters,
     "op9_packing": op9_packing,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLE_SQL = {
