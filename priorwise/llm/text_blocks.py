@@ -125,12 +125,10 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return poly_hashes(_BYTE_CODES[data], starts, ends, _BYTE_BASE)
 
 
-def covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
-    """Mask of the positions 0..n-1 that spans of one length cover."""
-    edge = np.zeros(n + 1, dtype=np.int32)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + length, n), -1)
-    return np.cumsum(edge[:-1]) > 0
+def covered(n: int, starts: np.ndarray, length: int | np.ndarray) -> np.ndarray:
+    """Mask of the positions 0..n-1 that spans of the given lengths cover."""
+    edge = np.bincount(starts, minlength=n + 1) - np.bincount(np.minimum(starts + length, n), minlength=n + 1)
+    return np.cumsum(edge[:n]) > 0
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
