@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorwise.llm import packing, secret_scan, simhash, substring_dedup, url_filters, warc
+from priorwise.llm import decontamination, packing, secret_scan, simhash, substring_dedup, url_filters, warc
 from priorwise.llm.shared import shared_folder
 
 
@@ -56,6 +56,20 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find_benchmark(docs, table(spark, sf_dir, "benchmark"))
+    listed = F.array_join(F.array_sort(F.transform("hit_items", lambda x: x.cast("string"))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        decontamination.hit_words().alias("n_hit"),
+        F.size("hit_items").cast("long").alias("n_items"),
+        F.sha2(F.encode(listed, "UTF-8"), 256).alias("items_sha256"),
+        (F.size("hit_starts") > 0).alias("contaminated"),
+    )
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -72,6 +86,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_warc": op4_warc,
     "op7_url_filters": op7_url_filters,
+    "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
 }
