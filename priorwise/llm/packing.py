@@ -32,6 +32,8 @@ from priorwise.llm.text_blocks import blocks
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _FIELDS = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 _SENTENCE_ENDS = (".", "!", "?")
+#: marks that are a word piece of their own after letters
+_CLOSERS = tuple(".,;:!?")
 
 
 @dataclass(frozen=True)
@@ -92,23 +94,55 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most_words = most_words
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        #: ids that close a sentence
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closing[[i for token, i in vocabulary.items() if token.removesuffix(suffix or "").endswith(_SENTENCE_ENDS)]] = True
+        self.piece_ends = None
+        if suffix:
+            self.piece_ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.piece_ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.reset()
 
     def reset(self) -> None:
         self.ids: dict[str | None, bytes] = {None: np.array([1], "<u4").tobytes()}
-        self.ends: set[str] = set()
 
     def learn(self, words: list) -> None:
         seen = set(words)
         if len(seen) + len(self.ids) > self.most_words and len(seen - self.ids.keys()) + len(self.ids) > self.most_words:
             self.reset()
         new = list(seen - self.ids.keys())
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        plain = [w for w in new if w.isalpha()]
+        closed = [w for w in new if w[-1:] in _CLOSERS and w[:-1].isalpha()]
+        rest = set(new).difference(plain, closed)
+        rest.update(self._joined(plain, 1))
+        rest.update(self._joined(closed, 2))
+        rest = list(rest)
+        for at in range(0, len(rest), 20_000):
+            part = rest[at : at + 20_000]
             for w, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 self.ids[w] = np.array(found.ids, "<u4").tobytes()
-                if w.endswith(_SENTENCE_ENDS):
-                    self.ends.add(w)
+
+    def _joined(self, words: list[str], pieces: int) -> list[str]:
+        """Learn words that are ``pieces`` word pieces each, many in one text; returns those still to learn.
+
+        The last id of a piece marks its end. A text with more pieces than its
+        words should have (letters that normalise to something else) is left.
+        """
+        left = []
+        if self.piece_ends is None:
+            return words
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.piece_ends[ids]) + 1
+            if len(stops) != pieces * len(part) or stops[-1] != len(ids):
+                left += part
+                continue
+            flat, edges = ids.tobytes(), [0, *(4 * stops[pieces - 1 :: pieces]).tolist()]
+            self.ids.update(zip(part, (flat[a:b] for a, b in zip(edges, edges[1:]))))
+        return left
 
     def stream(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by id 1; ends of words, whether a sentence ends there, ends of texts."""
@@ -122,8 +156,9 @@ class WordTokenizer:
         self.learn(words)
         parts = [self.ids[w] for w in words]
         ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // 4
-        closes = np.fromiter(map(self.ends.__contains__, words), bool, len(words))
-        return np.frombuffer(b"".join(parts), "<u4"), ends, closes, ends[last]
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        closes = self.closing[ids[np.maximum(ends - 1, 0)]]
+        return ids, ends, closes, ends[last]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
