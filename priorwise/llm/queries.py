@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorwise.llm import decontamination, packing, secret_scan, simhash, substring_dedup, url_filters, warc
+from priorwise.llm import decontamination, packing, quality, secret_scan, simhash, substring_dedup, url_filters, warc
 from priorwise.llm.shared import shared_folder
 
 
@@ -46,6 +46,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "lang", "scored_chars", F.exp("log_perplexity").alias("perplexity"), F.exp("limit").alias("limit"), "keep")
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.sql(
         "SELECT * FROM VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), "
@@ -85,6 +90,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_warc": op4_warc,
+    "op5_quality": op5_quality,
     "op7_url_filters": op7_url_filters,
     "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
