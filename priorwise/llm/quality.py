@@ -24,12 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from priorwise.llm.shared import checkpointed
+from priorwise.llm.shared import checkpointed, small
 from priorwise.llm.text_blocks import blocks, ragged
 
-#: rows of the model that a task may hold, and of small tables that are broadcast
+#: rows of the model that a task may hold
 MODEL_ROWS = 4_000_000
-SMALL_ROWS = 4_000_000
 NO_LANGUAGE = "und"
 
 _CODES = np.arange(1 << 16, dtype=np.uint64)
@@ -37,11 +36,6 @@ _CODES[[9, 10, 11, 12, 13, 0x85, 0xA0, 0x2028, 0x2029]] = 32
 _CODES[0x30:0x3A] = 0x30
 
 
-def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``most`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 # ---------------------------------------------------------------- n-grams of texts
 
 

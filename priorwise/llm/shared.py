@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: rows of narrow tables that are broadcast at most
+SMALL_ROWS = 4_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,3 +26,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once and read from files in the shared folder, with its lineage cut."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``most`` rows, else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

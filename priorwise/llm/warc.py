@@ -20,6 +20,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull, StringContains, StringEndsWith, StringStartsWith
+from priorwise.llm.shared import checkpointed, small
 
 CRLF = "\r\n"
 RECORD_END = CRLF + CRLF
@@ -55,7 +56,8 @@ def plan_records(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     the largest page_id is the response and the others revisit it. A null html
     is empty. Rows that repeat the response's page_id are responses too; a null
     page_id is below all others. Only digests that occur more than once are
-    joined back, so unique pages need no partner.
+    joined back; up to a stated number they are broadcast, so that no payload is
+    shuffled, beyond it Spark joins by digest.
     """
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     octets = F.encode("html", "UTF-8")
@@ -68,6 +70,7 @@ def plan_records(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
         .select("payload_digest", "kept")
     )
     revisits = F.col("kept").isNotNull() & ~F.col("kept").eqNullSafe(F.col("page_id")) & (F.col("payload_bytes") >= least_bytes)
+    copies = small(checkpointed(copies))
     return pages.join(copies, "payload_digest", "left").select(
         "page_id",
         "url",
