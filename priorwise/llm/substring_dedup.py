@@ -27,7 +27,7 @@ from priorwise.llm.text_blocks import NOT_SPACE, blocks, covered, poly_hashes, r
 
 SCHEMA = "doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 string, kept string"
 #: bytes of text whose windows a task gathers before it deals them out
-RUN_BYTES = 24 << 20
+RUN_BYTES = 8 << 20
 _BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
 _NO_ID = np.iinfo(np.int64).min
 _U = np.uint64
@@ -268,8 +268,12 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = True) ->
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash(F.coalesce("text", F.lit(""))).alias("mark"))
-    ranges, groups = 4 * parts, 16 * parts
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    # marks tell rows with the same doc_id apart; without such rows none are sent
+    repeated = ids.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    mark = F.hash(F.coalesce("text", F.lit(""))) if repeated else F.lit(0)
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", mark.alias("mark"))
+    ranges, groups = parts, 16 * parts
     dealt = source.mapInArrow(_windows(window, ranges), "part int, payload binary")
     answers = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_repeats(groups), "grp long, payload binary")
     grouped = source.withColumn("grp", F.pmod(F.coalesce("doc_id", F.lit(_NO_ID)), F.lit(groups).cast("long")))
