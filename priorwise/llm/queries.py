@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorwise.llm import decontamination, embedding_dedup, packing, quality, secret_scan, simhash, substring_dedup, url_filters, warc
+from priorwise.llm import decontamination, embedding_dedup, packing, quality, secret_scan, simhash, substring_dedup, suffix_dedup, url_filters, warc
 from priorwise.llm.shared import shared_folder
 
 
@@ -55,6 +55,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "lang", "scored_chars", F.exp("log_perplexity").alias("perplexity"), F.exp("limit").alias("limit"), "keep")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeated_strings(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.sql(
         "SELECT * FROM VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), "
@@ -96,6 +100,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_warc": op4_warc,
     "op5_quality": op5_quality,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_url_filters": op7_url_filters,
     "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,

@@ -23,42 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from priorwise.llm.packed import NO_ID, id_column, pack, unpack
 from priorwise.llm.text_blocks import NOT_SPACE, blocks, covered, poly_hashes, ragged, word_hashes, word_spans
 
 SCHEMA = "doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 string, kept string"
 #: bytes of text whose windows a task gathers before it deals them out
 RUN_BYTES = 8 << 20
 _BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
-_NO_ID = np.iinfo(np.int64).min
 _U = np.uint64
 
 
-def _planes(a: np.ndarray) -> bytes:
-    """Bytes of an array by significance, which compress better than its items."""
-    return a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()
-
-
-def _unplaned(data: memoryview, n: int, dtype: type) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, n).T).view(dtype).ravel()
-
-
-def _pack(**arrays: np.ndarray) -> bytes:
-    head = np.array([len(a) for a in arrays.values()], np.int64)
-    return head.tobytes() + b"".join(_planes(a) for a in arrays.values())
-
-
-def _unpack(data: bytes, **dtypes: type) -> dict[str, np.ndarray]:
-    view = memoryview(data)
-    sizes = np.frombuffer(view[: 8 * len(dtypes)], np.int64)
-    at, out = 8 * len(dtypes), {}
-    for (name, dtype), n in zip(dtypes.items(), sizes.tolist()):
-        width = n * np.dtype(dtype).itemsize
-        out[name] = _unplaned(view[at : at + width], n, dtype)
-        at += width
-    return out
-
-
 _WINDOWS = {"ids": np.int64, "marks": np.int32, "counts": np.uint32, "starts": np.uint32, "hashes": np.uint64, "again": np.uint32, "again_starts": np.uint32}
 _ANSWER = {"ids": np.int64, "marks": np.int32, "counts": np.uint32, "starts": np.uint32}
 
@@ -84,10 +58,6 @@ def _earliest(hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _id_column(rows: pa.RecordBatch) -> np.ndarray:
-    return rows.column("doc_id").fill_null(_NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
 def _windows(window: int, ranges: int):
     def emit(run: list[tuple]) -> Iterator[pa.RecordBatch]:
         at, parts = 0, []
@@ -109,7 +79,7 @@ def _windows(window: int, ranges: int):
             docs, counts = np.unique(doc[new], return_counts=True)
             extra, again = np.unique(doc[old], return_inverse=True)
             known = np.concatenate([docs, extra])
-            payload = _pack(
+            payload = pack(
                 ids=ids[known],
                 marks=marks[known],
                 counts=counts.astype(np.uint32),
@@ -131,7 +101,7 @@ def _windows(window: int, ranges: int):
             h = poly_hashes(codes, at, at + window, _BASES[0])
             part = (poly_hashes(codes, at, at + window, _BASES[1]) % _U(ranges)).astype(np.int32)
             marks = rows.column("mark").to_numpy(zero_copy_only=False).astype(np.int32)
-            held.append((_id_column(rows), marks, doc, at - first[:-1][doc], h, part))
+            held.append((id_column(rows), marks, doc, at - first[:-1][doc], h, part))
             size += len(data)
             if size >= RUN_BYTES:
                 yield from emit(held)
@@ -149,7 +119,7 @@ def _repeats(groups: int):
         ids, marks, doc, start, h, again, again_starts = [], [], [], [], [], [], []
         at = 0
         for payload in payloads:
-            x = _unpack(payload, **_WINDOWS)
+            x = unpack(payload, **_WINDOWS)
             ids.append(x["ids"])
             marks.append(x["marks"])
             doc.append(np.repeat(np.arange(len(x["counts"])), x["counts"]) + at)
@@ -176,7 +146,7 @@ def _repeats(groups: int):
             new = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (m[1:] != m[:-1])]))
             counts = np.diff(np.append(new, e - s)).astype(np.uint32)
             out[0].append(int(group[s]))
-            out[1].append(_pack(ids=i[new], marks=m[new], counts=counts, starts=start[s:e].astype(np.uint32)))
+            out[1].append(pack(ids=i[new], marks=m[new], counts=counts, starts=start[s:e].astype(np.uint32)))
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], ["grp", "payload"])
 
@@ -221,13 +191,13 @@ def _finish(window: int, with_text: bool):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         repeated: dict[tuple[int, int], list[np.ndarray]] = {}
         for payload in answers.column("payload").to_pylist():
-            x = _unpack(payload, **_ANSWER)
+            x = unpack(payload, **_ANSWER)
             for i, m, s in zip(x["ids"].tolist(), x["marks"].tolist(), np.split(x["starts"], np.cumsum(x["counts"])[:-1])):
                 repeated.setdefault((i, m), []).append(s)
         out = []
         for rows, data, offsets in blocks(iter(docs.combine_chunks().to_batches()), "text"):
             starts, ends, first = word_spans(data, offsets, NOT_SPACE)
-            keys = zip(_id_column(rows).tolist(), rows.column("mark").to_pylist())
+            keys = zip(id_column(rows).tolist(), rows.column("mark").to_pylist())
             found = [s.astype(np.int64) + first[k] for k, key in enumerate(keys) for s in repeated.get(key, ())]
             gone = covered(len(starts), np.concatenate(found) if found else np.zeros(0, np.int64), window)
             text, edge = keep_words(data, offsets, starts, ends, first, ~gone)
@@ -276,5 +246,5 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = True) ->
     ranges, groups = parts, 16 * parts
     dealt = source.mapInArrow(_windows(window, ranges), "part int, payload binary")
     answers = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_repeats(groups), "grp long, payload binary")
-    grouped = source.withColumn("grp", F.pmod(F.coalesce("doc_id", F.lit(_NO_ID)), F.lit(groups).cast("long")))
+    grouped = source.withColumn("grp", F.pmod(F.coalesce("doc_id", F.lit(NO_ID)), F.lit(groups).cast("long")))
     return grouped.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_finish(window, with_text), SCHEMA)

@@ -47,7 +47,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BYTE_CODES = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
+BYTE_CODES = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +122,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """64-bit hash of each word's bytes."""
     if not len(starts):
         return np.zeros(0, _U)
-    return poly_hashes(_BYTE_CODES[data], starts, ends, _BYTE_BASE)
+    return poly_hashes(BYTE_CODES[data], starts, ends, _BYTE_BASE)
 
 
 def covered(n: int, starts: np.ndarray, length: int | np.ndarray) -> np.ndarray:
