@@ -19,11 +19,12 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from priorwise.llm.components import components
-from priorwise.llm.shared import checkpointed
+from priorwise.llm.shared import checkpointed, small
 from priorwise.llm.text_blocks import LOWER, NOT_SPACE, blocks, ragged, word_spans
 
 SEED = 42
@@ -76,6 +77,15 @@ def _fingerprint_batches(shingle: int):
     return run
 
 
+def _fingerprint_column(shingle: int, columns: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in blocks(batches, "text"):
+            fp = shingle_fingerprints(data, offsets, shingle).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in columns), pa.array(fp)], [*columns, "__fp"])
+
+    return run
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """``doc_id, fp`` (64 bits as a signed long) of every row; null or empty texts have 0."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprint_batches(shingle), "doc_id long, fp long")
@@ -294,6 +304,15 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
+def _classes(prints: DataFrame, radius: int) -> DataFrame:
+    """``fp, component_id, component``: the smallest doc_id and fingerprint that links reach from each fingerprint."""
+    classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    found = components(near_links(classes, radius), "a", "b").select(F.col("node").alias("fp"), "component")
+    grouped = classes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    smallest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    return grouped.join(smallest, "component").select("fp", "component_id", "component")
+
+
 def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """``doc_id, fp, component_id`` of every row of ``docs`` (doc_id, text).
 
@@ -303,9 +322,24 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFr
     smallest, and a group without any other has a null component.
     """
     prints = checkpointed(fingerprints(docs, shingle))
-    classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = components(near_links(classes, radius), "a", "b").select(F.col("node").alias("fp"), "component")
-    grouped = classes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    smallest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = grouped.join(smallest, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(_classes(prints, radius).drop("component"), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
+    """One row of each group of ``simhash_groups``, with the columns of ``docs``.
+
+    It is the row with the smallest doc_id. Where doc_ids are null or occur
+    more than once, the text's hash decides between rows with the same one, and
+    rows with an id come before rows without.
+    """
+    prints = checkpointed(fingerprints(docs, shingle))
+    classes = _classes(prints, radius)
+    unclear = prints.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").limit(1).count() > 0
+    if not unclear:
+        first = small(checkpointed(classes.select(F.col("component_id").alias("doc_id")).distinct()))
+        return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    schema = T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])
+    marked = docs.mapInArrow(_fingerprint_column(shingle, docs.columns), schema)
+    marked = marked.join(classes.select(F.col("fp").alias("__fp"), F.col("component").alias("__group")), "__fp")
+    order = Window.partitionBy("__group").orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "__fp")
+    return marked.withColumn("__rank", F.row_number().over(order)).where("__rank = 1").select(*docs.columns)
