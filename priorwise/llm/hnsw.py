@@ -151,21 +151,28 @@ class Hnsw:
         return ids, sims
 
     def within(self, queries: np.ndarray, least: float, width: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) with a similarity of at least ``least``; beams that fill with such nodes are doubled."""
-        out_q, out_n = [], []
+        """(query, node) with a similarity of at least ``least``.
+
+        A beam that fills with such nodes may miss more of them; widening it to
+        the whole group would visit every member anyway, so those queries are
+        compared with the shard in one product.
+        """
+        out_q, out_n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         n = len(self.x)
+        beam = min(width, n)
         for k in range(0, len(queries), block):
-            todo, beam = np.arange(k, min(k + block, len(queries))), min(width, n)
-            while len(todo):
-                some = queries[todo]
-                ids, sims = self._beam(some, self._descend(some, 0), 0, beam)
-                full = (sims.min(1) >= least) & (beam < n)
-                rows, cols = np.nonzero((sims >= least) & ~full[:, None])
-                out_q.append(todo[rows])
-                out_n.append(ids[rows, cols])
-                todo, beam = todo[full], min(2 * beam, n)
-        none = np.zeros(0, np.int64)
-        return np.concatenate([none, *out_q]), np.concatenate([none, *out_n])
+            some = queries[k : k + block]
+            ids, sims = self._beam(some, self._descend(some, 0), 0, beam)
+            full = (sims.min(1) >= least) & (beam < n)
+            rows, cols = np.nonzero((sims >= least) & ~full[:, None])
+            out_q.append(rows + k)
+            out_n.append(ids[rows, cols])
+            dense = np.flatnonzero(full)
+            for at in range(0, n if len(dense) else 0, 1 << 15):
+                rows, cols = np.nonzero(some[dense] @ self.x[at : at + (1 << 15)].T >= least)
+                out_q.append(dense[rows] + k)
+                out_n.append(cols + at)
+        return np.concatenate(out_q), np.concatenate(out_n)
 
     def fitting_beam(self, least: float, sample: np.ndarray, recall: float, width: int = 32) -> tuple[int, float]:
         """Smallest doubled beam whose recall of the sampled nodes' links, themselves included, passes."""
