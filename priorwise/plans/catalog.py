@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from priorwise.plans import window_queries
+from priorwise.plans import pair_queries, window_queries
+from priorwise.plans.views import nudged
 
-_FAMILIES = (window_queries,)
+_FAMILIES = (window_queries, pair_queries)
 
 QUERIES = {name: query for family in _FAMILIES for name, query in family.QUERIES.items()}
-ORACLE_SQL = {name: sql for family in _FAMILIES for name, sql in family.ORACLE_SQL.items()}
+ORACLE_SQL = {name: nudged(sql) for family in _FAMILIES for name, sql in family.ORACLE_SQL.items()}

@@ -13,7 +13,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def rounded(c: Column, digits: int = 6) -> Column:
-    return F.round(c.cast("double"), digits)
+    """Rounded with half-way values nudged up, so that two engines round them alike."""
+    return F.round(c.cast("double") + 10.0 ** -(digits + 3), digits)
+
+
+def nudged(sql: str) -> str:
+    """SQL whose ``round(x, digits)`` calls nudge half-way values as ``rounded`` does."""
+    out, at = [], 0
+    while (start := sql.find("round(", at)) >= 0:
+        depth, commas, k = 1, [], start + 6
+        while depth:
+            depth += {"(": 1, "[": 1, ")": -1, "]": -1}.get(sql[k], 0)
+            if sql[k] == "," and depth == 1:
+                commas.append(k)
+            k += 1
+        value, digits = sql[start + 6 : commas[-1]], int(sql[commas[-1] + 1 : k - 1])
+        out += [sql[at:start], f"round(CAST({nudged(value)} AS DOUBLE) + 1e-{digits + 3}, {digits})"]
+        at = k
+    return "".join(out) + sql[at:]
 
 
 #: orders of a customer in time; the key breaks ties of the date
