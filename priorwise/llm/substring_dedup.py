@@ -243,7 +243,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = True) ->
     repeated = ids.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     mark = F.hash(F.coalesce("text", F.lit(""))) if repeated else F.lit(0)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", mark.alias("mark"))
-    ranges, groups = parts, 16 * parts
+    ranges, groups = parts, 2 * parts
     dealt = source.mapInArrow(_windows(window, ranges), "part int, payload binary")
     answers = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_repeats(groups), "grp long, payload binary")
     grouped = source.withColumn("grp", F.pmod(F.coalesce("doc_id", F.lit(NO_ID)), F.lit(groups).cast("long")))
