@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 SUFFIXES = ("jr", "sr", "ii", "iii", "iv")
 
 
-@F.pandas_udf("string")
-def fold_accents(names: pd.Series) -> pd.Series:
-    """Letters without their accents, other characters beyond ASCII dropped; Spark SQL has no such function."""
+def _fold(names: pd.Series) -> pd.Series:
     return names.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
 
 
+def fold_accents(name: Column) -> Column:
+    """Letters without their accents, other characters beyond ASCII dropped; Spark SQL has no such function."""
+    return F.pandas_udf(_fold, "string")(name)
+
+
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 

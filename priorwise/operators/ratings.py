@@ -100,7 +100,7 @@ def elo_by_period(contests: DataFrame, period: Column, rule: EloRule = EloRule()
 
     Suits one pool of any size: each period is a join and an aggregation.
     """
-    c = _prepared(contests).withColumn("period", period).where("won_a IS NOT NULL")
+    c = checkpointed(_prepared(contests).withColumn("period", period).where("won_a IS NOT NULL"))
     periods = [r.period for r in c.select("period").distinct().orderBy("period").limit(most_periods + 1).collect()]
     if len(periods) > most_periods:
         raise ValueError(f"more than {most_periods} periods")
@@ -111,13 +111,13 @@ def elo_by_period(contests: DataFrame, period: Column, rule: EloRule = EloRule()
         of = lambda side: ratings.select("pool", F.col("id").alias(f"{side}_id"), F.col("rating").alias(f"{side}_r"))
         start = lambda side: F.coalesce(f"{side}_r", F.lit(rule.start) + F.col(f"{side}_seed"))
         games = now.join(of("a"), ["pool", "a_id"], "left").join(of("b"), ["pool", "b_id"], "left").withColumns({"a_pre": start("a"), "b_pre": start("b")})
+        games = checkpointed(games)
         expected = 1 / (1 + F.pow(F.lit(10.0), (F.col("b_pre") - F.col("a_pre")) / rule.scale))
         gain = rule.k * F.col("weight") * (F.col("won_a") - expected)
         moves = F.explode(F.array(F.struct(F.col("a_id").alias("id"), F.col("a_pre").alias("pre"), gain.alias("d")), F.struct(F.col("b_id").alias("id"), F.col("b_pre").alias("pre"), (-gain).alias("d"))))
         new = games.select("pool", moves.alias("m")).groupBy("pool", "m.id").agg((F.first("m.pre") + F.sum("m.d")).alias("rating"))
         ratings = ratings.join(new, ["pool", "id"], "left_anti").unionByName(new)
-        if k % 4 == 3:
-            ratings = checkpointed(ratings)
+        ratings = checkpointed(ratings) if k % 4 == 3 else ratings
         part = games.select("pool", "contest_id", "a_id", "b_id", "a_pre", "b_pre")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else c.select("pool", "contest_id", "a_id", "b_id", F.lit(0.0).alias("a_pre"), F.lit(0.0).alias("b_pre"))

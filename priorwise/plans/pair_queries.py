@@ -234,7 +234,7 @@ ORACLE_SQL = {
         SELECT c_custkey, CASE WHEN bal IS NOT NULL THEN CAST(len(list_filter(cuts, lambda x: x < bal)) AS BIGINT) END AS tier FROM c, q""",
     "train_percentile": f"""
         WITH {_CUST}
-        SELECT a.c_custkey, round(coalesce((SELECT count(*) FILTER (b.bal < a.bal) / count(b.bal)
+        SELECT a.c_custkey, round(coalesce((SELECT count(*) FILTER (b.bal < a.bal) / nullif(count(b.bal), 0)
             FROM c b WHERE b.train AND b.c_mktsegment = a.c_mktsegment AND a.bal IS NOT NULL AND b.bal IS NOT NULL), 0.5), 6) AS percentile FROM c a""",
     "late_early_ratio": """
         SELECT l_orderkey, round(greatest(least(avg(l_quantity) FILTER (l_linenumber IN (4, 5)) / greatest(avg(l_quantity) FILTER (l_linenumber IN (1, 2)), 1), 3), 0), 6) AS late_early
