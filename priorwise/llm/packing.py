@@ -31,7 +31,11 @@ from priorwise.llm.text_blocks import blocks
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _FIELDS = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
+#: bytes of text that are cut at once
+PACK_BYTES = 1 << 20
 _SENTENCE_ENDS = (".", "!", "?")
+#: the id that closes a document
+_CLOSING = np.array([1], "<u4").tobytes()
 #: marks that are a word piece of their own after letters
 _CLOSERS = tuple(".,;:!?")
 
@@ -89,7 +93,7 @@ class WordTokenizer:
     it, so that words between spaces can be encoded one by one.
     """
 
-    def __init__(self, path: str, most_words: int = 1_000_000) -> None:
+    def __init__(self, path: str, most_words: int = 150_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -106,13 +110,27 @@ class WordTokenizer:
         self.reset()
 
     def reset(self) -> None:
-        self.ids: dict[str | None, bytes] = {None: np.array([1], "<u4").tobytes()}
+        self.recent: dict[str | None, bytes] = {}
+        self.older: dict[str | None, bytes] = {}
 
-    def learn(self, words: list) -> None:
+    def table(self, words: list) -> dict[str | None, bytes]:
+        """Ids of each of the words.
+
+        Words that recur move to the recent generation; when that is full the
+        older one is dropped, so rare words don't stay.
+        """
         seen = set(words)
-        if len(seen) + len(self.ids) > self.most_words and len(seen - self.ids.keys()) + len(self.ids) > self.most_words:
-            self.reset()
-        new = list(seen - self.ids.keys())
+        self.ids = {w: self.recent[w] for w in seen & self.recent.keys()}
+        rest = seen - self.ids.keys()
+        self.ids.update((w, self.older[w]) for w in rest & self.older.keys())
+        self.ids[None] = _CLOSING
+        self.learn(list(rest - self.ids.keys()))
+        self.recent.update(self.ids)
+        if len(self.recent) > self.most_words:
+            self.older, self.recent = self.recent, {}
+        return self.ids
+
+    def learn(self, new: list[str]) -> None:
         plain = [w for w in new if w.isalpha()]
         closed = [w for w in new if w[-1:] in _CLOSERS and w[:-1].isalpha()]
         rest = set(new).difference(plain, closed)
@@ -153,8 +171,8 @@ class WordTokenizer:
                 words += text.replace("\n", " ").split(" ")
             last.append(len(words))
             words.append(None)
-        self.learn(words)
-        parts = [self.ids[w] for w in words]
+        table = self.table(words)
+        parts = [table[w] for w in words]
         ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // 4
         ids = np.frombuffer(b"".join(parts), "<u4")
         closes = self.closing[ids[np.maximum(ends - 1, 0)]]
@@ -226,7 +244,7 @@ def _packer(path: str, rule: PackRule) -> Callable[[Iterator[pa.RecordBatch]], I
         tokenizer = _tokenizer(path)
         pieces = _Pieces(TaskContext.get().partitionId() << 33)
         ids, docs, bounds = np.zeros(0, "<u4"), [], np.zeros(1, np.int64)
-        for rows, _, _ in blocks(batches, "text"):
+        for rows, _, _ in blocks(batches, "text", PACK_BYTES):
             new, ends, closes, text_ends = tokenizer.stream(rows.column("text").to_pylist())
             held = len(ids)
             ids = np.concatenate([ids, new])

@@ -27,8 +27,9 @@ from pyspark.sql import types as T
 from priorwise.llm.shared import checkpointed, small
 from priorwise.llm.text_blocks import blocks, ragged
 
-#: rows of the model that a task may hold
+#: rows of the model that a task may hold, and bytes of text that it takes at once
 MODEL_ROWS = 4_000_000
+SCORE_BYTES = 1 << 19
 NO_LANGUAGE = "und"
 
 _CODES = np.arange(1 << 16, dtype=np.uint64)
@@ -81,7 +82,7 @@ def _count(order: int, flush: int = 1 << 20):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, dict[int, int]] = {}
-        for rows, _, _ in blocks(batches, "text"):
+        for rows, _, _ in blocks(batches, "text", SCORE_BYTES):
             texts = rows.column("text").to_pylist()
             for lang, which in _by_language(rows):
                 keys, _ = ngram_keys([texts[i] for i in which], order)
@@ -197,7 +198,7 @@ def _lookup(known: np.ndarray, value: np.ndarray, keys: np.ndarray, other: float
 
 def _score(model: HeldModel, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, _, _ in blocks(batches, "text"):
+        for rows, _, _ in blocks(batches, "text", SCORE_BYTES):
             texts = rows.column("text").to_pylist()
             loss = np.full(rows.num_rows, np.nan)
             size = np.zeros(rows.num_rows, np.int64)
@@ -205,10 +206,12 @@ def _score(model: HeldModel, kept: list[str]):
                 keys, n = ngram_keys([texts[i] for i in which], model.order)
                 size[which] = n
                 some, back = np.unique(keys, return_inverse=True)
+                del keys
                 logs = model.logs(lang, some)
                 full = np.flatnonzero(n)
                 if logs is not None and len(full):
                     loss[which[full]] = -np.add.reduceat(logs[back], (np.cumsum(n) - n)[full])
+                del some, back, logs
             yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), pa.array(loss, from_pandas=True), pa.array(size)], [*kept, "loss", "scored_chars"])
 
     return run
@@ -216,7 +219,7 @@ def _score(model: HeldModel, kept: list[str]):
 
 def _document_grams(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, _, _ in blocks(batches, "text"):
+        for rows, _, _ in blocks(batches, "text", SCORE_BYTES):
             keys, n = ngram_keys(rows.column("text").to_pylist(), order)
             pairs, counts = np.unique(np.stack([np.repeat(np.arange(rows.num_rows), n).astype(np.uint64), keys], axis=1), axis=0, return_counts=True)
             at = pa.array(pairs[:, 0].astype(np.int64))
