@@ -148,7 +148,7 @@ def representatives(vectors: DataFrame, vector: str = "embedding") -> tuple[Data
     return rows.select("vec_id", "node"), reps.withColumn("dims", F.size("vector"))
 
 
-def near_links(reps: DataFrame, least: float = 0.9, recall: float = 0.98, links: int = 12) -> DataFrame:
+def near_links(reps: DataFrame, least: float = 0.9, recall: float = 0.99, links: int = 12) -> DataFrame:
     """``a, b`` (a < b): representatives with a cosine of at least ``least``."""
     spark = reps.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -167,12 +167,12 @@ def near_links(reps: DataFrame, least: float = 0.9, recall: float = 0.98, links:
         shard = F.when(F.col("dims") == dims, F.lit(first) + F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")).otherwise(shard)
         own = F.transform(F.sequence(F.lit(first), F.lit(first + shards - 1)), lambda s: (s * slices + F.pmod(F.xxhash64("payload"), F.lit(slices))).cast("int"))
         units = F.when(F.col("dims") == dims, own).otherwise(units)
-    dealt = reps.select(shard.alias("shard"), "node", "vector").repartition("shard").sortWithinPartitions("shard")
+    dealt = reps.select(shard.alias("shard"), "node", "vector").repartition(base, "shard").sortWithinPartitions("shard")
     graphs = checkpointed(dealt.mapInArrow(_build(least, recall, links), "shard int, payload binary"))
     held = graphs.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(slices - 1)), lambda k: F.col("shard") * slices + k)).alias("unit"), F.lit(0).alias("kind"), "payload")
     asked = reps.select("node", "vector", "dims").mapInArrow(_pack_queries, "dims int, payload binary")
     asked = asked.select(F.explode(units).alias("unit"), F.lit(1).alias("kind"), "payload")
-    work = held.unionByName(asked).repartition("unit").sortWithinPartitions("unit", "kind")
+    work = held.unionByName(asked).repartition(base * slices, "unit").sortWithinPartitions("unit", "kind")
     return work.mapInArrow(_search(least), "a string, b string").distinct()
 
 

@@ -18,7 +18,7 @@ class Hnsw:
     ``links`` neighbours a node in the upper layers, twice as many in the lowest.
     """
 
-    def __init__(self, vectors: np.ndarray, seeds: np.ndarray, links: int = 12, beam: int = 48, batch: int = 256) -> None:
+    def __init__(self, vectors: np.ndarray, seeds: np.ndarray, links: int = 12, beam: int = 32, batch: int = 256) -> None:
         self.x = np.ascontiguousarray(vectors, dtype=np.float32)
         self.links, self.beam = links, beam
         n = len(self.x)
@@ -52,16 +52,14 @@ class Hnsw:
             done += size
 
     def _choose(self, ids: np.ndarray, sims: np.ndarray, width: int) -> np.ndarray:
-        """Neighbours by similarity, preferring those that no chosen one is closer to."""
+        """Neighbours by similarity, preferring those that no nearer candidate is closer to."""
         sims = np.where(ids == _NONE, -2, sims)
         order = np.argsort(-sims, axis=1, kind="stable")[:, : max(width * 3, width + 8)]
         ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
         b, c = ids.shape
         between = np.einsum("bid,bjd->bij", self.x[ids], self.x[ids])
-        chosen = np.zeros((b, c), bool)
-        for k in range(c):
-            closer = (np.where(chosen, between[:, k, :], -3) >= sims[:, k, None]).any(1)
-            chosen[:, k] = ~closer & (sims[:, k] > -2) & (chosen.sum(1) < width)
+        hidden = ((between >= sims[:, :, None]) & np.tri(c, c, -1, dtype=bool)).any(2)
+        chosen = ~hidden & (sims > -2)
         # the rest fills up by similarity
         rank = np.where(chosen, 0, 1) * c + np.arange(c)
         rank = np.where(sims > -2, rank, 4 * c)
@@ -174,7 +172,7 @@ class Hnsw:
                 out_n.append(cols + at)
         return np.concatenate(out_q), np.concatenate(out_n)
 
-    def fitting_beam(self, least: float, sample: np.ndarray, recall: float, width: int = 32) -> tuple[int, float]:
+    def fitting_beam(self, least: float, sample: np.ndarray, recall: float, width: int = 12) -> tuple[int, float]:
         """Smallest doubled beam whose recall of the sampled nodes' links, themselves included, passes."""
         truth = self.x[sample] @ self.x.T >= least
         truth[np.arange(len(sample)), sample] = True
