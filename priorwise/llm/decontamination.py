@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from priorwise.llm.fm_index import FMIndex
+from priorwise.llm.shared import in_small_batches
 from priorwise.llm.text_blocks import LOWER, WORD_BYTES, blocks, column_bytes, covered, ragged, word_hashes, word_spans
 
 #: bytes of text that one index covers
@@ -169,7 +170,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, phra
     another within the same tasks.
     """
     kept = [c for c in docs.columns if c not in _ADDED]
-    docs = docs.select(*kept)
+    docs = in_small_batches(docs).select(*kept)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // phrase_bytes))

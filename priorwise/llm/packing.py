@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from priorwise.llm.shared import in_small_batches
 from priorwise.llm.text_blocks import blocks
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -280,4 +281,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, rule: PackRule = PackRu
     they occur; a null doc_id stays null. Sequences are numbered upwards within
     each partition and no two partitions share a number.
     """
-    return docs.select("doc_id", "text").mapInArrow(_packer(tokenizer_path, rule), SCHEMA)
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(_packer(tokenizer_path, rule), SCHEMA)

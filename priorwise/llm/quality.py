@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from priorwise.llm.shared import checkpointed, small
+from priorwise.llm.shared import checkpointed, in_small_batches, small
 from priorwise.llm.text_blocks import blocks, ragged
 
 #: rows of the model that a task may hold, and bytes of text that it takes at once
@@ -122,7 +122,7 @@ def train(trusted: DataFrame, order: int = 3) -> tuple[DataFrame, DataFrame]:
     """
     if not 1 <= order <= 4:
         raise ValueError("order must be 1 to 4")
-    grams = trusted.mapInArrow(_count(order), "lang string, key long, c long").groupBy("lang", "key").agg(F.sum("c").alias("c"))
+    grams = in_small_batches(trusted).mapInArrow(_count(order), "lang string, key long, c long").groupBy("lang", "key").agg(F.sum("c").alias("c"))
     levels = {order: checkpointed(grams)}
     for n in range(order - 1, 0, -1):
         suffix = F.col("key").bitwiseAND((1 << 16 * n) - 1)

@@ -2,32 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: rows of narrow tables that are broadcast at most
-SMALL_ROWS = 4_000_000
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where that is unset, as in tests, a local one is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = held.get() if held.isDefined() else f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+from priorwise.operators.lineage import checkpointed, shared_folder
 
+__all__ = ["checkpointed", "in_small_batches", "shared_folder", "small"]
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read from files in the shared folder, with its lineage cut."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: rows of narrow tables that are broadcast at most
+SMALL_ROWS = 4_000_000
+#: rows of texts that travel between Spark and Python at once
+BATCH_ROWS = 1000
 
 
 def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most`` rows, else as it is."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after a setting of its session that keeps batches of texts small on both sides of the exchange with Python."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from priorwise.llm.components import components
-from priorwise.llm.shared import checkpointed, small
+from priorwise.llm.shared import checkpointed, in_small_batches, small
 from priorwise.llm.text_blocks import LOWER, NOT_SPACE, blocks, ragged, word_spans
 
 SEED = 42
@@ -88,7 +88,7 @@ def _fingerprint_column(shingle: int, columns: list[str]):
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """``doc_id, fp`` (64 bits as a signed long) of every row; null or empty texts have 0."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprint_batches(shingle), "doc_id long, fp long")
+    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprint_batches(shingle), "doc_id long, fp long")
 
 
 # ---------------------------------------------------------------- plan of the parts

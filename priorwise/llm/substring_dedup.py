@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from priorwise.llm.packed import NO_ID, id_column, pack, unpack
+from priorwise.llm.shared import in_small_batches
 from priorwise.llm.text_blocks import NOT_SPACE, blocks, covered, poly_hashes, ragged, word_hashes, word_spans
 
 SCHEMA = "doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 string, kept string"
@@ -236,7 +237,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = True) ->
     are one document and have equal results; rows with the same doc_id and
     different texts are ordered by a hash of the text.
     """
-    spark = docs.sparkSession
+    spark = in_small_batches(docs).sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     # marks tell rows with the same doc_id apart; without such rows none are sent

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from priorwise.llm.packed import NO_ID, id_column, pack, unpack
+from priorwise.llm.shared import in_small_batches
 from priorwise.llm.text_blocks import BYTE_CODES, blocks, poly_hashes
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -425,7 +426,7 @@ def remove_repeated_strings(docs: DataFrame, length: int = 400, gram: int = 64,
     other, so all of their strings of ``length`` bytes repeat. Doc_ids may be
     null or occur more than once.
     """
-    spark = docs.sparkSession
+    spark = in_small_batches(docs).sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     clash = ids.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
