@@ -54,12 +54,11 @@ def out_of_fold(df: DataFrame, key: str, features: Sequence[str], label: str, fo
     return out
 
 
-def class_scores(train: DataFrame, rows: DataFrame, features: Sequence[str], label: str, classes: int) -> DataFrame:
+def class_scores(train: DataFrame, rows: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """``rows`` with an array of probabilities of a multinomial model."""
     columns = rows.columns
     stage = LogisticRegression(featuresCol="__v", labelCol=label, family="multinomial", maxIter=50, regParam=1e-3)
     model = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="__v"), stage]).fit(filled(train, features).withColumn(label, F.col(label).cast("double")))
-    del classes
     return model.transform(filled(rows, features)).select(*columns, vector_to_array("probability").alias("probs"))
 
 
