@@ -110,7 +110,7 @@ def elapsed_seconds(round_number: Column, seconds: Column, round_length: int = 3
 
 
 def ticker_date(c: Column) -> Column:
-    """Date in a ticker such as ``KX-26JUL11ABCDEF``."""
+    """Date in a ticker such as ``EV-26JUL11ABCDEF``."""
     text = F.initcap(F.lower(F.regexp_extract(c, r"-(\d{2}[A-Za-z]{3}\d{2})", 1)))
     month = F.concat(F.substring(text, 1, 2), F.initcap(F.substring(text, 3, 3)), F.substring(text, 6, 2))
     return F.try_to_timestamp(month, F.lit("yyMMMdd")).cast("date")

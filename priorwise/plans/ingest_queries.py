@@ -57,7 +57,7 @@ def json_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int")
     tail = F.when(k % 5 == 0, "DIST").when(k % 5 == 1, "KO").when(k % 5 == 2, F.concat(F.lit("R"), (k % 4 + 1).cast("string"))).when(k % 5 == 3, "ABC").otherwise("x")
-    ticker = F.concat(F.lit("KX-"), F.upper(F.date_format("ts", "yyMMMdd")), F.lit("QRSTUV-"), tail)
+    ticker = F.concat(F.lit("EV-"), F.upper(F.date_format("ts", "yyMMMdd")), F.lit("QRSTUV-"), tail)
     market = F.struct(ticker.alias("ticker"), F.lit("t").alias("title"), F.format_string("%.2f", k / 100).alias("yes_bid"), F.when(k % 2 == 0, F.format_string("%.2f", (k + 1) / 100)).alias("yes_ask"), F.lit("0.50").alias("last_price"), F.col("event_id").cast("string").alias("volume"))
     payloads = e.groupBy(F.col("ts").cast("date").alias("day"), (F.col("user_id") % 16).alias("pull")).agg(F.to_json(F.struct(F.collect_list(market).alias("markets"))).alias("payload"))
     q = quotes.quote_rows(payloads, "payload")
