@@ -82,9 +82,10 @@ def test_archives(spark, tmp_path, compression):
     warc.write_archives(warc.plan_records(pages), path, compression=compression)
     got = warc.read_archives(spark, path).collect()
     assert len(got) == 7
-    kinds = sorted((r.record_id, r.record_type, r.refers_to, r.payload_length) for r in got)
     n = len(big.encode())
-    assert kinds == sorted([("urn:page:1", "revisit", "urn:page:2", n), ("urn:page:2", "response", None, n), ("urn:page:2", "response", None, n), ("urn:page:3", "response", None, 5), ("urn:page:4", "response", None, 5), ("urn:page:5", "response", None, 0), ("urn:page:null", "revisit", "urn:page:2", n)], key=lambda x: x) or len(kinds) == 7
+    want = [("urn:page:1", "revisit", "urn:page:2", n), ("urn:page:2", "response", None, n), ("urn:page:2", "response", None, n), ("urn:page:null", "revisit", "urn:page:2", n)]
+    want += [("urn:page:3", "response", None, 5), ("urn:page:4", "response", None, 5), ("urn:page:5", "response", None, 0)]
+    assert sorted(((r.record_id, r.record_type, r.refers_to, r.payload_length) for r in got), key=str) == sorted(want, key=str)
     assert all(bytes(r.payload) == big.encode() for r in got if r.record_type == "response" and r.payload_length == n)
     some = warc.read_archives(spark, path).where("record_type = 'revisit' AND target_uri = 'http://a'")
     assert [r.record_id for r in some.collect()] == ["urn:page:1"]
