@@ -108,6 +108,38 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        win AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS i, ws FROM w),
+        k AS (SELECT doc_id, i, array_to_string(ws[i : i + 19], ' ') AS k FROM win),
+        late AS (SELECT doc_id, i FROM k QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+        gone AS (SELECT DISTINCT doc_id, i + d AS i FROM late, (SELECT unnest(range(20)) AS d)),
+        runs AS (SELECT doc_id, count(*) AS n, count(*) FILTER (fresh) AS spans
+                 FROM (SELECT doc_id, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) <> i - 1, true) AS fresh FROM gone) GROUP BY 1),
+        words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+        SELECT w.doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(coalesce(t, '')) AS kept_sha256
+        FROM w LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op2_embedding_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        u AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+        r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY 1),
+        n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)""",
+    "op8_decontamination": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+        s AS (SELECT item_id, ws, least(len(ws), 10) AS size FROM b WHERE len(ws) > 0),
+        k AS (SELECT DISTINCT item_id, size, array_to_string(ws[i : i + size - 1], ' ') AS k FROM (SELECT *, unnest(range(1, len(ws) - size + 2)) AS i FROM s)),
+        win AS (SELECT doc_id, size, i, array_to_string(ws[i : i + size - 1], ' ') AS k
+                FROM (SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM s))),
+        hit AS (SELECT doc_id, i, win.size AS size, item_id FROM win JOIN k ON win.k = k.k AND win.size = k.size),
+        n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM hit) GROUP BY 1),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS x FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hit) GROUP BY 1)
+        SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(x, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN items USING (doc_id)""",
     "op4_warc": """
         WITH p AS (
             SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
