@@ -34,6 +34,8 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _FIELDS = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 #: bytes of text that are cut at once
 PACK_BYTES = 1 << 20
+#: words whose ids a worker keeps between tasks, at about 160 bytes each
+CACHED_WORDS = 1_000_000
 _SENTENCE_ENDS = (".", "!", "?")
 #: the id that closes a document
 _CLOSING = np.array([1], "<u4").tobytes()
@@ -94,7 +96,7 @@ class WordTokenizer:
     it, so that words between spaces can be encoded one by one.
     """
 
-    def __init__(self, path: str, most_words: int = 150_000) -> None:
+    def __init__(self, path: str, most_words: int) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -108,27 +110,17 @@ class WordTokenizer:
         if suffix:
             self.piece_ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.piece_ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-        self.reset()
-
-    def reset(self) -> None:
-        self.recent: dict[str | None, bytes] = {}
-        self.older: dict[str | None, bytes] = {}
+        self.ids: dict[str | None, bytes] = {}
 
     def table(self, words: list) -> dict[str | None, bytes]:
-        """Ids of each of the words.
-
-        Words that recur move to the recent generation; when that is full the
-        older one is dropped, so rare words don't stay.
-        """
+        """Ids of each of the words; where the cache is full only these words stay in it."""
         seen = set(words)
-        self.ids = {w: self.recent[w] for w in seen & self.recent.keys()}
-        rest = seen - self.ids.keys()
-        self.ids.update((w, self.older[w]) for w in rest & self.older.keys())
+        new = seen - self.ids.keys()
+        if len(new) + len(self.ids) > self.most_words:
+            self.ids = {w: self.ids[w] for w in seen & self.ids.keys()}
         self.ids[None] = _CLOSING
-        self.learn(list(rest - self.ids.keys()))
-        self.recent.update(self.ids)
-        if len(self.recent) > self.most_words:
-            self.older, self.recent = self.recent, {}
+        new.discard(None)
+        self.learn(list(new))
         return self.ids
 
     def learn(self, new: list[str]) -> None:
@@ -180,14 +172,14 @@ class WordTokenizer:
         return ids, ends, closes, ends[last]
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
+_TOKENIZERS: dict[tuple[str, int], WordTokenizer] = {}
 
 
-def _tokenizer(path: str) -> WordTokenizer:
+def _tokenizer(path: str, most_words: int) -> WordTokenizer:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+    if (path, most_words) not in _TOKENIZERS:
+        _TOKENIZERS[path, most_words] = WordTokenizer(path, most_words)
+    return _TOKENIZERS[path, most_words]
 
 
 def _cut_points(ends: np.ndarray, closes: np.ndarray, text_ends: np.ndarray, total: int, rule: PackRule) -> tuple[list, list]:
@@ -240,9 +232,9 @@ def _powers_of_two(n: int) -> list[int]:
     return out
 
 
-def _packer(path: str, rule: PackRule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _packer(path: str, rule: PackRule, most_words: int = CACHED_WORDS) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
+        tokenizer = _tokenizer(path, most_words)
         pieces = _Pieces(TaskContext.get().partitionId() << 33)
         ids, docs, bounds = np.zeros(0, "<u4"), [], np.zeros(1, np.int64)
         for rows, _, _ in blocks(batches, "text", PACK_BYTES):
@@ -273,12 +265,13 @@ def _packer(path: str, rule: PackRule) -> Callable[[Iterator[pa.RecordBatch]], I
     return pack
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, rule: PackRule = PackRule()) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, rule: PackRule = PackRule(), most_words: int = CACHED_WORDS) -> DataFrame:
     """One row for each piece of a document in a sequence (see ``SCHEMA``).
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are not carried. A null
     or empty text is the closing id alone. Repeated rows are packed as often as
-    they occur; a null doc_id stays null. Sequences are numbered upwards within
+    they occur; a null doc_id stays null. ``most_words`` bounds the cache of
+    word ids in each worker and changes no result. Sequences are numbered upwards within
     each partition and no two partitions share a number.
     """
-    return in_small_batches(docs).select("doc_id", "text").mapInArrow(_packer(tokenizer_path, rule), SCHEMA)
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(_packer(tokenizer_path, rule, most_words), SCHEMA)
