@@ -42,8 +42,9 @@ def test_pipeline(spark, tmp_path, words):
     r = random.Random(5)
     phrase = " ".join(r.choice(pool) for _ in range(25))
     texts = {k: " ".join(r.choice(pool) for _ in range(80)) for k in range(60)}
-    texts |= {100: texts[3], 101: texts[4] + " x", 102: "zqxw " * 60, 103: None, 104: "", 105: " ".join(r.choice(pool) for _ in range(200)) + " token = '0123456789abcdef01' end"}
-    texts[106] = " ".join(r.choice(pool) for _ in range(40)) + ". " + phrase.upper() + "! " + " ".join(r.choice(pool) for _ in range(40))
+    texts |= {100: texts[3], 101: texts[4] + " x", 102: "zqxw " * 60, 103: None, 104: ""}
+    texts[20] += " token = '0123456789abcdef01' end"  # trusted, so it is kept
+    texts[21] = " ".join(r.choice(pool) for _ in range(40)) + ". " + phrase.upper() + "! " + " ".join(r.choice(pool) for _ in range(40))
     folder = str(tmp_path)
     rows = [(k, t, "en", "s", len(t or "")) for k, t in texts.items()]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
@@ -72,7 +73,7 @@ def test_pipeline(spark, tmp_path, words):
     total = {}
     for p in out:
         total[p.doc_id] = total.get(p.doc_id, 0) + p.length
-    assert total == sizes and 100 not in total and 105 in total and 106 in total
+    assert total == sizes and 100 not in total and {20, 21} <= set(total)
 
 
 def test_the_query_is_registered():
