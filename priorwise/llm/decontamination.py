@@ -109,18 +109,31 @@ def _lists(rows: np.ndarray, values: np.ndarray, n: int, kind: pa.DataType) -> p
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n + 1)), pa.int32()), pa.array(values, kind))
 
 
-def _scan(phrases: Phrases, kept: list[str]):
+def _without(texts: pa.Array, data: np.ndarray, offsets: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The texts, whose bytes and offsets are given, without the spans of bytes."""
+    gone = np.zeros(len(data), bool)
+    gone[ragged(begins, ends - begins)] = True
+    left = np.concatenate([[0], np.cumsum(~gone)])[offsets]
+    flat = data[~gone].tobytes()
+    column = pa.array([flat[i:j].decode("utf-8", "replace") for i, j in zip(left[:-1].tolist(), left[1:].tolist())], pa.string())
+    return pc.if_else(texts.is_valid(), column, pa.scalar(None, pa.string()))
+
+
+def _scan(phrases: Phrases, kept: list[str], cut: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in blocks(batches, "text", SHARD_BYTES):
             # words are found in smaller blocks of whole rows, the index covers all of them
-            codes, first = [], [np.zeros(1, np.int64)]
-            n = 0
+            codes, first, places = [], [np.zeros(1, np.int64)], []
+            n = size_before = 0
             for _, part, at in blocks(iter([rows.select(["text"])]), "text"):
                 part = LOWER[part]
                 s, e, f = word_spans(part, at, WORD_BYTES)
                 codes.append(word_hashes(part, s, e))
                 first.append(f[1:] + n)
                 n += len(s)
+                if cut:
+                    places.append((s + size_before, e + size_before))
+                    size_before += len(part)
             first = np.concatenate(first)
             hit, docs, items = _find(phrases, np.concatenate(codes) if codes else np.zeros(0, np.uint64), first)
             if "hit_starts" in rows.schema.names:  # what another part of the phrases has found
@@ -143,8 +156,12 @@ def _scan(phrases: Phrases, kept: list[str]):
             base = first[doc]
             pairs = np.unique(np.stack([docs, items], axis=1), axis=0)
             size = rows.num_rows
+            columns = [rows.column(c) for c in kept]
+            if cut:
+                starts, stops = (np.concatenate(x) for x in zip(*places))
+                columns[kept.index("text")] = _without(rows.column("text"), data, offsets, starts[a], stops[b - 1])
             yield pa.RecordBatch.from_arrays(
-                [rows.column(c) for c in kept]
+                columns
                 + [
                     pa.array(np.diff(first), pa.int64()),
                     _lists(doc, a - base, size, pa.int32()),
@@ -157,7 +174,7 @@ def _scan(phrases: Phrases, kept: list[str]):
     return run
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, phrase_bytes: int = PHRASE_BYTES) -> DataFrame:
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, phrase_bytes: int = PHRASE_BYTES, cut: bool = False) -> DataFrame:
     """``docs`` with ``n_words, hit_starts, hit_ends, hit_items``.
 
     Words are runs of digits, letters a-z and characters above U+007F, with A-Z
@@ -167,7 +184,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, phra
     names are replaced, all others kept. Null texts have no words; an item
     without id counts for hits but is not listed; repeated items count once.
     A benchmark beyond ``phrase_bytes`` is searched in several parts, one after
-    another within the same tasks.
+    another within the same tasks. With ``cut`` each run of hit words, and what
+    stands between them, is cut from ``text``, in the pass that ends the search.
     """
     kept = [c for c in docs.columns if c not in _ADDED]
     docs = in_small_batches(docs).select(*kept)
@@ -186,36 +204,10 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, phra
     for k in range(parts):
         some = items if parts == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k)
         rows = some.collect()  # bounded by phrase_bytes
-        docs = docs.mapInArrow(_scan(build_phrases([r.item_id for r in rows], [r.text for r in rows], window), kept), schema)
+        docs = docs.mapInArrow(_scan(build_phrases([r.item_id for r in rows], [r.text for r in rows], window), kept, cut and k == parts - 1), schema)
     return docs
 
 
-def _cut(columns: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in blocks(batches, "text"):
-            starts, ends, first = word_spans(LOWER[data], offsets, WORD_BYTES)
-            begin, end = rows.column("hit_starts"), rows.column("hit_ends")
-            counts = pc.list_value_length(begin).to_numpy(zero_copy_only=False)
-            base = np.repeat(first[:-1], counts)
-            a = starts[begin.flatten().to_numpy(zero_copy_only=False) + base]
-            b = ends[end.flatten().to_numpy(zero_copy_only=False) + base - 1]
-            gone = np.zeros(len(data), bool)
-            gone[ragged(a, b - a)] = True
-            left = np.concatenate([[0], np.cumsum(~gone)])[offsets]
-            flat = data[~gone].tobytes()
-            texts = [flat[i:j].decode("utf-8", "replace") for i, j in zip(left[:-1].tolist(), left[1:].tolist())]
-            column = pa.array(texts, pa.string())
-            column = pc.if_else(rows.column("text").is_valid(), column, pa.scalar(None, pa.string()))
-            yield pa.RecordBatch.from_arrays([column if c == "text" else rows.column(c) for c in columns], columns)
-
-    return run
-
-
-def remove_hits(found: DataFrame) -> DataFrame:
-    """Rows of ``find_benchmark`` with each run of hit words, and what stands between them, cut from ``text``."""
-    return found.mapInArrow(_cut(found.columns), found.schema)
-
-
 def hit_words(starts: str = "hit_starts", ends: str = "hit_ends"):
     """Number of hit words, as a column."""
     spans = F.zip_with(ends, starts, lambda b, a: b - a)
