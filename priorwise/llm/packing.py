@@ -27,13 +27,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from priorwise.llm.shared import in_small_batches
 from priorwise.llm.text_blocks import blocks
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _FIELDS = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 #: bytes of text that are cut at once
-PACK_BYTES = 1 << 20
+PACK_BYTES = 2 << 20
 #: words whose ids a worker keeps between tasks, at about 160 bytes each
 CACHED_WORDS = 1_000_000
 _SENTENCE_ENDS = (".", "!", "?")
@@ -274,4 +273,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, rule: PackRule = PackRu
     word ids in each worker and changes no result. Sequences are numbered upwards within
     each partition and no two partitions share a number.
     """
-    return in_small_batches(docs).select("doc_id", "text").mapInArrow(_packer(tokenizer_path, rule, most_words), SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(_packer(tokenizer_path, rule, most_words), SCHEMA)
