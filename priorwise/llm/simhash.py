@@ -38,6 +38,11 @@ _U = np.uint64
 
 def shingle_fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
     """SimHash of each row: a bit is 1 if set in over half of the XXH64 of the row's shingles."""
+    return majority(*shingle_hashes(data, offsets, shingle))
+
+
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of the shingles of all rows, and how many each row has."""
     starts, ends, first = word_spans(data, offsets, NOT_SPACE)
     words = np.diff(first)
     # all words, one space after each
@@ -50,8 +55,7 @@ def shingle_fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int) ->
     at = ragged(first[:-1], n)
     last = np.minimum(at + np.repeat(np.minimum(words, shingle), n) - 1, len(starts) - 1)
     text, digest = flat.tobytes(), xxhash.xxh64_intdigest
-    h = np.fromiter((digest(text[a:b], SEED) for a, b in zip(begin[at].tolist(), stop[last].tolist())), _U, len(at))
-    return majority(h, n)
+    return np.fromiter((digest(text[a:b], SEED) for a, b in zip(begin[at].tolist(), stop[last].tolist())), _U, len(at)), n
 
 
 def majority(h: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -334,12 +338,16 @@ def keep_first(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """
     prints = checkpointed(fingerprints(docs, shingle))
     classes = _classes(prints, radius)
+    schema = T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])
+    return one_of_each(docs, prints, classes, "fp", docs.mapInArrow(_fingerprint_column(shingle, docs.columns), schema))
+
+
+def one_of_each(docs: DataFrame, prints: DataFrame, classes: DataFrame, key: str, marked: DataFrame) -> DataFrame:
+    """One row of each component of ``classes`` (key, component_id, component); ``marked`` is ``docs`` with that key, after two underscores."""
     unclear = prints.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").limit(1).count() > 0
     if not unclear:
         first = small(checkpointed(classes.select(F.col("component_id").alias("doc_id")).distinct()))
         return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
-    schema = T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])
-    marked = docs.mapInArrow(_fingerprint_column(shingle, docs.columns), schema)
-    marked = marked.join(classes.select(F.col("fp").alias("__fp"), F.col("component").alias("__group")), "__fp")
-    order = Window.partitionBy("__group").orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "__fp")
+    marked = marked.join(classes.select(F.col(key).alias(f"__{key}"), F.col("component").alias("__group")), f"__{key}")
+    order = Window.partitionBy("__group").orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), f"__{key}")
     return marked.withColumn("__rank", F.row_number().over(order)).where("__rank = 1").select(*docs.columns)
