@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,23 +13,33 @@ def common_opponents(ledger: DataFrame, rank: str = "event_rank", method_weight:
     results before the contest's rank the latest against each opponent counts.
     A common opponent adds the difference of the two results, weighted by the
     mean method weight (less if lost) and the mean recency 0.5 ** (ranks /
-    half_life). The histories meet on (contest, opponent), so the join grows
-    with histories and not with their square.
+    half_life). A result against an opponent holds until the next one against
+    it. A contest is joined with the held results of the side that has the
+    shorter history, and these with the other side's by opponent, so no pairs of
+    an entity's rows are formed; the other side's advantage is the opposite.
     """
     weight = method_weight if method_weight is not None else F.lit(1.0)
     history = ledger.where("won IS NOT NULL").select(
         F.col("entity").alias("who"), F.col("opponent").alias("met"), F.col(rank).alias("__r"), F.col("contest_id").alias("__c"), F.col("won").cast("double").alias("__won"), weight.alias("__w")
     )
-    contests = ledger.select("contest_id", "entity", "opponent", F.col(rank).alias("__now"))
-    prior = contests.join(history, F.col("entity") == F.col("who")).where((F.col("__r") < F.col("__now")) & (F.col("met") != F.col("opponent")))
-    latest = prior.groupBy("contest_id", "entity", "opponent", "met", "__now").agg(F.max_by(F.struct("__won", "__w", "__r"), F.struct("__r", "__c")).alias("s"))
-    mine = latest.select("contest_id", "entity", "opponent", "met", "__now", F.col("s").alias("a"))
-    theirs = latest.select("contest_id", F.col("entity").alias("opponent"), "met", F.col("s").alias("b"))
+    last = history.groupBy("who", "met", "__r").agg(F.max_by(F.struct("__won", "__w", "__r"), "__c").alias("s"))
+    held = last.withColumn("__until", F.lead("__r").over(Window.partitionBy("who", "met").orderBy("__r")))
+    holds = (F.col("__r") < F.col("__now")) & (F.col("__until").isNull() | (F.col("__now") <= F.col("__until")))
+    sizes = held.groupBy("who").agg(F.count("*").alias("n"))
+    sides = ledger.select("contest_id", "entity", "opponent", F.col(rank).alias("__now")).distinct()
+    both = sides.join(sides.select("contest_id", F.col("entity").alias("opponent"), F.col("opponent").alias("entity")), ["contest_id", "entity", "opponent"])
+    both = both.join(sizes.select(F.col("who").alias("entity"), F.col("n").alias("__n")), "entity").join(sizes.select(F.col("who").alias("opponent"), F.col("n").alias("__m")), "opponent")
+    lighter = both.where("__n < __m OR (__n = __m AND entity < opponent)").select("contest_id", "entity", "opponent", "__now")
+    mine = lighter.join(held, F.col("entity") == F.col("who")).where(holds & (F.col("met") != F.col("opponent")) & (F.col("met") != F.col("entity")))
+    mine = mine.select("contest_id", "entity", "opponent", "met", "__now", F.col("s").alias("a"))
+    theirs = held.select(F.col("who").alias("opponent"), "met", "__r", "__until", F.col("s").alias("b"))
     pull = lambda s: F.col(f"{s}.__w") * F.when(F.col(f"{s}.__won") > 0, F.lit(1.0)).otherwise(F.lit(lost_factor))
     recent = lambda s: F.pow(F.lit(0.5), (F.col("__now") - F.col(f"{s}.__r")) / half_life)
     w = (pull("a") + pull("b")) / 2 * (recent("a") + recent("b")) / 2
-    met = mine.join(theirs, ["contest_id", "opponent", "met"]).select("contest_id", "entity", (F.col("a.__won") - F.col("b.__won")).alias("margin"), w.alias("w"))
-    sums = met.groupBy("contest_id", "entity").agg((F.sum(F.col("margin") * F.col("w")) / F.sum("w")).alias("advantage"), F.count("*").alias("n_common"))
+    met = mine.join(theirs, ["opponent", "met"]).where(holds).select("contest_id", "entity", "opponent", (F.col("a.__won") - F.col("b.__won")).alias("margin"), w.alias("w"))
+    sums = met.groupBy("contest_id", "entity", "opponent").agg((F.sum(F.col("margin") * F.col("w")) / F.sum("w")).alias("advantage"), F.count("*").alias("n_common"))
+    each = F.array(F.struct("entity", "advantage"), F.struct(F.col("opponent").alias("entity"), (0.0 - F.col("advantage")).alias("advantage")))
+    sums = sums.select("contest_id", F.explode(each).alias("e"), "n_common").select("contest_id", "e.entity", "e.advantage", "n_common")
     return ledger.select("contest_id", "entity").join(sums, ["contest_id", "entity"], "left").select(
         "contest_id", "entity", F.coalesce("advantage", F.lit(0.0)).alias("advantage"), F.coalesce("n_common", F.lit(0)).cast("long").alias("n_common")
     )

@@ -65,8 +65,16 @@ def json_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def card_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as cards of matchups with one line each, parsed back."""
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3")
+    """The first three lines of orders as cards of matchups with one line each, parsed back."""
+    return _parsed_cards(table(spark, sf_dir, "lineitem").where("l_linenumber <= 3"))
+
+
+def card_lines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole orders as cards."""
+    return _parsed_cards(table(spark, sf_dir, "lineitem"))
+
+
+def _parsed_cards(li: DataFrame) -> DataFrame:
     prop = F.struct(F.lit("kd").alias("market"), F.lit("over").alias("side"), F.col("l_quantity").alias("line"), F.when(F.col("l_linenumber") == 1, "flex").alias("payout"))
     m = F.struct(F.col("l_partkey").cast("string").alias("red"), F.col("l_suppkey").cast("string").alias("blue"), F.when(F.col("l_linenumber") == 2, 5).alias("rounds"), F.array(prop).alias("props"))
     cards = li.groupBy("l_orderkey").agg(F.to_json(F.struct(F.first(F.col("l_orderkey").cast("string")).alias("card"), F.lit("power").alias("payout"), F.collect_list(m).alias("matchups"))).alias("j"))
@@ -173,7 +181,7 @@ def latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        parse_fields, name_keys, folded_names, json_quotes, card_lines, html_fields, asof_latest, within_a_day, two_pass_resolution, fuzzy_names, temporal_splits,
+        parse_fields, name_keys, folded_names, json_quotes, card_lines, card_lines_all, html_fields, asof_latest, within_a_day, two_pass_resolution, fuzzy_names, temporal_splits,
         bounded_rows, tripwire_flags, class_labels, token_filter, outer_precedence, stale_pruning, dead_features, csv_round_trip, latest_snapshot,
     )
 }
@@ -199,6 +207,9 @@ ORACLE_SQL = {
     "card_lines": """
         SELECT CAST(l_orderkey AS VARCHAR) AS card, count(*) AS n, sum(CASE WHEN l_linenumber = 2 THEN 5 ELSE 3 END)::BIGINT AS rounds, sum(l_quantity) AS lines, count(*) FILTER (l_linenumber <> 1) AS inherited
         FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1""",
+    "card_lines_all": """
+        SELECT CAST(l_orderkey AS VARCHAR) AS card, count(*) AS n, sum(CASE WHEN l_linenumber = 2 THEN 5 ELSE 3 END)::BIGINT AS rounds, sum(l_quantity) AS lines, count(*) FILTER (l_linenumber <> 1) AS inherited
+        FROM lineitem GROUP BY 1""",
     "html_fields": r"""
         SELECT page_id, nullif(regexp_extract(html, '<html lang="([a-z]+)"', 1), '') AS lang, nullif(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), '') AS title,
                nullif(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '') AS heading, len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS n_links,

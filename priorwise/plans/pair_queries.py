@@ -82,6 +82,12 @@ def common_opponents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("contest_id", "entity", rounded(F.col("advantage")).alias("advantage"), "n_common")
 
 
+def common_opponents_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all contests."""
+    out = network.common_opponents(w.chronological_rank(pairs.perspectives(contests(spark, sf_dir)), "day"))
+    return out.select("contest_id", "entity", rounded(F.col("advantage")).alias("advantage"), "n_common")
+
+
 def elo_by_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = ratings.elo_by_pool(contests(spark, sf_dir))
     return r.select("pool", "contest_id", "a_id", "b_id", rounded(F.col("a_pre")).alias("a_pre"), rounded(F.col("b_pre")).alias("b_pre"))
@@ -168,7 +174,7 @@ def line_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        perspective_ledger, wide_pairs, symmetrize, perspective_average, interactions, pair_differences, pairings, career_fill, common_opponents,
+        perspective_ledger, wide_pairs, symmetrize, perspective_average, interactions, pair_differences, pairings, career_fill, common_opponents, common_opponents_all,
         elo_by_pool, elo_by_period, glicko_by_pool, trueskill_by_pool, group_zscore_train, tiers, train_percentile, late_early_ratio, round_pivot,
         shrunk_record, rolling_prior, residual_cells, zero_rate_table, line_fit,
     )
