@@ -18,28 +18,28 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from priorwise.llm.text_blocks import blocks
+from priorwise.llm.text_blocks import blocks, ragged
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _FIELDS = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 #: bytes of text that are cut at once
 PACK_BYTES = 2 << 20
-#: words whose ids a worker keeps between tasks, at about 160 bytes each
+#: words whose ids a worker keeps between tasks, at about 200 bytes each
 CACHED_WORDS = 1_000_000
 _SENTENCE_ENDS = (".", "!", "?")
-#: the id that closes a document
-_CLOSING = np.array([1], "<u4").tobytes()
-#: marks that are a word piece of their own after letters
-_CLOSERS = tuple(".,;:!?")
+#: marks that can be a word piece of their own after letters; the apostrophe, which begins contractions, is not
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 @dataclass(frozen=True)
@@ -58,41 +58,48 @@ def best_cuts(x: list[int], penalty: list[int], size: int) -> list[int]:
     The last cut lies less than ``size`` before the end of the stream.
     """
     n = len(x)
-    dp, back = [0] * n, [0] * n
-    queue: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # (dp + x, x, index), values rising
+    # least[j] = dp[j] + x[j]; the queue holds cuts whose values rise, and its head is always less than a new value
+    least, back = [0] * n, [0] * n
+    values, cuts, head = [0], [0], 0
     for j in range(1, n):
-        at = x[j]
-        low = at - size
-        while queue[0][1] < low:
-            queue.popleft()
-        value, _, i = queue[0]
-        cost = penalty[j] + size - at + value
-        dp[j], back[j] = cost, i
-        value = cost + at
-        while queue and queue[-1][0] >= value:
-            queue.pop()
-        queue.append((value, at, j))
+        low = x[j] - size
+        while x[cuts[head]] < low:
+            head += 1
+        least[j] = value = values[head] + penalty[j] + size
+        back[j] = cuts[head]
+        while values[-1] >= value:
+            values.pop()
+            cuts.pop()
+        values.append(value)
+        cuts.append(j)
     end, j = x[-1], n - 1
     best = j
     while j > 0 and end - x[j] < size:
         # an open rest costs nothing yet; of equal costs the later cut wins
-        if dp[j] < dp[best]:
+        if least[j] - x[j] < least[best] - x[best]:
             best = j
         j -= 1
     if j == 0 and end < size:
         return []
-    cuts = []
+    chosen = []
     while best:
-        cuts.append(x[best])
+        chosen.append(x[best])
         best = back[best]
-    return cuts[::-1]
+    return chosen[::-1]
+
+
+class _Slots(dict):
+    def __missing__(self, word: str) -> int:
+        return -1
 
 
 class WordTokenizer:
-    """Token ids of texts through a cache of words.
+    """Token ids of texts through a table of words.
 
     Only for tokenizers that drop white space and never join characters across
-    it, so that words between spaces can be encoded one by one.
+    it, so that words between spaces can be encoded one by one. Words of a block
+    are numbered by Arrow; only its distinct words are looked up, and ids are
+    gathered from one flat array.
     """
 
     def __init__(self, path: str, most_words: int) -> None:
@@ -109,64 +116,128 @@ class WordTokenizer:
         if suffix:
             self.piece_ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.piece_ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-        self.ids: dict[str | None, bytes] = {}
-
-    def table(self, words: list) -> dict[str | None, bytes]:
-        """Ids of each of the words; where the cache is full only these words stay in it."""
-        seen = set(words)
-        new = seen - self.ids.keys()
-        if len(new) + len(self.ids) > self.most_words:
-            self.ids = {w: self.ids[w] for w in seen & self.ids.keys()}
-        self.ids[None] = _CLOSING
-        new.discard(None)
-        self.learn(list(new))
-        return self.ids
-
-    def learn(self, new: list[str]) -> None:
-        plain = [w for w in new if w.isalpha()]
-        closed = [w for w in new if w[-1:] in _CLOSERS and w[:-1].isalpha()]
-        rest = set(new).difference(plain, closed)
-        rest.update(self._joined(plain, 1))
-        rest.update(self._joined(closed, 2))
-        rest = list(rest)
-        for at in range(0, len(rest), 20_000):
-            part = rest[at : at + 20_000]
-            for w, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.ids[w] = np.array(found.ids, "<u4").tobytes()
-
-    def _joined(self, words: list[str], pieces: int) -> list[str]:
-        """Learn words that are ``pieces`` word pieces each, many in one text; returns those still to learn.
-
-        The last id of a piece marks its end. A text with more pieces than its
-        words should have (letters that normalise to something else) is left.
+        #: whether a tail of marks is encoded by itself after letters
+        self.tails: dict[str, bool] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slots = _Slots()
+        # slot 0 is the id that closes a text
+        self.ids, self.first, self.size = np.array([1], "<u4"), np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        at = len(self.first)
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.ids = np.concatenate([self.ids, ids.astype("<u4", copy=False)])
+        self.slots.update(zip(words, range(at, at + len(words))))
+
+    def _slots(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+
+    def _of(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.size[slots]
+        return self.ids[ragged(self.first[slots], sizes)], sizes
+
+    def look_up(self, words: pa.Array) -> np.ndarray:
+        """Slot of each of the distinct words; where the table is full only these words stay in it."""
+        listed = words.to_pylist()
+        slots = self._slots(listed)
+        new = np.flatnonzero(slots < 0)
+        if not len(new):
+            return slots
+        before = len(self.slots)
+        if before + len(new) > self.most_words and before:
+            known = np.flatnonzero(slots >= 0)
+            ids, sizes = self._of(slots[known])
+            self._forget()
+            self._add([listed[k] for k in known.tolist()], ids, sizes)
+        self.learn(words.take(pa.array(new)))
+        if len(self.slots) < before + len(new):  # the table was full
+            return self._slots(listed)
+        slots[new] = self._slots([listed[k] for k in new.tolist()])
+        return slots
+
+    def learn(self, new: pa.Array) -> None:
+        """Add words: letters alone, letters with a tail of marks (two pieces), and others."""
+        stems = pc.utf8_rtrim(new, _MARKS)
+        letters = pc.utf8_is_alpha(stems).to_numpy(zero_copy_only=False)
+        whole = pc.equal(stems, new).to_numpy(zero_copy_only=False)
+        rest = new.filter(pa.array(~letters)).to_pylist()
+        if self.piece_ends is None:
+            self._encode(new.to_pylist())
+            return
+        plain = new.filter(pa.array(letters & whole)).to_pylist()
+        both, parts = (x.filter(pa.array(letters & ~whole)).to_pylist() for x in (new, stems))
+        # A-Z and a-z are alike to a tokenizer that says so; other letters are left as they are
+        lowered = [w.lower() if w.isascii() and self.tokenizer_lowers else w for w in plain + parts]
+        unknown = [w for w in dict.fromkeys(lowered) if w not in self.slots]
+        rest += self._joined(unknown)
+        tails = [w[len(s) :] for w, s in zip(both, parts)]
+        for tail in set(tails) - self.tails.keys():
+            apart = all(self._plain(s + tail) == self._plain(s) + self._plain(tail) for s in ("a", "Zz", "\u00e9\u00df"))
+            self.tails[tail] = apart
+            if apart and tail not in self.slots:
+                rest.append(tail)
+        rest += [w for w, t in zip(both, tails) if not self.tails[t]]
+        self._encode(list(dict.fromkeys(w for w in rest if w not in self.slots)))
+        # words that are others in lower case, or two known pieces
+        alias = [(w, s) for w, s in zip(plain, lowered) if w not in self.slots]
+        ids, sizes = self._of(self._slots([s for _, s in alias]))
+        self._add([w for w, _ in alias], ids, sizes)
+        two = [(w, s, t) for w, s, t in zip(both, lowered[len(plain) :], tails) if w not in self.slots]
+        pairs = np.stack([self._slots([s for _, s, _ in two]), self._slots([t for *_, t in two])], axis=1).ravel()
+        ids, sizes = self._of(pairs)
+        self._add([w for w, *_ in two], ids, sizes.reshape(-1, 2).sum(axis=1))
+
+    @cached_property
+    def tokenizer_lowers(self) -> bool:
+        letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        return all(self._plain(w) == self._plain(w.lower()) for w in (*letters, letters, letters[::-1], letters.title()))
+
+    def _plain(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _encode(self, words: list[str]) -> None:
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self._add(part, np.fromiter(chain.from_iterable(found), "<u4", int(sizes.sum())), sizes)
+
+    def _joined(self, words: list[str]) -> list[str]:
+        """Learn words of letters, many in one text; returns those still to learn.
+
+        The last id of a piece marks its end. A text with more pieces than words
+        (letters that normalise to something else) is left.
         """
         left = []
-        if self.piece_ends is None:
-            return words
         for at in range(0, len(words), 2000):
             part = words[at : at + 2000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.piece_ends[ids]) + 1
-            if len(stops) != pieces * len(part) or stops[-1] != len(ids):
+            if len(stops) != len(part) or stops[-1] != len(ids):
                 left += part
                 continue
-            flat, edges = ids.tobytes(), [0, *(4 * stops[pieces - 1 :: pieces]).tolist()]
-            self.ids.update(zip(part, (flat[a:b] for a, b in zip(edges, edges[1:]))))
+            self._add(part, ids, np.diff(stops, prepend=0))
         return left
 
-    def stream(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def stream(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by id 1; ends of words, whether a sentence ends there, ends of texts."""
-        words: list = []
-        last = []
-        for text in texts:
-            if text:
-                words += text.replace("\n", " ").split(" ")
-            last.append(len(words))
-            words.append(None)
-        table = self.table(words)
-        parts = [table[w] for w in words]
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // 4
-        ids = np.frombuffer(b"".join(parts), "<u4")
+        if isinstance(texts, pa.ChunkedArray):
+            texts = texts.combine_chunks()
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        slots = self.look_up(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+        last = np.cumsum(counts + 1) - 1
+        all_slots = np.zeros(len(slots) + len(counts), np.int64)
+        is_word = np.ones(len(all_slots), bool)
+        is_word[last] = False
+        all_slots[is_word] = slots
+        sizes = self.size[all_slots]
+        ends = np.cumsum(sizes)
+        ids = self.ids[ragged(self.first[all_slots], sizes)]
         closes = self.closing[ids[np.maximum(ends - 1, 0)]]
         return ids, ends, closes, ends[last]
 
@@ -237,7 +308,7 @@ def _packer(path: str, rule: PackRule, most_words: int = CACHED_WORDS) -> Callab
         pieces = _Pieces(TaskContext.get().partitionId() << 33)
         ids, docs, bounds = np.zeros(0, "<u4"), [], np.zeros(1, np.int64)
         for rows, _, _ in blocks(batches, "text", PACK_BYTES):
-            new, ends, closes, text_ends = tokenizer.stream(rows.column("text").to_pylist())
+            new, ends, closes, text_ends = tokenizer.stream(rows.column("text"))
             held = len(ids)
             ids = np.concatenate([ids, new])
             sizes = np.diff(text_ends, prepend=0)
