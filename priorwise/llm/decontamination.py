@@ -32,9 +32,10 @@ _ADDED = ("n_words", "hit_starts", "hit_ends", "hit_items")
 
 @dataclass
 class Phrases:
-    """Distinct windows of the items by length, in symbols of the sorted word hashes ``known``."""
+    """Distinct windows of the items by length, in symbols of their words: sorted hashes ``known`` and a second hash of each."""
 
     known: np.ndarray
+    second: np.ndarray
     groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # windows, offsets into the items, items
     least: int
 
@@ -45,7 +46,8 @@ def build_phrases(ids: list[int | None], texts: list[str | None], window: int) -
     data = LOWER[data]
     starts, ends, first = word_spans(data, offsets, WORD_BYTES)
     codes = word_hashes(data, starts, ends)
-    known = np.unique(codes)
+    known, at = np.unique(codes, return_index=True)
+    second = word_hashes(data, starts[at], ends[at], 1)
     symbols = np.searchsorted(known, codes) + 1
     by_length: dict[int, dict[tuple, set]] = {}
     for k, item in enumerate(ids):
@@ -58,22 +60,34 @@ def build_phrases(ids: list[int | None], texts: list[str | None], window: int) -
         items = [sorted(x for x in s if x is not None) for s in windows.values()]
         counts = np.array([len(x) for x in items], np.int64)
         groups.append((np.array(list(windows), np.int64), np.append(0, np.cumsum(counts)), np.array([x for s in items for x in s], np.int64)))
-    return Phrases(known, groups, min(by_length, default=window))
+    return Phrases(known, second, groups, min(by_length, default=window))
 
 
-def _find(phrases: Phrases, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hit words, and (document, item) of all occurrences in a shard."""
+def _symbols(phrases: Phrases, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Symbol of each word, 0 where no phrase holds it: both of its hashes must agree."""
+    out = np.zeros(len(starts), np.int64)
+    if not len(starts) or not len(phrases.known):
+        return out
+    codes = word_hashes(data, starts, ends)
+    at = np.minimum(np.searchsorted(phrases.known, codes), len(phrases.known) - 1)
+    some = np.flatnonzero(phrases.known[at] == codes)
+    some = some[word_hashes(data, starts[some], ends[some], 1) == phrases.second[at[some]]]
+    out[some] = at[some] + 1
+    return out
+
+
+def _find(phrases: Phrases, symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hit words, and (document, item) of all occurrences in a shard of words given by their symbols."""
     none = np.zeros(0, np.int64)
-    hit = np.zeros(len(codes), bool)
-    if not len(codes) or not len(phrases.known):
+    hit = np.zeros(len(symbols), bool)
+    if not len(symbols) or not len(phrases.known):
         return hit, none, none
-    at = np.minimum(np.searchsorted(phrases.known, codes), len(phrases.known) - 1)
-    inside = phrases.known[at] == codes
+    inside = symbols > 0
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
     edge = first[1:-1]
-    edge = edge[(edge > 0) & (edge < len(codes))]
+    edge = edge[(edge > 0) & (edge < len(symbols))]
     begins[edge] = inside[edge]
     ends[edge - 1] = inside[edge - 1]
     run_start, run_end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
@@ -83,7 +97,7 @@ def _find(phrases: Phrases, codes: np.ndarray, first: np.ndarray) -> tuple[np.nd
         return hit, none, none
     sizes = run_end - run_start
     place = ragged(run_start, sizes + 1)  # the word after a run stands for its separator
-    text = np.append(at + 1, 0)[place]
+    text = np.append(symbols, 0)[place]
     text[np.cumsum(sizes + 1) - 1] = 0
     index = FMIndex(text, len(phrases.known))
     docs, items = [none], [none]
@@ -100,7 +114,7 @@ def _find(phrases: Phrases, codes: np.ndarray, first: np.ndarray) -> tuple[np.nd
         count = (offsets[1:] - offsets[:-1])[pair[:, 1]]
         docs.append(np.repeat(pair[:, 0], count))
         items.append(owners[ragged(offsets[pair[:, 1]], count)])
-    hit = covered(len(codes), np.concatenate(starts), np.concatenate(lengths))
+    hit = covered(len(symbols), np.concatenate(starts), np.concatenate(lengths))
     return hit, np.concatenate(docs), np.concatenate(items)
 
 
@@ -123,19 +137,19 @@ def _scan(phrases: Phrases, kept: list[str], cut: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in blocks(batches, "text", SHARD_BYTES):
             # words are found in smaller blocks of whole rows, the index covers all of them
-            codes, first, places = [], [np.zeros(1, np.int64)], []
+            symbols, first, places = [], [np.zeros(1, np.int64)], []
             n = size_before = 0
             for _, part, at in blocks(iter([rows.select(["text"])]), "text"):
                 part = LOWER[part]
                 s, e, f = word_spans(part, at, WORD_BYTES)
-                codes.append(word_hashes(part, s, e))
+                symbols.append(_symbols(phrases, part, s, e))
                 first.append(f[1:] + n)
                 n += len(s)
                 if cut:
                     places.append((s + size_before, e + size_before))
                     size_before += len(part)
             first = np.concatenate(first)
-            hit, docs, items = _find(phrases, np.concatenate(codes) if codes else np.zeros(0, np.uint64), first)
+            hit, docs, items = _find(phrases, np.concatenate(symbols) if symbols else np.zeros(0, np.int64), first)
             if "hit_starts" in rows.schema.names:  # what another part of the phrases has found
                 begin, end = rows.column("hit_starts"), rows.column("hit_ends")
                 base = np.repeat(first[:-1], pc.list_value_length(begin).to_numpy(zero_copy_only=False))

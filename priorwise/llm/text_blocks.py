@@ -13,11 +13,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from xxhash import xxh64_intdigest
 
 BLOCK_BYTES = 2 << 20
 
 _U = np.uint64
-_BYTE_BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -118,11 +118,33 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tup
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets, "left")
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word's bytes."""
+_TAILS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=_U)
+#: words beyond so many bytes are hashed one by one
+LONG_WORD = 256
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each word's bytes; hashes of different seeds are independent.
+
+    Eight bytes at a time are mixed into the state, so that no structure of a
+    word (as periods and complements have for polynomials) survives.
+    """
     if not len(starts):
         return np.zeros(0, _U)
-    return poly_hashes(BYTE_CODES[data], starts, ends, _BYTE_BASE)
+    sizes = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    state = mix(sizes.astype(_U) + _U((seed + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+    who = np.flatnonzero(sizes <= LONG_WORD)
+    at, rest = starts[who], sizes[who]
+    while len(who):
+        lane = lanes[at] & _TAILS[np.minimum(rest, 8)]
+        state[who] = mix((state[who] ^ lane) * _U(0xFF51AFD7ED558CCD))
+        more = rest > 8
+        who, at, rest = who[more], at[more] + 8, rest[more] - 8
+    for k in np.flatnonzero(sizes > LONG_WORD).tolist():
+        state[k] = xxh64_intdigest(data[starts[k] : ends[k]].tobytes(), seed)
+    return state
 
 
 def covered(n: int, starts: np.ndarray, length: int | np.ndarray) -> np.ndarray:
