@@ -11,10 +11,10 @@ NO_ID = np.iinfo(np.int64).min
 
 def _planes(a: np.ndarray) -> bytes:
     """Bytes of an array by significance, which compress better than its items."""
-    return a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()
+    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()
 
 
-def _unplaned(data: memoryview, n: int, dtype: type) -> np.ndarray:
+def _unplaned(data: memoryview, n: int, dtype: type | np.dtype) -> np.ndarray:
     size = np.dtype(dtype).itemsize
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, n).T).view(dtype).ravel()
 
@@ -24,7 +24,7 @@ def pack(**arrays: np.ndarray) -> bytes:
     return head.tobytes() + b"".join(_planes(a) for a in arrays.values())
 
 
-def unpack(data: bytes, **dtypes: type) -> dict[str, np.ndarray]:
+def unpack(data: bytes, **dtypes: type | np.dtype) -> dict[str, np.ndarray]:
     view = memoryview(data)
     sizes = np.frombuffer(view[: 8 * len(dtypes)], np.int64)
     at, out = 8 * len(dtypes), {}

@@ -1,16 +1,20 @@
 """Removal of repeated word windows by Rabin-Karp hashes.
 
-Tasks hash every window of ``window`` words of their documents, keep the
-earliest window of each hash, and deal the hashes out by ranges of a second
-hash as packed arrays. Each range is sorted once: all windows of a hash but the
-earliest are repeats. The answers travel back as packed arrays of window starts
-and meet the documents, where windows merge into maximal intervals of removed
-words. A window that a third of the documents share reaches its range once for
-each run of documents that a task reads, not once for each document.
-
-Two windows count as equal if a 64-bit hash and the range's part of another
-agree; for n windows in k ranges the expected number of false matches is
-n * n / (k * 2**65).
+Tasks hash every window of ``window`` words of their documents and deal them
+out by ranges of a second hash as packed arrays. A task sends each hash once for
+a run of documents, with the earliest window that has it; the run's other
+windows with this hash are repeats already and travel straight to their
+documents. So a window that a third of the documents share reaches its range
+once for each run, not once for each document. Each range is sorted once: all
+windows of a hash but the earliest are repeats. The answers travel back as
+packed arrays of window starts and meet the documents, where windows merge into
+maximal intervals of removed words.
+
+Words are hashed to 64 bits that keep no structure of the word, and windows by
+two polynomials of these. Two windows count as equal if one 64-bit hash and the
+range's part of the other agree; for n windows in k ranges the expected number
+of false matches is n * n / (k * 2**65). The number of ranges and of groups of
+documents follows the bytes of text, so that neither grows with the corpus.
 """
 
 from __future__ import annotations
@@ -21,10 +25,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from priorwise.llm.packed import NO_ID, id_column, pack, unpack
-from priorwise.llm.shared import in_small_batches
+from priorwise.llm.doc_keys import by_group, keyed, keys_of, ranks
+from priorwise.llm.packed import pack, unpack
 from priorwise.llm.text_blocks import NOT_SPACE, blocks, covered, poly_hashes, ragged, word_hashes, word_spans
 
 SCHEMA = "doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 string, kept string"
@@ -33,19 +36,8 @@ RUN_BYTES = 8 << 20
 _BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
 _U = np.uint64
 
-
-_WINDOWS = {"ids": np.int64, "marks": np.int32, "counts": np.uint32, "starts": np.uint32, "hashes": np.uint64, "again": np.uint32, "again_starts": np.uint32}
-_ANSWER = {"ids": np.int64, "marks": np.int32, "counts": np.uint32, "starts": np.uint32}
-
-
-def _doc_ranks(ids: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Dense rank of each document by (id, mark)."""
-    order = np.lexsort((marks, ids))
-    new = np.ones(len(ids), bool)
-    new[1:] = (ids[order][1:] != ids[order][:-1]) | (marks[order][1:] != marks[order][:-1])
-    rank = np.empty(len(ids), np.int64)
-    rank[order] = np.cumsum(new) - 1
-    return rank
+_WINDOWS = {"counts": np.uint32, "starts": np.uint32, "hashes": np.uint64, "again": np.uint32, "again_starts": np.uint32}
+_ANSWER = {"counts": np.uint32, "starts": np.uint32}
 
 
 def _earliest(hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -59,19 +51,27 @@ def _earliest(hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _windows(window: int, ranges: int):
+def _windows(window: int, ranges: int, dtype: np.dtype):
     def emit(run: list[tuple]) -> Iterator[pa.RecordBatch]:
         at, parts = 0, []
-        for ids, marks, doc, start, h, r in run:
-            parts.append((ids, marks, doc + at, start, h, r))
-            at += len(ids)
-        ids, marks, doc, start, h, r = (np.concatenate(x) for x in zip(*parts))
+        for keys, doc, start, h, r in run:
+            parts.append((keys, doc + at, start, h, r))
+            at += len(keys)
+        keys, doc, start, h, r = (np.concatenate(x) for x in zip(*parts))
         if not len(h):
             return
-        key = _doc_ranks(ids, marks)[doc] << 32 | start
-        first = _earliest(h, key)
+        place = ranks(keys)[doc] << 32 | start
         order = np.argsort(r, kind="stable")
         edges = np.searchsorted(r[order], np.arange(ranges + 1))
+        first = np.empty(len(h), bool)
+        for k in range(ranges):
+            mine = order[edges[k] : edges[k + 1]]
+            if len(mine):
+                first[mine] = _earliest(h[mine], place[mine])
+        # repeats within the run need no match: they are dealt evenly, by document
+        part = np.where(first, r, (keys["id"][doc] % ranges).astype(np.int32))
+        order = np.lexsort((start, doc, part))
+        edges = np.searchsorted(part[order], np.arange(ranges + 1))
         for k in range(ranges):
             mine = order[edges[k] : edges[k + 1]]
             if not len(mine):
@@ -79,10 +79,8 @@ def _windows(window: int, ranges: int):
             new, old = mine[first[mine]], mine[~first[mine]]
             docs, counts = np.unique(doc[new], return_counts=True)
             extra, again = np.unique(doc[old], return_inverse=True)
-            known = np.concatenate([docs, extra])
             payload = pack(
-                ids=ids[known],
-                marks=marks[known],
+                docs=keys[np.concatenate([docs, extra])],
                 counts=counts.astype(np.uint32),
                 starts=start[new].astype(np.uint32),
                 hashes=h[new],
@@ -101,8 +99,7 @@ def _windows(window: int, ranges: int):
             doc = np.repeat(np.arange(rows.num_rows), n)
             h = poly_hashes(codes, at, at + window, _BASES[0])
             part = (poly_hashes(codes, at, at + window, _BASES[1]) % _U(ranges)).astype(np.int32)
-            marks = rows.column("mark").to_numpy(zero_copy_only=False).astype(np.int32)
-            held.append((id_column(rows), marks, doc, at - first[:-1][doc], h, part))
+            held.append((keys_of(rows, dtype), doc, at - first[:-1][doc], h, part))
             size += len(data)
             if size >= RUN_BYTES:
                 yield from emit(held)
@@ -113,61 +110,38 @@ def _windows(window: int, ranges: int):
     return run
 
 
-def _repeats(groups: int):
+def _repeats(dtype: np.dtype):
     """Answers of each range of hashes, by groups of documents."""
 
-    def solve(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
-        ids, marks, doc, start, h, again, again_starts = [], [], [], [], [], [], []
+    def solve(payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
+        keys, doc, start, h, again, again_starts = [], [], [], [], [], []
         at = 0
         for payload in payloads:
-            x = unpack(payload, **_WINDOWS)
-            ids.append(x["ids"])
-            marks.append(x["marks"])
+            x = unpack(payload, docs=dtype, **_WINDOWS)
+            keys.append(x["docs"])
             doc.append(np.repeat(np.arange(len(x["counts"])), x["counts"]) + at)
             start.append(x["starts"].astype(np.int64))
             h.append(x["hashes"])
             again.append(x["again"].astype(np.int64) + at)
             again_starts.append(x["again_starts"].astype(np.int64))
-            at += len(x["ids"])
-        ids, marks, doc, start, h = (np.concatenate(x) for x in (ids, marks, doc, start, h))
-        late = np.zeros(0, bool) if not len(h) else ~_earliest(h, _doc_ranks(ids, marks)[doc] << 32 | start)
+            at += len(x["docs"])
+        keys, doc, start, h = (np.concatenate(x) for x in (keys, doc, start, h))
+        late = np.zeros(0, bool) if not len(h) else ~_earliest(h, ranks(keys)[doc] << 32 | start)
         doc = np.concatenate([doc[late], *again])
         start = np.concatenate([start[late], *again_starts])
-        return ids[doc], marks[doc], start
-
-    def answer(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        ids, marks, start = (np.concatenate(x) for x in zip(*found))
-        group = ids % groups
-        order = np.lexsort((start, marks, ids, group))
-        ids, marks, start, group = ids[order], marks[order], start[order], group[order]
-        edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(ids) else np.zeros(1, np.int64)
-        out: tuple[list, list] = ([], [])
-        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            i, m = ids[s:e], marks[s:e]
-            new = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (m[1:] != m[:-1])]))
-            counts = np.diff(np.append(new, e - s)).astype(np.uint32)
-            out[0].append(int(group[s]))
-            out[1].append(pack(ids=i[new], marks=m[new], counts=counts, starts=start[s:e].astype(np.uint32)))
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], ["grp", "payload"])
+        yield from by_group(keys[doc], start, {"starts": start.astype(np.uint32)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, payloads, found, size = None, [], [], 0
+        part, payloads = None, []
         for batch in batches:
-            for k, payload in zip(batch.column("part").to_pylist(), batch.column("payload").to_pylist()):
+            for k, payload in zip(batch.column("part").to_pylist(), batch.column("payload")):
                 if k != part and payloads:
-                    found.append(solve(payloads))
-                    size += len(found[-1][0])
+                    yield from solve(payloads)
                     payloads = []
-                    if size > 1 << 22:
-                        yield from answer(found)
-                        found, size = [], 0
                 part = k
-                payloads.append(payload)
+                payloads.append(payload.as_py())
         if payloads:
-            found.append(solve(payloads))
-        if found:
-            yield from answer(found)
+            yield from solve(payloads)
 
     return run
 
@@ -188,18 +162,17 @@ def keep_words(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends:
     return flat.tobytes(), edge[rows]
 
 
-def _finish(window: int, with_text: bool):
+def _finish(window: int, with_text: bool, dtype: np.dtype):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        repeated: dict[tuple[int, int], list[np.ndarray]] = {}
-        for payload in answers.column("payload").to_pylist():
-            x = unpack(payload, **_ANSWER)
-            for i, m, s in zip(x["ids"].tolist(), x["marks"].tolist(), np.split(x["starts"], np.cumsum(x["counts"])[:-1])):
-                repeated.setdefault((i, m), []).append(s)
+        repeated: dict[tuple, list[np.ndarray]] = {}
+        for payload in answers.column("payload"):
+            x = unpack(payload.as_py(), docs=dtype, **_ANSWER)
+            for key, s in zip(x["docs"].tolist(), np.split(x["starts"], np.cumsum(x["counts"].astype(np.int64))[:-1])):
+                repeated.setdefault(key, []).append(s)
         out = []
         for rows, data, offsets in blocks(iter(docs.combine_chunks().to_batches()), "text"):
             starts, ends, first = word_spans(data, offsets, NOT_SPACE)
-            keys = zip(id_column(rows).tolist(), rows.column("mark").to_pylist())
-            found = [s.astype(np.int64) + first[k] for k, key in enumerate(keys) for s in repeated.get(key, ())]
+            found = [s.astype(np.int64) + first[k] for k, key in enumerate(keys_of(rows, dtype).tolist()) for s in repeated.get(key, ())]
             gone = covered(len(starts), np.concatenate(found) if found else np.zeros(0, np.int64), window)
             text, edge = keep_words(data, offsets, starts, ends, first, ~gone)
             total = np.concatenate([[0], np.cumsum(gone)])
@@ -235,17 +208,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = True) ->
     the text that stays (null unless ``with_text``). A null text has no words. A
     null doc_id sorts before all others. Rows that repeat a doc_id and a text
     are one document and have equal results; rows with the same doc_id and
-    different texts are ordered by a hash of the text.
+    different texts are ordered by hashes of the text (128 bits).
     """
-    spark = in_small_batches(docs).sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    # marks tell rows with the same doc_id apart; without such rows none are sent
-    repeated = ids.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    mark = F.hash(F.coalesce("text", F.lit(""))) if repeated else F.lit(0)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", mark.alias("mark"))
-    ranges, groups = parts, 2 * parts
-    dealt = source.mapInArrow(_windows(window, ranges), "part int, payload binary")
-    answers = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_repeats(groups), "grp long, payload binary")
-    grouped = source.withColumn("grp", F.pmod(F.coalesce("doc_id", F.lit(NO_ID)), F.lit(groups).cast("long")))
-    return grouped.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_finish(window, with_text), SCHEMA)
+    k = keyed(docs)
+    dealt = k.source.mapInArrow(_windows(window, k.parts, k.dtype), "part int, payload binary")
+    answers = dealt.repartition(k.parts, "part").sortWithinPartitions("part").mapInArrow(_repeats(k.dtype), "grp int, payload binary")
+    return k.source.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_finish(window, with_text, k.dtype), SCHEMA)

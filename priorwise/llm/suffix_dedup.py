@@ -14,6 +14,10 @@ the anchors are sorted the same way, read backwards. A window that starts
 before and ``length - a`` bytes after it: both are classes of neighbours in the
 two orders. (4) Repeated starts travel back to the documents and merge into
 maximal removed runs.
+
+Equal surroundings of an anchor within a group of documents travel once, with
+the places that have them. The numbers of parts and of groups follow the bytes
+of text.
 """
 
 from __future__ import annotations
@@ -24,11 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from priorwise.llm.packed import NO_ID, id_column, pack, unpack
-from priorwise.llm.shared import in_small_batches
-from priorwise.llm.text_blocks import BYTE_CODES, blocks, poly_hashes
+from priorwise.llm.doc_keys import by_group, keyed, keys_of
+from priorwise.llm.packed import pack, unpack
+from priorwise.llm.text_blocks import BYTE_CODES, blocks, poly_hashes, ragged
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 RUN_BYTES = 8 << 20
@@ -36,13 +39,13 @@ _PIECE = 1 << 21
 _BASE = 0x8CB92BA72F3D8DD7
 _U = np.uint64
 
-_ANCHORS = {"ids": np.int64, "marks": np.int32, "hashes": np.uint64, "doc": np.uint32, "pos": np.uint32, "low": np.uint16, "high": np.uint16, "known": np.uint8}
-_PLACES = {"ids": np.int64, "marks": np.int32, "counts": np.uint32, "pos": np.uint32, "low": np.uint16, "high": np.uint16, "hashes": np.uint64}
+_ANCHORS = {"hashes": np.uint64, "doc": np.uint32, "pos": np.uint32, "low": np.uint16, "high": np.uint16, "known": np.uint8}
+_PLACES = {"counts": np.uint32, "pos": np.uint32, "low": np.uint16, "high": np.uint16, "hashes": np.uint64}
 _RUNS = {
-    "ids": np.int64, "marks": np.int32, "doc": np.uint32, "pos": np.uint32, "low": np.uint16, "high": np.uint16,
-    "shared": np.uint16, "rest": np.uint16, "text": np.uint8, "back_shared": np.uint16, "back_rest": np.uint16, "back": np.uint8,
+    "doc": np.uint32, "pos": np.uint32, "copies": np.uint32, "low": np.uint16, "high": np.uint16, "shared": np.uint16, "rest": np.uint16,
+    "text": np.uint8, "back_order": np.uint32, "back_shared": np.uint16, "back_rest": np.uint16, "back": np.uint8,
 }
-_STARTS = {"ids": np.int64, "marks": np.int32, "counts": np.uint32, "first": np.uint32, "more": np.uint16}
+_STARTS = {"counts": np.uint32, "first": np.uint32, "more": np.uint16}
 
 
 # ---------------------------------------------------------------- anchors
@@ -87,13 +90,13 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _deal_anchors(length: int, gram: int, ranges: int):
+def _deal_anchors(length: int, gram: int, ranges: int, dtype: np.dtype):
     def emit(run: list[tuple]) -> Iterator[pa.RecordBatch]:
         at, parts = 0, []
-        for ids, marks, doc, *rest in run:
-            parts.append((ids, marks, doc + at, *rest))
-            at += len(ids)
-        ids, marks, doc, h, pos, low, high = (np.concatenate(x) for x in zip(*parts))
+        for keys, doc, *rest in run:
+            parts.append((keys, doc + at, *rest))
+            at += len(keys)
+        keys, doc, h, pos, low, high = (np.concatenate(x) for x in zip(*parts))
         if not len(h):
             return
         _, first, back, counts = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
@@ -101,7 +104,7 @@ def _deal_anchors(length: int, gram: int, ranges: int):
         lead[first] = True
         known = counts[back] > 1
         # one anchor of each hash is matched with other runs, its copies only travel on
-        part = np.where(lead, (h % _U(ranges)).astype(np.int64), doc % ranges)
+        part = np.where(lead, (h % _U(ranges)).astype(np.int64), keys["id"][doc] % ranges)
         order = np.lexsort((pos, doc, ~lead, part))
         edges = np.searchsorted(part[order], np.arange(ranges + 1))
         for k in range(ranges):
@@ -111,7 +114,7 @@ def _deal_anchors(length: int, gram: int, ranges: int):
             docs, which = np.unique(doc[mine], return_inverse=True)
             # copies of a known anchor carry no match of their own
             state = np.where(lead[mine], known[mine], 2).astype(np.uint8)
-            payload = pack(ids=ids[docs], marks=marks[docs], hashes=h[mine], doc=which.astype(np.uint32), pos=pos[mine].astype(np.uint32), low=low[mine].astype(np.uint16), high=high[mine].astype(np.uint16), known=state)
+            payload = pack(docs=keys[docs], hashes=h[mine], doc=which.astype(np.uint32), pos=pos[mine].astype(np.uint32), low=low[mine].astype(np.uint16), high=high[mine].astype(np.uint16), known=state)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([payload], pa.binary())], ["part", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,8 +122,7 @@ def _deal_anchors(length: int, gram: int, ranges: int):
         for rows, data, offsets in blocks(batches, "text"):
             h, pos, first, last = anchors(data, offsets, length, gram)
             doc = np.searchsorted(offsets, pos, "right") - 1
-            marks = rows.column("mark").to_numpy(zero_copy_only=False).astype(np.int32)
-            held.append((id_column(rows), marks, doc, h, pos - offsets[doc], pos - last, pos - first))
+            held.append((keys_of(rows, dtype), doc, h, pos - offsets[doc], pos - last, pos - first))
             size += len(data)
             if size >= RUN_BYTES:
                 yield from emit(held)
@@ -131,24 +133,6 @@ def _deal_anchors(length: int, gram: int, ranges: int):
     return run
 
 
-def _group_rows(groups: int, ids: np.ndarray, marks: np.ndarray, order_by: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Payloads by groups of documents: ids, marks and counts of each document, then the columns."""
-    if not len(ids):
-        return
-    group = ids % groups
-    order = np.lexsort((order_by, marks, ids, group))
-    ids, marks, group = ids[order], marks[order], group[order]
-    edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
-    keys, payloads = [], []
-    for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        i, m = ids[s:e], marks[s:e]
-        new = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (m[1:] != m[:-1])]))
-        counts = np.diff(np.append(new, e - s)).astype(np.uint32)
-        keys.append(int(group[s]))
-        payloads.append(pack(ids=i[new], marks=m[new], counts=counts, **{k: v[order[s:e]] for k, v in columns.items()}))
-    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(payloads, pa.binary())], ["grp", "payload"])
-
-
 def _by_part(solve):
     """Apply ``solve`` to the payloads of each part in turn; rows are sorted by part."""
 
@@ -167,19 +151,19 @@ def _by_part(solve):
     return run
 
 
-def _repeated_anchors(groups: int):
+def _repeated_anchors(dtype: np.dtype):
     def solve(payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
         found = []
         for payload in payloads:
-            x = unpack(payload, **_ANCHORS)
-            found.append((x["ids"][x["doc"]], x["marks"][x["doc"]], x["hashes"], x["pos"], x["low"], x["high"], x["known"]))
-        ids, marks, h, pos, low, high, state = (np.concatenate(x) for x in zip(*found))
+            x = unpack(payload, docs=dtype, **_ANCHORS)
+            found.append((x["docs"][x["doc"]], x["hashes"], x["pos"], x["low"], x["high"], x["known"]))
+        keys, h, pos, low, high, state = (np.concatenate(x) for x in zip(*found))
         match = np.flatnonzero(state < 2)
         _, back, counts = np.unique(h[match], return_inverse=True, return_counts=True)
         repeated = state > 0
         repeated[match] |= counts[back] > 1
         k = np.flatnonzero(repeated)
-        yield from _group_rows(groups, ids[k], marks[k], pos[k], {"pos": pos[k], "low": low[k], "high": high[k], "hashes": h[k]})
+        yield from by_group(keys[k], pos[k], {"pos": pos[k], "low": low[k], "high": high[k], "hashes": h[k]})
 
     return _by_part(solve)
 
@@ -274,97 +258,103 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[tuple[in
     return order, prefix
 
 
-def _suffix_runs(length: int, ranges: int):
-    """Sorted, front-coded runs of the suffixes at repeated anchors, dealt by anchor hash."""
+def _suffix_runs(length: int, ranges: int, dtype: np.dtype):
+    """Sorted, front-coded runs of the suffixes at repeated anchors, and of the texts before them, dealt by anchor hash."""
+
+    def coded(part: int, around: dict[tuple, list[tuple]]) -> bytes:
+        # surroundings (after, before backwards, low, high) in the order of the texts after the anchors, with their places
+        rows = sorted(around)
+        places = [p for r in rows for p in around[r]]
+        keys = list(dict.fromkeys(p[0] for p in places))
+        number = {key: k for k, key in enumerate(keys)}
+        shared, rest, text = front_code([r[0] for r in rows])
+        back_order = sorted(range(len(rows)), key=lambda k: rows[k][1])
+        back_shared, back_rest, back = front_code([rows[k][1] for k in back_order])
+        return pack(
+            docs=np.array(keys, dtype), doc=np.array([number[p[0]] for p in places], np.uint32), pos=np.array([p[1] for p in places], np.uint32),
+            copies=np.array([len(around[r]) for r in rows], np.uint32), low=np.array([r[2] for r in rows], np.uint16), high=np.array([r[3] for r in rows], np.uint16),
+            shared=shared, rest=rest, text=text, back_order=np.array(back_order, np.uint32), back_shared=back_shared, back_rest=back_rest, back=back,
+        )
 
     def run(docs: pa.Table, places: pa.Table) -> pa.Table:
-        texts: dict[tuple[int, int], list[bytes]] = {}
-        found: dict[tuple[int, int], list[tuple]] = {}
-        for payload in places.column("payload").to_pylist():
-            x = unpack(payload, **_PLACES)
+        found: dict[tuple, list[tuple]] = {}
+        for payload in places.column("payload"):
+            x = unpack(payload.as_py(), docs=dtype, **_PLACES)
             edge = [0, *np.cumsum(x["counts"].astype(np.int64)).tolist()]
             rows = list(zip(x["pos"].tolist(), x["low"].tolist(), x["high"].tolist(), (x["hashes"] % _U(ranges)).tolist()))
-            for k, key in enumerate(zip(x["ids"].tolist(), x["marks"].tolist())):
+            for k, key in enumerate(x["docs"].tolist()):
                 found.setdefault(key, []).extend(rows[edge[k] : edge[k + 1]])
+        dealt: dict[int, dict[tuple, list[tuple]]] = {}
         for batch in docs.combine_chunks().to_batches():
-            for key in zip(zip(id_column(batch).tolist(), batch.column("mark").to_pylist()), batch.column("text").to_pylist()):
-                if key[0] in found and key[1]:
-                    texts.setdefault(key[0], []).append(key[1].encode("utf-8"))
-        dealt: dict[int, list[tuple]] = {}
-        for key, places_of in found.items():
-            for text in texts.get(key, ()):
-                for pos, low, high, part in set(places_of):
+            for key, value in zip(keys_of(batch, dtype).tolist(), batch.column("text")):
+                text = value.as_py().encode("utf-8") if key in found and value.is_valid else b""
+                for pos, low, high, part in set(found.get(key, ())) if text else ():
                     # a window may start up to ``high`` bytes before the anchor and ends ``length - low`` after it
-                    dealt.setdefault(part, []).append((text[pos : pos + length - low], text[pos - high : pos][::-1], key, pos, low, high))
-        parts, payloads = [], []
-        for part, rows in dealt.items():
-            rows.sort(key=lambda r: (r[0], r[1]))
-            keys = list(dict.fromkeys(r[2] for r in rows))
-            number = {key: k for k, key in enumerate(keys)}
-            shared, rest, text = front_code([r[0] for r in rows])
-            back_shared, back_rest, back = front_code([r[1] for r in rows])
-            parts.append(part)
-            payloads.append(
-                pack(
-                    ids=np.array([i for i, _ in keys], np.int64), marks=np.array([m for _, m in keys], np.int32),
-                    doc=np.array([number[r[2]] for r in rows], np.uint32), pos=np.array([r[3] for r in rows], np.uint32),
-                    low=np.array([r[4] for r in rows], np.uint16), high=np.array([r[5] for r in rows], np.uint16),
-                    shared=shared, rest=rest, text=text, back_shared=back_shared, back_rest=back_rest, back=back,
-                )
-            )
-        return pa.table({"part": pa.array(parts, pa.int32()), "payload": pa.array(payloads, pa.binary())})
+                    around = (text[pos : pos + length - low], text[pos - high : pos][::-1], low, high)
+                    dealt.setdefault(part, {}).setdefault(around, []).append((key, pos))
+        return pa.table({"part": pa.array(list(dealt), pa.int32()), "payload": pa.array([coded(k, rows) for k, rows in dealt.items()], pa.binary())})
 
     return run
 
 
-def repeated_offsets(right: np.ndarray, right_prefix: np.ndarray, left: np.ndarray, left_prefix: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> np.ndarray:
-    """For each anchor and offset a, whether the window that starts a bytes before the anchor repeats.
+def repeated_runs(
+    right: np.ndarray, right_prefix: np.ndarray, left: np.ndarray, left_prefix: np.ndarray, low: np.ndarray, high: np.ndarray, copied: np.ndarray, length: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of offsets a (row, first, last) for which the window that starts a bytes before the row's anchor repeats.
 
     ``right`` and ``left`` are the orders of the texts after and, backwards,
     before the anchors; the prefixes are what each text shares with the one
-    before it in its order.
+    before it in its order. All windows of a ``copied`` row repeat.
     """
     n = len(low)
-    hits = np.zeros((n, int(high.max()) + 1 if n else 0), bool)
     after, before = np.empty(n, np.int64), np.empty(n, np.int64)
-    for a in range(hits.shape[1]):
+    open_, since = np.zeros(n, bool), np.zeros(n, np.int64)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for a in range(int(high.max()) + 2 if n else 0):
+        hit = copied & (low <= a) & (a <= high)
         active = np.flatnonzero((low <= a) & (a <= high))
-        if len(active) < 2:
-            continue
-        after[right] = np.cumsum(right_prefix < length - a)
-        before[left] = np.cumsum(left_prefix < a)
-        both = after[active] * (n + 1) + before[active]
-        order = np.argsort(both, kind="stable")
-        same = both[order][1:] == both[order][:-1]
-        twice = np.zeros(len(active), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        hits[active[twice], a] = True
-    return hits
-
-
-def _merge(length: int, groups: int):
+        if len(active) > 1:
+            after[right] = np.cumsum(right_prefix < length - a)
+            before[left] = np.cumsum(left_prefix < a)
+            both = after[active] * (n + 1) + before[active]
+            order = np.argsort(both, kind="stable")
+            same = both[order][1:] == both[order][:-1]
+            hit[active[order[1:][same]]] = True
+            hit[active[order[:-1][same]]] = True
+        ended = np.flatnonzero(open_ & ~hit)
+        out.append((ended, since[ended], np.full(len(ended), a - 1)))
+        since[hit & ~open_] = a
+        open_ = hit
+    if not out:
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _merge(length: int, dtype: np.dtype):
     def solve(payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
-        runs, backs, rows = [], [], []
+        runs, backs, held = [], [], []
         for payload in payloads:
-            x = unpack(payload, **_RUNS)
-            shared = x["shared"].tolist()
-            runs.append((front_decode(shared, x["rest"].tolist(), x["text"].tobytes()), shared))
-            backs += front_decode(x["back_shared"].tolist(), x["back_rest"].tolist(), x["back"].tobytes())
-            rows.append((x["ids"][x["doc"]], x["marks"][x["doc"]], x["pos"], x["low"], x["high"]))
-        ids, marks, pos, low, high = (np.concatenate(x) for x in zip(*rows))
+            x = unpack(payload, docs=dtype, **_RUNS)
+            for into, kind in ((runs, ""), (backs, "back_")):
+                shared = x[f"{kind}shared"].tolist()
+                into.append((front_decode(shared, x[f"{kind}rest"].tolist(), x["back" if kind else "text"].tobytes()), shared))
+            held.append((x["docs"][x["doc"]], x["pos"].astype(np.int64), x["copies"].astype(np.int64), x["low"], x["high"], x["back_order"]))
         base = np.cumsum([0, *(len(r[0]) for r in runs)])
         order, prefix = merge_runs(runs)
         right = np.array([base[r] + i for r, i in order], np.int64)
-        left = np.array(sorted(range(len(backs)), key=backs.__getitem__), np.int64)
-        left_prefix = np.array([0, *(common_prefix(backs[i], backs[j]) for i, j in zip(left[:-1].tolist(), left[1:].tolist()))], np.int64)
-        hits = repeated_offsets(right, np.array(prefix, np.int64), left, left_prefix, low.astype(np.int64), high.astype(np.int64), length)
-        # runs of offsets are runs of window starts
-        edge = np.diff(np.pad(hits, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-        row, first = np.nonzero(edge == 1)
-        _, last = np.nonzero(edge == -1)
-        start = pos[row].astype(np.int64) - (last - 1)
-        yield from _group_rows(groups, ids[row], marks[row], start, {"first": start.astype(np.uint32), "more": (last - 1 - first).astype(np.uint16)})
+        back_orders = [h[-1] for h in held]
+        order, left_prefix = merge_runs(backs)
+        left = np.array([base[r] + back_orders[r][i] for r, i in order], np.int64)
+        keys, pos, copies, low, high = (np.concatenate(x) for x in zip(*(h[:-1] for h in held)))
+        row, first, last = repeated_runs(
+            right, np.array(prefix, np.int64), left, np.array(left_prefix, np.int64), low.astype(np.int64), high.astype(np.int64), copies > 1, length
+        )
+        # every place of the row has its runs of offsets, which are runs of window starts
+        place = ragged((np.cumsum(copies) - copies)[row], copies[row])
+        first, last = np.repeat(first, copies[row]), np.repeat(last, copies[row])
+        start = pos[place] - last
+        yield from by_group(keys[place], start, {"first": start.astype(np.uint32), "more": (last - first).astype(np.uint16)})
 
     return _by_part(solve)
 
@@ -372,17 +362,17 @@ def _merge(length: int, groups: int):
 # ---------------------------------------------------------------- answers
 
 
-def _finish(length: int, with_text: bool):
+def _finish(length: int, with_text: bool, dtype: np.dtype):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        repeated: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
-        for payload in answers.column("payload").to_pylist():
-            x = unpack(payload, **_STARTS)
+        repeated: dict[tuple, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for payload in answers.column("payload"):
+            x = unpack(payload.as_py(), docs=dtype, **_STARTS)
             cut = np.cumsum(x["counts"].astype(np.int64))[:-1]
-            for i, m, f, more in zip(x["ids"].tolist(), x["marks"].tolist(), np.split(x["first"].astype(np.int64), cut), np.split(x["more"].astype(np.int64), cut)):
-                repeated.setdefault((i, m), []).append((f, f + more + length))
+            for key, f, more in zip(x["docs"].tolist(), np.split(x["first"].astype(np.int64), cut), np.split(x["more"].astype(np.int64), cut)):
+                repeated.setdefault(key, []).append((f, f + more + length))
         out = []
         for rows, data, offsets in blocks(iter(docs.combine_chunks().to_batches()), "text"):
-            keys = zip(id_column(rows).tolist(), rows.column("mark").to_pylist())
+            keys = keys_of(rows, dtype).tolist()
             spans = [(a + offsets[k], b + offsets[k]) for k, key in enumerate(keys) for a, b in repeated.get(key, ())]
             edge = np.zeros(len(data) + 1, np.int64)
             if spans:
@@ -426,17 +416,12 @@ def remove_repeated_strings(docs: DataFrame, length: int = 400, gram: int = 64,
     other, so all of their strings of ``length`` bytes repeat. Doc_ids may be
     null or occur more than once.
     """
-    spark = in_small_batches(docs).sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    clash = ids.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    mark = F.hash(F.coalesce("text", F.lit(""))) if clash else F.lit(0)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", mark.alias("mark"))
-    ranges, groups = parts, 2 * parts
-    grouped = source.withColumn("grp", F.pmod(F.coalesce("doc_id", F.lit(NO_ID)), F.lit(groups).cast("long"))).groupBy("grp")
-    deal = lambda df: df.repartition("part").sortWithinPartitions("part")
-    rows, answer = "part int, payload binary", "grp long, payload binary"
-    places = deal(source.mapInArrow(_deal_anchors(length, gram, ranges), rows)).mapInArrow(_repeated_anchors(groups), answer)
-    runs = grouped.cogroup(places.groupBy("grp")).applyInArrow(_suffix_runs(length, 4 * ranges), rows)
-    starts = deal(runs).mapInArrow(_merge(length, groups), answer)
-    return grouped.cogroup(starts.groupBy("grp")).applyInArrow(_finish(length, with_text), SCHEMA)
+    k = keyed(docs)
+    grouped = k.source.groupBy("grp")
+    deal = lambda df, n: df.repartition(n, "part").sortWithinPartitions("part")
+    rows, answer = "part int, payload binary", "grp int, payload binary"
+    places = deal(k.source.mapInArrow(_deal_anchors(length, gram, k.parts, k.dtype), rows), k.parts).mapInArrow(_repeated_anchors(k.dtype), answer)
+    ranges = 4 * k.parts
+    runs = grouped.cogroup(places.groupBy("grp")).applyInArrow(_suffix_runs(length, ranges, k.dtype), rows)
+    starts = deal(runs, k.parts).mapInArrow(_merge(length, k.dtype), answer)
+    return grouped.cogroup(starts.groupBy("grp")).applyInArrow(_finish(length, with_text, k.dtype), SCHEMA)
