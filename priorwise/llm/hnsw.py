@@ -172,15 +172,25 @@ class Hnsw:
                 out_n.append(cols + at)
         return np.concatenate(out_q), np.concatenate(out_n)
 
-    def fitting_beam(self, least: float, sample: np.ndarray, recall: float, width: int = 12) -> tuple[int, float]:
-        """Smallest doubled beam whose recall of the sampled nodes' links, themselves included, passes."""
-        truth = self.x[sample] @ self.x.T >= least
-        truth[np.arange(len(sample)), sample] = True
+    def fitting_beam(self, least: float, order: np.ndarray, recall: float, width: int = 12, real: int = 200, most: int = 4096) -> int:
+        """Smallest doubled beam that recalls the audited nodes' links to others.
+
+        Nodes are audited in the given order, in growing samples, until they have
+        ``real`` links or ``most`` nodes were taken. With fewer links the beam is
+        four times as wide as the last that passed.
+        """
+        size = min(128, len(order))
         while True:
-            q, node = self.within(self.x[sample], min(least, 0.999), width)
-            found = np.zeros_like(truth)
-            found[q, node] = True
-            got = float((found & truth).sum() / truth.sum())
-            if got >= recall or width >= len(self.x):
-                return width, got
+            sample = order[:size]
+            truth = self.x[sample] @ self.x.T >= least
+            truth[np.arange(len(sample)), sample] = False
+            if truth.sum() >= real or size >= min(most, len(order)):
+                break
+            size = min(2 * size, most, len(order))
+        n = int(truth.sum())
+        while width < len(self.x) and n:
+            q, node = self.within(self.x[sample], least, width)
+            if truth[q, node].sum() >= recall * n:
+                break
             width *= 2
+        return width if n >= real else 4 * width
