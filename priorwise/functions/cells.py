@@ -18,7 +18,7 @@ BIRTH_FORMATS = ("MMM d, yyyy", "MMMM d, yyyy", "yyyy-MM-dd", "M/d/yyyy", "d MMM
 EVENT_FORMATS = ("MMMM d, yyyy", "MMM d, yyyy", "yyyy-MM-dd", "M/d/yyyy", "d MMMM yyyy")
 #: fixed values: labels of outcomes, tried in this order; KNOCKOUT families come before decisions
 OUTCOMES = (
-    (("KO", "TKO", "DOCTOR"), "KO"),
+    (("KO", "TKO", "DOCTOR", "COULD NOT CONTINUE"), "KO"),
     (("SUB",), "SUB"),
     (("UNANIMOUS", "U-DEC"), "U-DEC"),
     (("SPLIT", "S-DEC"), "S-DEC"),
@@ -27,7 +27,8 @@ OUTCOMES = (
     (("NO CONTEST", "NC", "OVERTURNED"), "NC"),
     (("DEC",), "U-DEC"),
 )
-STANCES = (("ORTHODOX", "ORTHODOX"), ("SOUTHPAW", "SOUTHPAW"), ("SWITCH", "SWITCH"), ("OPEN", "OPEN"), ("SIDEWAYS", "SIDEWAYS"))
+#: fixed values: labels of stances
+STANCES = (("ORTHODOX", "ORTHO"), ("SOUTHPAW", "SOUTH"), ("SWITCH", "SWITCH"), ("OPEN", "OPEN"))
 
 
 def missing(c: Column) -> Column:

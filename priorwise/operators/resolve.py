@@ -36,25 +36,92 @@ def inherit_by_code(rows: DataFrame, entity: str, code: str, order: Sequence[str
     return joined.select(*(F.coalesce(entity, "__e").alias(c) if c == entity else F.col(c) for c in rows.columns), (F.col(entity).isNull() & F.col("__e").isNotNull()).alias("inherited"))
 
 
+def _same_person(a: Column, b: Column) -> Column:
+    """Whether two names can be one: the last token of one is a token of the other; if both end in it, the first tokens agree.
+
+    First tokens agree if one begins with the other (an initial begins a name); a
+    name of one token agrees with any. Last tokens have three letters at least.
+    """
+    x, y = F.split(a, " "), F.split(b, " ")
+    last, other = F.element_at(x, -1), F.element_at(y, -1)
+    first = F.startswith(x[0], y[0]) | F.startswith(y[0], x[0]) | (F.size(x) < 2) | (F.size(y) < 2)
+    return (F.length(last) >= 3) & (F.length(other) >= 3) & F.when(last == other, first).otherwise(F.array_contains(x, other) | F.array_contains(y, last))
+
+
+def _by_token(names: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs of a name and a known one that can be the same person, once each."""
+    last = lambda c: F.element_at(F.split(c, " "), -1)
+    tokens = lambda c: F.explode(F.array_distinct(F.split(c, " ")))
+    a = names.select("name", tokens("name").alias("__t")).join(known.select("match", last("match").alias("__t")), "__t")
+    b = names.select("name", last("name").alias("__t")).join(known.select("match", tokens("match").alias("__t")), "__t")
+    pairs = a.select("name", "match").unionByName(b.select("name", "match"))
+    return pairs.where(_same_person(F.col("name"), F.col("match"))).distinct()
+
+
+def _segments(size: Column, k: Column, i: Column) -> tuple[Column, Column]:
+    """0-based begin and length of segment i of k + 1 even segments of ``size`` letters."""
+    begin = F.floor(i * size / (k + 1)).cast("int")
+    return begin, F.floor((i + 1) * size / (k + 1)).cast("int") - begin
+
+
+def similar_pairs(names: DataFrame, known: DataFrame, cutoff: float) -> DataFrame:
+    """``name, match, score`` of all pairs at least that similar, without comparing all pairs.
+
+    A pair of similarity ``cutoff`` differs by at most k = (1 - cutoff) * longer
+    length edits, so of k + 1 even segments of the known name one stands
+    unchanged in the other, moved by at most k letters. Both sides are exploded
+    into (length, k, segment number, segment) and meet in an equi-join.
+    """
+    edits = lambda n: F.floor((1 - cutoff) * n + 1e-9).cast("int")
+    size = F.length("match")
+    top = F.floor(size / cutoff + 1e-9).cast("int")
+    segment = lambda k: F.transform(
+        F.sequence(F.lit(0), k), lambda i: F.struct(k.alias("k"), i.alias("i"), F.substring(F.col("match"), _segments(size, k, i)[0] + 1, _segments(size, k, i)[1]).alias("s"))
+    )
+    right = known.where(size > 0).select("match", size.alias("n"), F.explode(F.flatten(F.transform(F.sequence(edits(size), edits(top)), segment))).alias("g"))
+    right = right.select("match", "n", "g.k", "g.i", "g.s")
+    m = F.length("name")
+    lengths = F.sequence(F.ceil(m * cutoff - 1e-9).cast("int"), F.floor(m / cutoff + 1e-9).cast("int"))
+    left = names.where(m > 0).select("name", F.explode(lengths).alias("n"))
+    left = left.withColumn("k", edits(F.greatest("n", m))).select("name", "n", "k", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
+    begin, width = _segments(F.col("n"), F.col("k"), F.col("i"))
+    low, high = F.greatest(begin - F.col("k"), F.lit(0)), F.least(begin + F.col("k"), m - width)
+    starts = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    left = left.select("name", "n", "k", "i", F.explode(F.array_distinct(F.transform(starts, lambda p: F.substring(F.col("name"), p + 1, width)))).alias("s"))
+    pairs = left.join(right, ["n", "k", "i", "s"]).select("name", "match").distinct()
+    return pairs.withColumn("score", similarity(F.col("name"), F.col("match"))).where(F.col("score") >= cutoff - 1e-12)
+
+
 def resolve_names(names: DataFrame, known: DataFrame, overrides: DataFrame | None = None, cutoff: float = 0.85) -> DataFrame:
     """``name, match, how, score`` for distinct names against known names.
 
-    Override, then equality, then the only candidate with the same last token,
-    then the most similar of those above the cutoff; else unresolved. Only names
-    that share the last token are compared.
+    Override, then equality, then the known name that can be the same person by
+    whole tokens if there is only one (see ``_same_person``), then the most
+    similar one of all from the cutoff on (ties: the smaller); else unresolved,
+    with null match and score. Tokens are separated by one space.
     """
-    names = names.select("name").distinct().withColumn("__t", F.substring_index("name", " ", -1))
-    known = known.select(F.col("name").alias("match")).distinct().withColumn("__t", F.substring_index("match", " ", -1))
-    single = Window.partitionBy("name")
-    cand = names.join(known, "__t").select("name", "match", similarity(F.col("name"), F.col("match")).alias("score"), F.count("*").over(single).alias("__n"))
-    how = F.when(F.col("name") == F.col("match"), F.lit(1)).when(F.col("__n") == 1, F.lit(2)).when(F.col("score") >= cutoff, F.lit(3))
-    cand = cand.select("name", "match", how.alias("__rank"), "score").where("__rank IS NOT NULL")
+    names = names.select("name").distinct()
+    known = known.select(F.col("name").alias("match")).distinct()
+    step = lambda df, rank: df.select("name", "match", F.lit(rank).alias("__rank"), "score")
+    exact = names.join(known, F.col("name") == F.col("match")).withColumn("score", F.lit(1.0))
+    open_ = names.join(known, F.col("name") == F.col("match"), "left_anti")
+    token = _by_token(open_, known).groupBy("name").agg(F.count("*").alias("__n"), F.min("match").alias("match")).where("__n = 1")
+    token = token.withColumn("score", similarity(F.col("name"), F.col("match")))
+    cand = step(exact, 1).unionByName(step(token, 2)).unionByName(step(similar_pairs(open_, known, cutoff), 3))
     if overrides is not None:
-        cand = cand.unionByName(overrides.select("name", "match", F.lit(0).alias("__rank"), F.lit(1.0).alias("score")))
+        cand = cand.unionByName(step(overrides.withColumn("score", F.lit(1.0)), 0))
     best = cand.groupBy("name").agg(F.min(F.struct("__rank", (-F.col("score")).alias("s"), "match")).alias("b"))
+    # the label comes from the joined side itself, so that a name without candidates has none
     label = F.element_at(F.array(*(F.lit(x) for x in ("override", "exact", "surname", "similar"))), F.col("b.__rank") + 1)
-    out = names.select("name").join(best, "name", "left")
-    return out.select("name", F.col("b.match").alias("match"), F.coalesce(label, F.lit("unresolved")).alias("how"), (-F.col("b.s")).alias("score"))
+    best = best.select("name", "b.match", label.alias("how"), (-F.col("b.s")).alias("score"))
+    return names.join(best, "name", "left").select("name", "match", F.coalesce("how", F.lit("unresolved")).alias("how"), "score")
+
+
+def suggestions(names: DataFrame, known: DataFrame, cutoff: float = 0.4, most: int = 5) -> DataFrame:
+    """``name, match, score, k`` of the ``most`` most similar known names of each name, from the cutoff on."""
+    known = known.select(F.col("name").alias("match")).distinct()
+    w = Window.partitionBy("name").orderBy(F.desc("score"), "match")
+    return similar_pairs(names.select("name").distinct(), known, cutoff).withColumn("k", F.row_number().over(w)).where(F.col("k") <= most)
 
 
 def nearest_active(candidates: DataFrame, activity: DataFrame, key: str, entity: str, date: str, active: str, days: int = 5 * 365) -> DataFrame:

@@ -77,28 +77,50 @@ def date_window(h: History, value: Column, days: int, agg: str = "mean") -> Colu
     """Aggregate of earlier rows dated at most ``days`` days before this one.
 
     Earlier rows of the same day count, later ones do not. That is no single
-    frame: sums are differences of two frames, extremes the larger of two.
+    frame but two disjoint ones, earlier days within reach and earlier rows of
+    the day, whose aggregates are put together. Nothing outside the window
+    enters a sum, so old extremes and NaN leave no trace. Rows of one day share
+    their frame of earlier days.
     """
-    too_old = h.by_day.rangeBetween(Window.unboundedPreceding, -(days + 1))
+    days_before, today = h.by_day.rangeBetween(-days, -1), h.earlier_today
     if agg in ("max", "min"):
         pick, both = (F.max, F.greatest) if agg == "max" else (F.min, F.least)
-        return both(pick(value).over(h.by_day.rangeBetween(-days, -1)), pick(value).over(h.earlier_today))
-    n = F.count(value).over(h.prior) - F.count(value).over(too_old)
+        return both(pick(value).over(days_before), pick(value).over(today))
+    n = F.count(value).over(days_before) + F.count(value).over(today)
     if agg == "count":
         return n
-    total = F.coalesce(F.sum(value).over(h.prior), F.lit(0.0)) - F.coalesce(F.sum(value).over(too_old), F.lit(0.0))
+    total = F.coalesce(F.sum(value).over(days_before), F.lit(0.0)) + F.coalesce(F.sum(value).over(today), F.lit(0.0))
     return F.when(n > 0, total / n if agg == "mean" else total)
 
 
+#: half-lives of a block of days that share a reference date
+_BLOCK = 400
+
+
 def decayed(h: History, value: Column, half_life: float) -> Column:
     """Mean of earlier rows with weights that halve every ``half_life`` days.
 
-    Weights are taken relative to the entity's last date; the factor that
-    belongs to the current date cancels, which makes the mean linear to compute.
+    The factor that belongs to the current date cancels, so weights may be taken
+    relative to any date. Days are cut into blocks of 400 half-lives, and
+    weights are relative to the end of their block, which no double underflows.
+    A row takes the running sums at the last earlier row with a value: those of
+    its block and the total of the block before. Older blocks weigh less than
+    2 ** -400 of that row. All sums are running ones, linear in the rows.
     """
-    latest = F.max(h.day).over(Window.partitionBy(*h.by))
-    weight = F.when(value.isNotNull(), F.pow(F.lit(0.5), (latest - h.day) / half_life))
-    return F.sum(weight * value).over(h.prior) / F.sum(weight).over(h.prior)
+    span = _BLOCK * half_life
+    block = F.floor(h.day / F.lit(float(span)))
+    weight = F.when(value.isNotNull(), F.pow(F.lit(0.5), ((block + 1) * span - h.day) / half_life))
+    inside = Window.partitionBy(*h.by, block).orderBy(*h.order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*h.by).orderBy(block).rangeBetween(-1, -1)
+    upto = lambda x: F.sum(x).over(inside) + F.coalesce(F.sum(x).over(before), F.lit(0.0)) * 2.0**-_BLOCK
+    state = F.struct(upto(weight * value).alias("sum"), upto(weight).alias("weight"))
+    last = F.last(F.when(value.isNotNull(), state), ignorenulls=True).over(h.prior)
+    return last["sum"] / last["weight"]
+
+
+def weighted_sum(weights: dict[str, float]) -> Column:
+    """Sum of columns times their weights, a null counting as 0 (such as damage taken by part of the body)."""
+    return sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * w for c, w in weights.items()), F.lit(0.0))
 
 
 def gap_days(h: History) -> Column:

@@ -53,24 +53,19 @@ def folded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A day's events as one exchange payload, parsed back to quotes."""
+    """Events as exchange payloads of about a thousand markets of a day, parsed back to quotes."""
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int")
     tail = F.when(k % 5 == 0, "DIST").when(k % 5 == 1, "KO").when(k % 5 == 2, F.concat(F.lit("R"), (k % 4 + 1).cast("string"))).when(k % 5 == 3, "ABC").otherwise("x")
     ticker = F.concat(F.lit("EV-"), F.upper(F.date_format("ts", "yyMMMdd")), F.lit("QRSTUV-"), tail)
     market = F.struct(ticker.alias("ticker"), F.lit("t").alias("title"), F.format_string("%.2f", k / 100).alias("yes_bid"), F.when(k % 2 == 0, F.format_string("%.2f", (k + 1) / 100)).alias("yes_ask"), F.lit("0.50").alias("last_price"), F.col("event_id").cast("string").alias("volume"))
-    payloads = e.groupBy(F.col("ts").cast("date").alias("day"), (F.col("user_id") % 16).alias("pull")).agg(F.to_json(F.struct(F.collect_list(market).alias("markets"))).alias("payload"))
+    payloads = e.groupBy(F.col("ts").cast("date").alias("day"), F.floor(F.col("event_id") / 1000).alias("pull")).agg(F.to_json(F.struct(F.collect_list(market).alias("markets"))).alias("payload"))
     q = quotes.quote_rows(payloads, "payload")
     return q.select(F.col("volume").cast("long").alias("event_id"), "kind", "contest_date", "code", "bid", "ask")
 
 
 def card_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three lines of orders as cards of matchups with one line each, parsed back."""
-    return _parsed_cards(table(spark, sf_dir, "lineitem").where("l_linenumber <= 3"))
-
-
-def card_lines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole orders as cards."""
+    """Orders as cards of matchups with one line each, parsed back."""
     return _parsed_cards(table(spark, sf_dir, "lineitem"))
 
 
@@ -106,15 +101,31 @@ def two_pass_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.inherit_by_code(rows, "who", "code", ["o_orderkey"]).select("o_orderkey", "who", "inherited")
 
 
-def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names with damage against the names of parts."""
+def _damaged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Part names with another first letter, another last letter, swapped tokens or an initial, and a third of the names of parts as known ones."""
     p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"))
-    known = p.where("p_partkey % 3 = 0").select("name")
-    damaged = p.select(F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("x"), F.substring("name", 2, 100))).otherwise(F.col("name")).alias("name"))
-    out = resolve.resolve_names(damaged, known, cutoff=0.85)
+    k, head, tail = F.col("p_partkey") % 6, F.substring_index("name", " ", 1), F.substring_index("name", " ", -1)
+    worse = (
+        F.when(k == 0, F.concat(F.lit("x"), F.substring("name", 2, 100)))
+        .when(k == 1, F.concat(F.expr("left(name, length(name) - 1)"), F.lit("x")))
+        .when(k == 2, F.concat_ws(" ", tail, head))
+        .when(k == 4, F.concat_ws(" ", F.substring(head, 1, 1), tail))
+        .otherwise(F.col("name"))
+    )
+    return p.select(worse.alias("name")), p.where("p_partkey % 3 = 0").select("name")
+
+
+def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resolve.resolve_names(*_damaged(spark, sf_dir), cutoff=0.85)
     return out.select("name", "match", "how", F.round(F.col("score") + 1e-9, 6).alias("score"))
 
 
+def name_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar known names of each damaged one."""
+    out = resolve.suggestions(*_damaged(spark, sf_dir), cutoff=0.6)
+    return out.select("name", "match", F.round(F.col("score") + 1e-9, 6).alias("score"), F.col("k").cast("long").alias("k"))
+
+
 def temporal_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
     o = o.select("*", *resolve.split_flags("day", {"train": ("1995-01-01", "1999-12-31"), "val": ("2000-01-01", "2000-06-30"), "test": ("2000-06-30", "2001-12-31")}))
@@ -181,10 +192,19 @@ def latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        parse_fields, name_keys, folded_names, json_quotes, card_lines, card_lines_all, html_fields, asof_latest, within_a_day, two_pass_resolution, fuzzy_names, temporal_splits,
+        parse_fields, name_keys, folded_names, json_quotes, card_lines, html_fields, asof_latest, within_a_day, two_pass_resolution, fuzzy_names, name_suggestions, temporal_splits,
         bounded_rows, tripwire_flags, class_labels, token_filter, outer_precedence, stale_pruning, dead_features, csv_round_trip, latest_snapshot,
     )
 }
+#: the earlier name of the same query
+QUERIES["card_lines_all"] = card_lines
+
+_DAMAGED = """
+        n AS (SELECT DISTINCT CASE p_partkey % 6 WHEN 0 THEN 'x' || substr(p_name, 2) WHEN 1 THEN left(p_name, length(p_name) - 1) || 'x'
+                  WHEN 2 THEN split_part(p_name, ' ', -1) || ' ' || split_part(p_name, ' ', 1) WHEN 4 THEN left(p_name, 1) || ' ' || split_part(p_name, ' ', -1) ELSE p_name END AS name FROM part),
+        k AS (SELECT DISTINCT p_name AS match FROM part WHERE p_partkey % 3 = 0),
+        c AS (SELECT name, match, 1 - levenshtein(name, match) / greatest(length(name), length(match)) AS score, string_split(name, ' ') AS x, string_split(match, ' ') AS y,
+                     split_part(name, ' ', -1) AS la, split_part(match, ' ', -1) AS lb, (SELECT list(match) FROM k) AS known FROM n, k)"""
 
 ORACLE_SQL = {
     "parse_fields": """
@@ -205,9 +225,6 @@ ORACLE_SQL = {
         SELECT event_id, CASE k % 5 WHEN 0 THEN 'distance' WHEN 1 THEN 'mof_ko' WHEN 2 THEN 'end_before_r' || (k % 4 + 1) ELSE 'winner' END AS kind, day AS contest_date, 'QRSTUV' AS code,
                k / 100 AS bid, CASE WHEN k % 2 = 0 THEN (k + 1) / 100 ELSE 0.5 END AS ask FROM e WHERE k % 5 < 4""",
     "card_lines": """
-        SELECT CAST(l_orderkey AS VARCHAR) AS card, count(*) AS n, sum(CASE WHEN l_linenumber = 2 THEN 5 ELSE 3 END)::BIGINT AS rounds, sum(l_quantity) AS lines, count(*) FILTER (l_linenumber <> 1) AS inherited
-        FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1""",
-    "card_lines_all": """
         SELECT CAST(l_orderkey AS VARCHAR) AS card, count(*) AS n, sum(CASE WHEN l_linenumber = 2 THEN 5 ELSE 3 END)::BIGINT AS rounds, sum(l_quantity) AS lines, count(*) FILTER (l_linenumber <> 1) AS inherited
         FROM lineitem GROUP BY 1""",
     "html_fields": r"""
@@ -224,13 +241,18 @@ ORACLE_SQL = {
         WITH r AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_custkey END AS who, CAST(o_orderdate AS DATE) || '|' || o_orderpriority AS code FROM orders),
         k AS (SELECT code, arg_min(who, o_orderkey) AS e FROM r WHERE who IS NOT NULL GROUP BY 1)
         SELECT o_orderkey, coalesce(who, e) AS who, who IS NULL AND e IS NOT NULL AS inherited FROM r LEFT JOIN k USING (code)""",
-    "fuzzy_names": """
-        WITH n AS (SELECT DISTINCT CASE WHEN p_partkey % 4 = 0 THEN 'x' || substr(p_name, 2) ELSE p_name END AS name FROM part),
-        k AS (SELECT DISTINCT p_name AS match FROM part WHERE p_partkey % 3 = 0),
-        c AS (SELECT name, match, 1 - levenshtein(name, match) / greatest(length(name), length(match)) AS score, count(*) OVER (PARTITION BY name) AS m FROM n JOIN k ON split_part(name, ' ', -1) = split_part(match, ' ', -1)),
-        h AS (SELECT *, CASE WHEN name = match THEN 1 WHEN m = 1 THEN 2 WHEN score >= 0.85 THEN 3 END AS rk FROM c),
-        b AS (SELECT * FROM h WHERE rk IS NOT NULL QUALIFY row_number() OVER (PARTITION BY name ORDER BY rk, score DESC, match) = 1)
+    "fuzzy_names": f"""
+        WITH {_DAMAGED},
+        t AS (SELECT name, min(match) AS match FROM c WHERE NOT list_contains(known, name) AND length(la) >= 3 AND length(lb) >= 3
+                AND CASE WHEN la = lb THEN starts_with(x[1], y[1]) OR starts_with(y[1], x[1]) OR len(x) < 2 OR len(y) < 2 ELSE list_contains(x, lb) OR list_contains(y, la) END
+              GROUP BY 1 HAVING count(*) = 1),
+        h AS (SELECT name, match, 1 AS rk, score FROM c WHERE name = match UNION ALL SELECT name, match, 2, score FROM t JOIN c USING (name, match)
+              UNION ALL SELECT name, match, 3, score FROM c WHERE NOT list_contains(known, name) AND score >= 0.85),
+        b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY name ORDER BY rk, score DESC, match) = 1)
         SELECT name, match, coalesce(['exact', 'surname', 'similar'][rk], 'unresolved') AS how, round(score, 6) AS score FROM n LEFT JOIN b USING (name)""",
+    "name_suggestions": f"""
+        WITH {_DAMAGED}
+        SELECT name, match, round(score, 6) AS score, row_number() OVER (PARTITION BY name ORDER BY score DESC, match) AS k FROM c WHERE score >= 0.6 QUALIFY k <= 5""",
     "temporal_splits": """
         WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)
         SELECT o_orderkey, d BETWEEN DATE '1995-01-01' AND DATE '1999-12-31' AS in_train, d BETWEEN DATE '2000-01-01' AND DATE '2000-06-30' AS in_val,
@@ -256,3 +278,4 @@ ORACLE_SQL = {
     "csv_round_trip": "SELECT c_custkey, c_name, c_acctbal FROM customer",
     "latest_snapshot": "SELECT event_id, user_id, '2024-01-02' AS pull_ts FROM events WHERE event_id % 2 = 0",
 }
+ORACLE_SQL["card_lines_all"] = ORACLE_SQL["card_lines"]

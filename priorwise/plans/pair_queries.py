@@ -76,14 +76,6 @@ def career_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def common_opponents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over the contests of large orders, so that histories stay comparable between scales."""
-    ledger = w.chronological_rank(pairs.perspectives(contests(spark, sf_dir)), "day")
-    out = network.common_opponents(ledger.where("class = '1-URGENT'"))
-    return out.select("contest_id", "entity", rounded(F.col("advantage")).alias("advantage"), "n_common")
-
-
-def common_opponents_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over all contests."""
     out = network.common_opponents(w.chronological_rank(pairs.perspectives(contests(spark, sf_dir)), "day"))
     return out.select("contest_id", "entity", rounded(F.col("advantage")).alias("advantage"), "n_common")
 
@@ -174,11 +166,13 @@ def line_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        perspective_ledger, wide_pairs, symmetrize, perspective_average, interactions, pair_differences, pairings, career_fill, common_opponents, common_opponents_all,
+        perspective_ledger, wide_pairs, symmetrize, perspective_average, interactions, pair_differences, pairings, career_fill, common_opponents,
         elo_by_pool, elo_by_period, glicko_by_pool, trueskill_by_pool, group_zscore_train, tiers, train_percentile, late_early_ratio, round_pivot,
         shrunk_record, rolling_prior, residual_cells, zero_rate_table, line_fit,
     )
 }
+#: the earlier name of the same query
+QUERIES["common_opponents_all"] = common_opponents
 
 _CUST = """
     c AS (SELECT c_custkey, c_mktsegment, CASE WHEN c_acctbal > -500 THEN c_acctbal END AS bal, c_custkey % 3 <> 0 AS train FROM customer)"""
@@ -221,16 +215,15 @@ ORACLE_SQL = {
     "common_opponents": f"""
         WITH {PERSPECTIVES_SQL},
         r AS (SELECT *, dense_rank() OVER (ORDER BY day) - 1 AS rk FROM ledger),
-        u AS (SELECT * FROM r WHERE class = '1-URGENT'),
         p AS (SELECT c.contest_id, c.entity, c.opponent, c.rk AS now, h.opponent AS met, h.won, h.rk
-              FROM u c JOIN u h ON h.entity = c.entity AND h.rk < c.rk AND h.opponent <> c.opponent AND h.won IS NOT NULL
+              FROM r c JOIN r h ON h.entity = c.entity AND h.rk < c.rk AND h.opponent <> c.opponent AND h.won IS NOT NULL
               QUALIFY row_number() OVER (PARTITION BY c.contest_id, c.entity, h.opponent ORDER BY h.rk DESC, h.contest_id DESC) = 1),
         m AS (SELECT a.contest_id, a.entity, a.won - b.won AS margin,
                      (CASE WHEN a.won > 0 THEN 1.0 ELSE 0.8 END + CASE WHEN b.won > 0 THEN 1.0 ELSE 0.8 END)::DOUBLE / 2
                      * (power(0.5, (a.now - a.rk) / 50.0) + power(0.5, (b.now - b.rk) / 50.0)) / 2 AS w
               FROM p a JOIN p b ON a.contest_id = b.contest_id AND a.opponent = b.entity AND a.met = b.met),
         s AS (SELECT contest_id, entity, sum(margin * w) / sum(w) AS advantage, count(*) AS n_common FROM m GROUP BY ALL)
-        SELECT u.contest_id, u.entity, round(coalesce(advantage, 0), 6) AS advantage, coalesce(n_common, 0) AS n_common FROM u LEFT JOIN s USING (contest_id, entity)""",
+        SELECT r.contest_id, r.entity, round(coalesce(advantage, 0), 6) AS advantage, coalesce(n_common, 0) AS n_common FROM r LEFT JOIN s USING (contest_id, entity)""",
     "group_zscore_train": f"""
         WITH {_CUST},
         g AS (SELECT c_mktsegment, quantile_cont(bal, 0.5) FILTER (train) AS med, avg(bal) FILTER (train) AS m, stddev_samp(bal) FILTER (train) AS s FROM c GROUP BY 1)
@@ -277,3 +270,4 @@ ORACLE_SQL = {
                round(regr_intercept(a_price, a_quantity), 4) AS intercept, round(avg(a_price) / avg(a_quantity * 1500), 4) AS factor, count(*) AS n
         FROM contests GROUP BY 1""",
 }
+ORACLE_SQL["common_opponents_all"] = ORACLE_SQL["common_opponents"]

@@ -23,7 +23,7 @@ def test_x_of_y(spark, text, want):
         (cells.clock_seconds, "1:44", 104), (cells.clock_seconds, "--", 0), (cells.feet_inches, "5' 11\"", 71.0), (cells.feet_inches, "--", None), (cells.leading_number, "155 lbs.", 155.0),
         (cells.leading_number, '66"', 66.0), (cells.percent, "45%", 0.45), (cells.percent, "100%", 1.0), (cells.scheduled_rounds, "5 Rnd (5-5-5-5-5)", 5), (cells.scheduled_rounds, "none", 3),
         (cells.url_tail, "http://a/b/c12", "c12"), (cells.outcome_label, "KO/TKO", "KO"), (cells.outcome_label, "Decision - Split", "S-DEC"), (cells.outcome_label, "?", "NC"),
-        (cells.stance_label, "Southpaw", "SOUTHPAW"), (cells.ticker_date, "EV-26JUL11ABCDEF-X", dt.date(2026, 7, 11)), (cells.first_date, "Jul 13, 1978", dt.date(1978, 7, 13)),
+        (cells.stance_label, "Southpaw", "SOUTH"), (cells.stance_label, "Sideways", "UNKNOWN"), (cells.outcome_label, "Could Not Continue", "KO"), (cells.ticker_date, "EV-26JUL11ABCDEF-X", dt.date(2026, 7, 11)), (cells.first_date, "Jul 13, 1978", dt.date(1978, 7, 13)),
         (cells.first_date, "July 3, 1978", dt.date(1978, 7, 3)), (names.tight_key, "O'Neil-Smith ", "oneilsmith"), (names.spaced_key, "O'Neil-Smith", "o neil smith"), (names.plain_key, "Bo Li, Jr.", "bo li"),
         (names.alnum_key, "A b-1", "ab1"), (quotes.line_value, "2.5 rounds", 750.0), (quotes.line_value, "3 min", 180.0), (quotes.line_value, "bad", 0.0),
     ],

@@ -61,8 +61,8 @@ def test_whole_tables(spark):
     ledger = w.chronological_rank(pairs.perspectives(contests(spark, DATA)), "day")
     rows = [tuple(x) for x in ledger.select("contest_id", "entity", "opponent", F.col("won").cast("int"), "event_rank").collect()]
     want = expected(rows)
-    got = catalog.QUERIES["common_opponents_all"](spark, DATA).collect()
+    got = catalog.QUERIES["common_opponents"](spark, DATA).collect()
     assert len(got) == len(rows)
     assert all((x.advantage, x.n_common) == (pytest.approx(want[x.contest_id, x.entity][0], abs=2e-6), want[x.contest_id, x.entity][1]) for x in got)
     lines = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
-    assert catalog.QUERIES["card_lines_all"](spark, DATA).agg(F.sum("n")).first()[0] == lines
+    assert catalog.QUERIES["card_lines"](spark, DATA).agg(F.sum("n")).first()[0] == lines
