@@ -52,39 +52,48 @@ class PackRule:
     word_spacing: int = 8
 
 
-def best_cuts(x: list[int], penalty: list[int], size: int) -> list[int]:
+def best_cuts(x: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
     """Positions of the cheapest cuts; ``x`` rises from 0 in steps of at most ``size``.
 
-    The last cut lies less than ``size`` before the end of the stream.
+    With least[j] = dp[j] + x[j], least[j] is penalty[j] + size + the minimum of
+    least over the cuts within ``size`` before j. The monotone queue of that
+    minimum advances a stretch of ``size`` at a time: as a stretch begins, the
+    queue is the suffix minima of the stretch before, whose head moves on with j.
+    A new cut enters its tail, and as it exceeds the head by ``size`` or more,
+    only the running minimum of what entered can come to the head before the
+    stretch ends. The last cut lies less than ``size`` before the end of the
+    stream; of equal costs the later cut wins.
     """
-    n = len(x)
-    # least[j] = dp[j] + x[j]; the queue holds cuts whose values rise, and its head is always less than a new value
-    least, back = [0] * n, [0] * n
-    values, cuts, head = [0], [0], 0
-    for j in range(1, n):
-        low = x[j] - size
-        while x[cuts[head]] < low:
-            head += 1
-        least[j] = value = values[head] + penalty[j] + size
-        back[j] = cuts[head]
-        while values[-1] >= value:
-            values.pop()
-            cuts.pop()
-        values.append(value)
-        cuts.append(j)
-    end, j = x[-1], n - 1
-    best = j
-    while j > 0 and end - x[j] < size:
-        # an open rest costs nothing yet; of equal costs the later cut wins
-        if least[j] - x[j] < least[best] - x[best]:
-            best = j
-        j -= 1
-    if j == 0 and end < size:
+    n, end = len(x), int(x[-1])
+    top = np.iinfo(np.int64).max // 2
+    least = np.zeros(n, np.int64)
+    cost = penalty + size
+    edges = np.searchsorted(x, np.arange(0, end + size, size), "right").tolist()
+    begin, queue = 0, np.array([0, top], np.int64)
+    for start, stop in zip(edges, edges[1:]):
+        if start == stop:
+            begin, queue = start, np.array([top], np.int64)
+            continue
+        own = cost[start:stop]
+        head = queue[np.searchsorted(x[begin:start], x[start:stop] - size)]
+        entered = np.minimum.accumulate(own + head)
+        least[start] = own[0] + head[0]
+        least[start + 1 : stop] = own[1:] + np.minimum(head[1:], entered[:-1])
+        begin = start
+        queue = np.append(np.minimum.accumulate(least[start:stop][::-1])[::-1], top)
+
+    def last_least(values: np.ndarray) -> int:
+        return len(values) - 1 - int(np.argmin(values[::-1]))
+
+    low = max(int(np.searchsorted(x, end - size, "right")), 1)
+    if low == 1 and end < size:
         return []
+    best = low + last_least((least - x)[low:])
     chosen = []
     while best:
-        chosen.append(x[best])
-        best = back[best]
+        chosen.append(int(x[best]))
+        low = int(np.searchsorted(x, x[best] - size))
+        best = low + last_least(least[low:best])
     return chosen[::-1]
 
 
@@ -252,7 +261,7 @@ def _tokenizer(path: str, most_words: int) -> WordTokenizer:
     return _TOKENIZERS[path, most_words]
 
 
-def _cut_points(ends: np.ndarray, closes: np.ndarray, text_ends: np.ndarray, total: int, rule: PackRule) -> tuple[list, list]:
+def _cut_points(ends: np.ndarray, closes: np.ndarray, text_ends: np.ndarray, total: int, rule: PackRule) -> tuple[np.ndarray, np.ndarray]:
     """Candidate cuts and their penalties, 0 first and the stream's end last."""
     cost = np.full(total + 1, -1, dtype=np.int16)
     cost[:: rule.size // 2] = rule.size // 4  # a last resort within very long words
@@ -262,7 +271,7 @@ def _cut_points(ends: np.ndarray, closes: np.ndarray, text_ends: np.ndarray, tot
     cost[text_ends] = 0
     cost[0] = cost[total] = 0
     x = np.flatnonzero(cost >= 0)
-    return x.tolist(), cost[x].tolist()
+    return x, cost[x].astype(np.int64)
 
 
 class _Pieces:

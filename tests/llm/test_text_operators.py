@@ -218,7 +218,7 @@ def test_cuts_are_the_cheapest():
         best = [0.0] + [float("inf")] * 11
         for j in range(1, 12):
             best[j] = min(best[i] + cost[j] + size - (x[j] - x[i]) for i in range(j) if x[j] - x[i] <= size)
-        cuts = packing.best_cuts(x, cost, size)
+        cuts = packing.best_cuts(np.array(x), np.array(cost), size)
         ends = [0, *cuts]
         total = sum(cost[x.index(b)] + size - (b - a) for a, b in zip(ends, ends[1:]))
         low = min(best[j] for j in range(12) if x[-1] - x[j] < size)
