@@ -1,4 +1,4 @@
-"""The folder that the driver and all executors share."""
+"""What the operators share: checkpoints, bounded broadcasts, batch sizes."""
 
 from __future__ import annotations
 
@@ -9,15 +9,17 @@ from priorwise.operators.lineage import checkpointed, shared_folder
 
 __all__ = ["checkpointed", "in_small_batches", "shared_folder", "small"]
 
-#: rows of narrow tables that are broadcast at most
-SMALL_ROWS = 4_000_000
+#: bytes of narrow tables that are broadcast at most
+SMALL_BYTES = 32 << 20
 #: rows of texts that travel between Spark and Python at once
 BATCH_ROWS = 1000
 
 
-def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``most`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, counted with the lengths of their strings, have at most ``most`` bytes; else as it is."""
+    lengths = [F.sum(F.octet_length(c)).alias(f"n{k}") for k, (c, kind) in enumerate(df.dtypes) if kind in ("string", "binary")]
+    size = df.agg(F.count("*").alias("n"), *lengths).first()
+    return F.broadcast(df) if size[0] * (16 + 8 * len(df.columns)) + sum(x or 0 for x in size[1:]) <= most else df
 
 
 def in_small_batches(df: DataFrame) -> DataFrame:
