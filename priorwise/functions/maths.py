@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _Z95 = 1.959963984540054
@@ -67,6 +67,17 @@ def temper(p: Column, temperature: Column) -> Column:
     return F.when(F.abs(p - 0.5) < 1e-6, p).otherwise(sigmoid(logit(p) / F.coalesce(temperature, F.lit(1.0))))
 
 
+def temper_by(p: Column, label: Column, temperatures: dict[str, float]) -> Column:
+    """``temper`` with the temperature of a class; others have 1."""
+    known = F.create_map(*(F.lit(x) for pair in temperatures.items() for x in pair))
+    return temper(p, F.try_element_at(known, label))
+
+
+def shrink_to_market(p: Column, q: Column, share: float = 0.5) -> Column:
+    """Forecast drawn toward the market's probability; without a market as it is."""
+    return F.coalesce((1 - share) * p + share * q, p)
+
+
 def shrink_to_half(p: Column, n: Column, full: float = 4.0) -> Column:
     """Toward one half where fewer than ``full`` observations stand behind it."""
     return 0.5 + (p - 0.5) * F.least(F.lit(1.0), n / full)
@@ -141,6 +152,17 @@ def pick_count(label: Column) -> Column:
     return F.regexp_extract(label, r"(\d+)pick", 1).try_cast("int")
 
 
+def with_payout(df: DataFrame, payouts: DataFrame, variant: str) -> DataFrame:
+    """``df`` with the ``multiplier`` of its variant and the ``break_even`` probability of one of its picks.
+
+    A variant without a payout stops the query, as a silent null would pass for no edge.
+    """
+    small = payouts.limit(10_001).count() <= 10_000
+    joined = df.join(F.broadcast(payouts) if small else payouts, variant, "left")
+    known = F.when(F.col("multiplier").isNull() & F.col(variant).isNotNull(), F.raise_error(F.concat(F.lit("no payout of "), variant)).cast("double")).otherwise(F.col("multiplier"))
+    return joined.withColumn("multiplier", known).withColumn("break_even", implied(F.col("multiplier"), pick_count(F.col(variant))))
+
+
 def pick_score(edge: Column, p: Column) -> Column:
     return F.when(edge > 0, edge * p).otherwise(F.lit(0.0))
 

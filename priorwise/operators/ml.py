@@ -11,6 +11,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from priorwise.functions.maths import recency_weight
+from priorwise.operators.dist import stratum_quantiles
+
 _NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
@@ -82,3 +85,31 @@ def occlusion(rows: DataFrame, key: str, groups: dict[str, Sequence[str]], score
     scored = score(out)
     plain = scored.where("group = 'none'").select(key, F.col("score").alias("__base"))
     return scored.where("group <> 'none'").join(plain, key).select(key, "group", (F.col("__base") - F.col("score")).alias("effect"))
+
+
+def half_life_scores(train: DataFrame, rows: DataFrame, features: Sequence[str], label: str, date: str, grid: Sequence[float], floor: float = 0.0) -> DataFrame:
+    """``half_life, brier`` of a probe fitted with weights that halve every so many days before the last training date; null is without weights."""
+    end = train.agg(F.max(date)).first()[0]
+    out = None
+    for h in (None, *grid):
+        weight = recency_weight(F.datediff(F.lit(end), F.col(date)), h, floor)
+        scored = fit_scores(train.withColumn("__w", weight), rows, features, label, weight="__w")
+        part = scored.agg(F.lit(h).cast("double").alias("half_life"), F.avg((F.col("score") - F.col(label)) * (F.col("score") - F.col(label))).alias("brier"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def best_half_life(scores: DataFrame, margin: float = 0.001) -> float | None:
+    """Half-life with the least score, if it beats that without weights by more than the margin; else None."""
+    found = {r.half_life: r.brier for r in scores.collect()}  # a row for each candidate
+    tried = {h: b for h, b in found.items() if h is not None and b is not None}
+    best = min(tried, key=lambda h: (tried[h], h), default=None)
+    return best if best is not None and tried[best] < found[None] - margin else None
+
+
+def hurdle(train: DataFrame, rows: DataFrame, features: Sequence[str], count: str, strata: Sequence[str], levels: Sequence[float], kind: str = "gbt") -> DataFrame:
+    """``rows`` with ``p_positive`` of a model of count > 0, and the quantile grid ``qs, qv`` of the stratum's positive training counts."""
+    known = train.where(F.col(count).isNotNull())
+    scored = fit_scores(known.withColumn("__y", (F.col(count) > 0).cast("double")), rows, features, "__y", kind).withColumnRenamed("score", "p_positive")
+    grids = stratum_quantiles(known.where(F.col(count) > 0), strata, count, levels).drop("n")
+    return scored.join(grids, list(strata), "left")

@@ -79,9 +79,39 @@ def test_as_of_takes_ties_and_nulls(spark):
 
 
 def test_name_resolution(spark):
-    known = spark.createDataFrame([("ann lee",), ("bob ray",), ("rob ray",)], "name string")
-    got = {r.name: r.match for r in resolve.resolve_names(spark.createDataFrame([("an lee",), ("bob rai",), ("bobb ray",)], "name string"), known, cutoff=0.8).collect()}
-    assert got == {"an lee": "ann lee", "bob rai": None, "bobb ray": "bob ray"}
+    known = spark.createDataFrame([(n,) for n in ("ann lee", "bob ray", "rob ray", "alex pereira", "sharabutdin magomedov", "murad magomedov", "andre lima", "jo")], "name string")
+    cases = {
+        "an lee": ("ann lee", "surname"), "bob rai": ("bob ray", "similar"), "bobb ray": ("bob ray", "surname"), "alex perreira": ("alex pereira", "similar"), "pereira alex": ("alex pereira", "surname"),
+        "shara magomedov": ("sharabutdin magomedov", "surname"), "ali magomedov": (None, "unresolved"), "murtazali magomedova": (None, "unresolved"), "zz top": (None, "unresolved"), "jo": ("jo", "exact"),
+        "x": ("ann lee", "override"),
+    }
+    names = spark.createDataFrame([(n,) for n in [*cases, "jo"]] + [(None,)], "name string")
+    overrides = spark.createDataFrame([("x", "ann lee")], "name string, match string")
+    got = {r.name: (r.match, r.how) for r in resolve.resolve_names(names, known, overrides, cutoff=0.8).collect()}
+    assert got == {**cases, None: (None, "unresolved")}
+    assert resolve.resolve_names(names.limit(0), known).count() == 0 and {r.how for r in resolve.resolve_names(names, known.limit(0)).collect()} == {"unresolved"}
+
+
+@pytest.mark.parametrize("cutoff", [0.5, 0.7, 0.85, 1.0])
+def test_similar_pairs_are_complete(spark, cutoff):
+    import random
+
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("ab ") for _ in range(r.randrange(1, 12)))
+    names, known = sorted({word() for _ in range(60)}), sorted({word() for _ in range(60)})
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    want = {(a, b) for a in names for b in known if 1 - edits(a, b) / max(len(a), len(b)) >= cutoff - 1e-12}
+    frame = lambda xs, c: spark.createDataFrame([(x,) for x in xs], f"{c} string")
+    got = [(x.name, x.match) for x in resolve.similar_pairs(frame(names, "name"), frame(known, "match"), cutoff).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_cdf_laws(spark):

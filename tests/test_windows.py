@@ -76,3 +76,35 @@ def test_sentinel_is_the_next_row(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "k int, who string, day date, v double")
     assert df.select(*w.flavors(H, ["v"])).count() == 0
+
+
+def values_of(spark, data, *columns):
+    df = spark.createDataFrame(data, "k int, who string, day date, v double").repartition(3)
+    return {r[0]: tuple(r)[1:] for r in df.select("k", *columns).collect()}
+
+
+def test_old_extremes_leave_no_trace(spark):
+    day = lambda n: dt.date(2000, 1, 1) + dt.timedelta(days=n)
+    data = [(0, "a", day(0), float("nan")), (1, "a", day(1), 1e17), (2, "a", day(500), 1.0), (3, "a", day(501), 2.0), (4, "a", day(502), None)]
+    got = values_of(spark, data, w.date_window(H, F.col("v"), 90), w.date_window(H, F.col("v"), 90, "sum"), w.date_window(H, F.col("v"), 90, "count"))
+    assert got[2] == (None, None, 0) and got[3] == (1.0, 1.0, 1) and got[4] == (1.5, 3.0, 2)
+
+
+def test_decay_over_thousands_of_half_lives(spark):
+    r = random.Random(9)
+    at, data = 0, []
+    for k in range(120):
+        at += r.choice((0, 1, 3, 50, 399, 400, 401, 900, 5000))
+        data.append((k, "a", dt.date(1900, 1, 1) + dt.timedelta(days=at % 60000), None if r.random() < 0.2 else float(r.randrange(100))))
+    data = [(k, *row[1:]) for k, row in enumerate(sorted(data, key=lambda x: x[2]))]
+    got = values_of(spark, data, w.decayed(H, F.col("v"), 1.0))
+    for k, _, day, _ in data:
+        prior = [(d, v) for j, _, d, v in data if j < k and v is not None]
+        last = max((d for d, _ in prior), default=None)
+        held = [(0.5 ** (last - d).days if (last - d).days < 1000 else 0.0, v) for d, v in prior]
+        assert same(got[k][0], sum(a * v for a, v in held) / sum(a for a, _ in held) if held else None)
+
+
+def test_weighted_sum(spark):
+    got = spark.createDataFrame([(1.0, None), (2.0, 3.0)], "a double, b double").select(w.weighted_sum({"a": 1.0, "b": 0.5}).alias("x")).collect()
+    assert [r.x for r in got] == [1.0, 3.5]
