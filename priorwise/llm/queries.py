@@ -52,7 +52,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return judged.select("doc_id", "lang", "scored_chars", F.exp("log_perplexity").alias("perplexity"), F.exp("limit").alias("limit"), "keep")
+    return judged.select("doc_id", "lang", F.col("chars").alias("scored_chars"), F.exp("log_perplexity").alias("perplexity"), F.exp("limit").alias("limit"), "keep")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

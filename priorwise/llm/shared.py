@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from priorwise.operators.lineage import checkpointed, shared_folder
 
-__all__ = ["checkpointed", "in_small_batches", "shared_folder", "small"]
+__all__ = ["checkpointed", "in_small_batches", "shared_folder", "small", "stored"]
 
 #: bytes of narrow tables that are broadcast at most
 SMALL_BYTES = 32 << 20
@@ -22,6 +24,13 @@ def small(df: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
     return F.broadcast(df) if size[0] * (16 + 8 * len(df.columns)) + sum(x or 0 for x in size[1:]) <= most else df
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once as a Parquet table of the shared folder and read from there; smaller than a checkpoint."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def in_small_batches(df: DataFrame) -> DataFrame:
     """``df``, after a setting of its session that keeps batches of texts small on both sides of the exchange with Python."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -147,30 +147,67 @@ def kneser_ney(texts, order, gram):
     return p(gram)
 
 
-def test_model_and_scores(spark, words):
-    texts = [" ".join(words(k, 30)) for k in range(6)]
+@pytest.mark.parametrize("order", [1, 2, 3, 5])
+def test_model_and_scores(spark, words, order):
+    texts = [" ".join(words(k, 30)) + " \U0001f600\U0001f601" * (k % 2) for k in range(6)]
     df = spark.createDataFrame([("en", t) for t in texts] + [("en", None), ("en", "")], "lang string, text string")
-    probs, backs = quality.train(df, 3)
-    asked = "abc 12"
-    scored = quality.score(spark.createDataFrame([("en", asked), ("en", None), ("xx", "abc")], "lang string, text string"), probs, backs).orderBy("text").collect()
-    padded = "  " + asked.replace("12", "00")
-    want = -sum(math.log(kneser_ney(texts, 3, padded[i : i + 3])) for i in range(len(asked)))
-    assert [(r.loss, r.scored_chars) for r in scored] == [(None, 0), (None, 3), (pytest.approx(want), len(asked))]
-    joined = quality.score(spark.createDataFrame([("en", asked)], "lang string, text string"), probs, backs, most_rows=0).first()
-    assert joined.loss == pytest.approx(want)
+    model = quality.train(df, order)
+    asked = ["abc 12 \U0001f601", "b" * 5, "zz " + texts[0]]
+    rows = [("en", t, k) for k, t in enumerate(asked)] + [("en", None, 7), ("xx", "abc", 8), (None, "abc", 9), ("en", asked[0], 0)]
+    got = quality.score(spark.createDataFrame(rows, "lang string, text string, loss int"), model).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.lang != "en" or r.text is None:
+            assert r.loss is None and r.chars == len(r.text or "")
+            continue
+        padded = " " * (order - 1) + re.sub("[0-9]", "0", r.text)
+        want = -sum(math.log(kneser_ney(texts, order, padded[i : i + order])) for i in range(len(r.text)))
+        assert (r.loss, r.chars, r.text) == (pytest.approx(want), len(r.text), asked[r.row.loss])
 
 
 def test_classifier_keeps_clean_and_rejects_noise(spark, words):
     pool, r = words(7, 50), random.Random(1)
-    clean = [(k, " ".join(r.choice(pool) for _ in range(60 + k)), None if k % 2 else "en") for k in range(80)]
-    noise = [(100 + k, "zqxw " * 20 + " ".join(words(7, 50)), "en") for k in range(10)]
-    odd = [(200, None, "en"), (201, "", None), (None, clean[0][1], "en"), (0, *clean[0][1:])]
+    clean = [(k, " ".join(r.choice(pool) for _ in range(60 + k % 80)), None if k % 2 else "en") for k in range(240)]
+    noise = [(1000 + k, "zqxw " * 20 + " ".join(words(7, 50)), "en") for k in range(10)]
+    odd = [(2000, None, "en"), (2001, "", None), (None, clean[0][1], "en"), (0, *clean[0][1:]), (2002, " ".join(r.choice(pool) for _ in range(40_000)), "en"), (2003, clean[0][1], "xx")]
     docs = spark.createDataFrame(clean + noise + odd, "doc_id long, text string, lang string").withColumn("keep", F.lit("clash"))
-    labels = spark.createDataFrame([(k, 1, 0) for k in range(70)] + [(69, 0, 0), (100, 0, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(210)] + [(209, 0, 0), (1000, 0, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
     out = quality.classify(docs, labels).collect()
     assert len(out) == len(clean + noise + odd)
-    assert not any(r.keep for r in out if r.doc_id is not None and 100 <= r.doc_id < 200)
-    assert sum(r.keep for r in out if r.doc_id is not None and r.doc_id < 100) >= 75 and all(r.keep for r in out if r.doc_id in (200, 201))
+    assert not any(r.keep for r in out if r.doc_id is not None and 1000 <= r.doc_id < 2000)
+    assert sum(r.keep for r in out if r.doc_id is not None and r.doc_id < 1000) >= 228 and all(r.keep for r in out if r.doc_id in (2000, 2001, 2002, 2003))
     kept = quality.keep_good(docs.drop("keep"), labels)
-    assert kept.columns == ["doc_id", "text", "lang"] and kept.where("doc_id between 100 and 199").count() == 0 and kept.where("lang is null").count() > 0
+    assert kept.columns == ["doc_id", "text", "lang"] and kept.where("doc_id between 1000 and 1999").count() == 0 and kept.where("lang is null").count() > 0
     assert quality.classify(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_verdicts_against_plain_counting(spark, words, tmp_path):
+    """The registered query: training part, held-out limits and verdicts recomputed in Python from the query's own rule."""
+    from priorwise.llm import queries
+
+    r = random.Random(3)
+    pool = {lang: words(k, 12) for k, lang in enumerate(("en", "de"))}
+    made = lambda lang: " ".join(r.choice(pool[lang]) for _ in range(r.randrange(4, 9)))
+    rows = [(k, made(lang := ("en", "de")[k % 2]), lang) for k in range(90)] + [(200, "qq zz", "en"), (201, None, "de"), (202, "ab", None)]
+    labels = [(k, 1, 0) for k in range(80)] + [(70, 1, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {x.doc_id: x for x in queries.QUERIES["op5_quality"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    trusted = spark.createDataFrame([x for x in rows if x[0] < 80 and x[0] != 70], "doc_id long, text string, lang string")
+    held = {x.doc_id for x in trusted.where(F.pmod(F.xxhash64("text"), F.lit(quality.HELD_OUT)) == 0).collect()}
+    for lang in ("en", "de"):
+        own = [(k, t) for k, t, x in rows if x == lang and k < 80 and k != 70]
+        train = [t for k, t in own if k not in held]
+        nats = lambda t, train=train: -sum(math.log(kneser_ney(train, 3, ("  " + t)[i : i + 3])) for i in range(len(t)))
+        scored = sorted((nats(t) / len(t), len(t)) for k, t in own if k in held)
+        centre = scored[max(math.ceil(0.5 * len(scored)) - 1, 0)][0]
+        excess = sorted((m - centre) * math.sqrt(n) for m, n in scored)
+        spread = excess[max(math.ceil(0.98 * len(excess)) - 1, 0)]
+        for k, t, x in rows:
+            if x == lang and t:
+                limit = centre + spread / math.sqrt(len(t)) if len(scored) >= 10 else None
+                mean = nats(t) / len(t)
+                assert got[k].perplexity == pytest.approx(math.exp(mean)) and (limit is None or got[k].limit == pytest.approx(math.exp(limit)))
+                assert limit is None or abs(mean - limit) < 1e-9 or got[k].keep == (mean <= limit)
+    assert got[201].keep and got[202].keep and not got[200].keep

@@ -41,19 +41,19 @@ def test_pipeline(spark, tmp_path, words):
     pool = words(7, 60)
     r = random.Random(5)
     phrase = " ".join(r.choice(pool) for _ in range(25))
-    texts = {k: " ".join(r.choice(pool) for _ in range(80)) for k in range(60)}
-    texts |= {100: texts[3], 101: texts[4] + " x", 102: "zqxw " * 60, 103: None, 104: ""}
+    texts = {k: " ".join(r.choice(pool) for _ in range(80)) for k in range(160)}
+    texts |= {200: texts[3], 201: texts[4] + " x", 202: "zqxw " * 60, 203: None, 204: ""}
     texts[20] += " token = '0123456789abcdef01' end"  # trusted, so it is kept
     texts[21] = " ".join(r.choice(pool) for _ in range(40)) + ". " + phrase.upper() + "! " + " ".join(r.choice(pool) for _ in range(40))
     folder = str(tmp_path)
     rows = [(k, t, "en", "s", len(t or "")) for k, t in texts.items()]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([(k, 1, 0) for k in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in range(140)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(1, phrase), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
 
     verdicts = quality.classify(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
     kept = {v.doc_id for v in verdicts.collect() if v.keep}
-    assert 102 not in kept and len(kept) > 60
+    assert 202 not in kept and len(kept) > 150
     prints = {k: fingerprint(texts[k]) for k in sorted(kept)}
     first: dict = {k: k for k in prints}
     for a in prints:
@@ -73,7 +73,7 @@ def test_pipeline(spark, tmp_path, words):
     total = {}
     for p in out:
         total[p.doc_id] = total.get(p.doc_id, 0) + p.length
-    assert total == sizes and 100 not in total and {20, 21} <= set(total)
+    assert total == sizes and 200 not in total and {20, 21} <= set(total)
 
 
 def test_the_query_is_registered():
