@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from priorwise.llm.shared import checkpointed, in_small_batches, small, stored
+from priorwise.llm.shared import checkpointed, in_small_batches, nested, small, stored, unnested
 from priorwise.llm.text_blocks import blocks, ragged
 
 #: bytes of text whose n-grams travel together, and bytes that are taken apart at once
@@ -302,11 +302,10 @@ def score(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFram
     null without a model of the language or without characters. Rows are dealt
     to blocks by number, so repeated rows never gather in one.
     """
-    rest = [c for c in docs.columns if c not in ("text", "lang")]
     docs = in_small_batches(docs)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     block = F.pmod(F.monotonically_increasing_id(), F.lit(max(1, -(-size // BLOCK_BYTES))))
-    rows = docs.select(F.struct(*rest, F.lit(True).alias("__")).alias("row"), "text", F.col("lang").cast("string").alias("lang"), block.alias("block"))
+    rows = nested(docs, "text", "lang").select("row", "text", F.col("lang").cast("string").alias("lang"), block.alias("block"))
     dealt = rows.groupBy("block")
     order = len(model)
     grams = stored(dealt.applyInArrow(_block_grams(order), "block long, lang string, hi long, lo long"))
@@ -372,4 +371,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, order: int = 3, quantile: floa
     """Rows of ``docs`` that ``classify`` keeps, with their columns unchanged whatever their names."""
     model, limits = fit(docs, labels, order, quantile)
     judged = judge(score(docs, model), limits).where("keep")
-    return judged.select(*(F.col(c) if c in ("text", "lang") else F.col("row").getField(c).alias(c) for c in docs.columns))
+    return unnested(judged, docs.columns, "text", "lang")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from priorwise.operators.lineage import checkpointed, shared_folder
 
-__all__ = ["checkpointed", "in_small_batches", "shared_folder", "small", "stored"]
+__all__ = ["checkpointed", "in_small_batches", "nested", "shared_folder", "small", "stored", "unnested"]
 
 #: bytes of narrow tables that are broadcast at most
 SMALL_BYTES = 32 << 20
@@ -31,6 +31,18 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def nested(df: DataFrame, *kept: str) -> DataFrame:
+    """The kept columns and ``row``, which holds all others, so that working columns clash with none of them."""
+    rest = [c for c in df.columns if c not in kept]
+    filler = "_" * (1 + max(map(len, df.columns)))  # a struct needs a field
+    return df.select(*kept, F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(True).alias(filler)).alias("row"))
+
+
+def unnested(df: DataFrame, columns: list[str], *kept: str) -> DataFrame:
+    """The columns that ``nested`` has put away, in their order, with the kept ones as they are now."""
+    return df.select(*(F.col(c) if c in kept else F.col("row").getField(c).alias(c) for c in columns))
+
+
 def in_small_batches(df: DataFrame) -> DataFrame:
     """``df``, after a setting of its session that keeps batches of texts small on both sides of the exchange with Python."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

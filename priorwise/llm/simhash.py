@@ -19,17 +19,19 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from priorwise.llm.components import components
-from priorwise.llm.shared import checkpointed, in_small_batches, small
+from priorwise.llm.shared import checkpointed, in_small_batches, nested, small, unnested
 from priorwise.llm.text_blocks import LOWER, NOT_SPACE, blocks, ragged, word_spans
 
 SEED = 42
 #: fingerprints of a bucket that are compared with one another at once
 BUCKET_BLOCK = 2048
+#: columns of documents whose others are nested
+MARKED = ("row", "doc_id", "text")
 _U = np.uint64
 
 
@@ -81,11 +83,11 @@ def _fingerprint_batches(shingle: int):
     return run
 
 
-def _fingerprint_column(shingle: int, columns: list[str]):
+def _fingerprint_column(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in blocks(batches, "text"):
             fp = shingle_fingerprints(data, offsets, shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in columns), pa.array(fp)], [*columns, "__fp"])
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in MARKED), pa.array(fp)], [*MARKED, "fp"])
 
     return run
 
@@ -337,17 +339,25 @@ def keep_first(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     rows with an id come before rows without.
     """
     prints = checkpointed(fingerprints(docs, shingle))
-    classes = _classes(prints, radius)
-    schema = T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])
-    return one_of_each(docs, prints, classes, "fp", docs.mapInArrow(_fingerprint_column(shingle, docs.columns), schema))
+    return one_of_each(docs, prints, _classes(prints, radius), "fp", _fingerprint_column(shingle))
 
 
-def one_of_each(docs: DataFrame, prints: DataFrame, classes: DataFrame, key: str, marked: DataFrame) -> DataFrame:
-    """One row of each component of ``classes`` (key, component_id, component); ``marked`` is ``docs`` with that key, after two underscores."""
+def one_of_each(docs: DataFrame, prints: DataFrame, classes: DataFrame, key: str, with_key) -> DataFrame:
+    """One row of each component of ``classes`` (key, component_id, component).
+
+    ``with_key`` adds the key, a long, to batches of the columns ``MARKED`` of ``docs``.
+    """
     unclear = prints.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").limit(1).count() > 0
     if not unclear:
         first = small(checkpointed(classes.select(F.col("component_id").alias("doc_id")).distinct()))
         return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
-    marked = marked.join(classes.select(F.col(key).alias(f"__{key}"), F.col("component").alias("__group")), f"__{key}")
-    order = Window.partitionBy("__group").orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), f"__{key}")
-    return marked.withColumn("__rank", F.row_number().over(order)).where("__rank = 1").select(*docs.columns)
+    rows = nested(docs, "doc_id", "text").select(*MARKED)
+    marked = rows.mapInArrow(with_key, T.StructType([*rows.schema.fields, T.StructField(key, T.LongType())])).join(classes.select(key, "component"), key)
+    # the least of each component in two steps, so that a large component is never one group of rows
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("h"), F.col(key).alias("key"))
+    marked = marked.withColumn("at", order)
+    least = marked.groupBy("component").agg(F.min("at").alias("least"))
+    kept = marked.join(small(checkpointed(least)), "component").where(F.col("at").eqNullSafe(F.col("least")))
+    # rows with the same id and text are copies, any of which may stay
+    one = kept.groupBy("component").agg(F.min_by(F.struct("row", "doc_id", "text"), F.lit(0)).alias("kept")).select("kept.*")
+    return unnested(one, docs.columns, "doc_id", "text")
