@@ -1,5 +1,6 @@
 """Secrets, URL filters, archives, embeddings and the classifier."""
 
+import hashlib
 import math
 import random
 import re
@@ -29,28 +30,41 @@ def test_secret_spans(spark):
         assert [tuple(s) for s in r.secret_spans if s.kind != "entropy"] == want
 
 
-def entropy_runs(value, threshold, window=20):
-    runs = []
-    for i in range(window, len(value) + 1):
-        part = value[i - window : i]
-        h = -sum(part.count(c) / window * math.log2(part.count(c) / window) for c in set(part))
-        if h >= threshold - 1e-9:
-            if runs and i - window <= runs[-1][1]:
-                runs[-1][1] = i
-            else:
-                runs.append([i - window, i])
-    return runs
+def entropy_spans(text, rule):
+    """Candidates with a hot window, by counting every window anew."""
+    out = []
+    for m in re.finditer(rule.candidate, text):
+        value = m[0]
+        if any(re.search(p, value) for p in rule.allow):
+            continue
+        least = next(bits for p, bits in rule.classes if re.search(p, value))
+        parts = [value[i : i + rule.window] for i in range(len(value) - rule.window + 1)]
+        top = max(-sum(p.count(c) / rule.window * math.log2(p.count(c) / rule.window) for c in set(p)) for p in parts)
+        if top >= least - 1e-9:
+            out.append([m.start(), m.end()])
+    return out
 
 
 def test_entropy_by_incremental_counts(spark):
     r = random.Random(1)
-    values = ["".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789"[: r.choice((3, 12, 46))]) for _ in range(r.randrange(20, 70))) + "7" for _ in range(30)]
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789"
+    values = ["".join(r.choice(letters[: r.choice((3, 12, 46))]) for _ in range(r.randrange(20, 70))) + "7" for _ in range(30)]
+    values += [" ".join(values[:5]), "x=" + values[3] + "/" + values[4], "é" + values[5] + "é", "--" + values[6], "", "a" * 19, "ab1" * 3000]
     rule = secret_scan.EntropyRule(allow=())
     got = spark.createDataFrame([(v,) for v in values], "text string").select("text", secret_scan.entropy_spans(F.col("text"), rule).alias("s")).collect()
     for row in got:
-        threshold = 3.0 if re.fullmatch("[0-9a-f-]+|[0-9A-F-]+", row.text) else 3.9
-        assert [list(s) for s in row.s] == entropy_runs(row.text, threshold)
-    assert any(row.s for row in got)
+        assert [list(s) for s in row.s] == entropy_spans(row.text, rule)
+    assert any(row.s for row in got) and not all(row.s for row in got)
+
+
+@pytest.mark.parametrize("letters,prefix", [("0123456789abcdef", ""), ("0123456789ABCDEF", "sig="), ("abcdefghijklmnopqrstuvwxyz0123456789", "/v1/"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "auth ="), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "key:=")])
+def test_most_keys_are_found(spark, letters, prefix):
+    r = random.Random(7)
+    keys = ["".join(r.choice(letters) for _ in range(24)) for _ in range(200)]
+    df = spark.createDataFrame([(k, f"see {prefix}{k} end") for k in keys if re.search("[0-9]", k) and re.search("[A-Za-z]", k)], "key string, text string")
+    found = secret_scan.find_secrets(df).collect()
+    whole = sum(any(s.start <= r.text.index(r.key) and s.end >= r.text.index(r.key) + 24 for s in r.secret_spans) for r in found)
+    assert whole >= 0.93 * len(found)
 
 
 def test_allow_list_and_mask(spark):
@@ -60,6 +74,25 @@ def test_allow_list_and_mask(spark):
     assert clean[0] is None and clean[1] == "" and clean[5] == "[SECRET] [SECRET]" and clean[7].startswith("key [SECRET]") and clean[4] == "[SECRET]"
 
 
+def test_secret_query(spark, tmp_path):
+    """The registered query: counts, digest and lists from spans found in Python, over texts with hundreds of hits too."""
+    from priorwise.llm import queries
+
+    r = random.Random(2)
+    many = " ".join("".join(r.choice("0123456789abcdef") for _ in range(r.choice((15, 16, 18)))) for _ in range(400))
+    texts = [*TEXTS, many, many.upper(), "token: " * 500 + "secret=" + "a1B2" * 5000, "x " * 50_000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in queries.QUERIES["op3_secret_scan"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        base = sorted((m.start(), rank, m.end(), kind) for rank, (kind, p, g, n) in enumerate(BASE) for m in p.finditer(t or "") if len(m[g]) >= n)
+        extra = [(a, 3, b, "entropy") for a, b in entropy_spans(t or "", secret_scan.EntropyRule()) if not any(x[0] <= a and x[2] >= b for x in base)]
+        listed = lambda spans: ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted(spans))
+        counts = tuple(sum(x[3] == kind for x in base) for kind, *_ in BASE)
+        assert (got[k].n_assign, got[k].n_access, got[k].n_hex) == counts and got[k].spans == listed([*base, *extra])
+        assert got[k].base_sha256 == hashlib.sha256(listed(base).encode()).hexdigest()
+
+
 def test_urls(spark):
     rules = spark.createDataFrame([("net", "/", "block"), ("a.net", "/en/", "allow"), ("B.net", "", "block"), ("b.net", "", "allow"), (None, "/", "block"), ("c.net", "/x", "allow")], "host string, path string, action string")
     cases = {
