@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where that is unset, as in tests, a local one is set."""
+    """``spark.checkpoint.dir`` of the session; only where that is unset and Spark runs in one process, as in tests, a local one is set."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     held = context._jsc.sc().getCheckpointDir()
     if not folder:
+        one_process = context.master.startswith("local") and not context.master.startswith("local-cluster")
+        if not held.isDefined() and not one_process:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = held.get() if held.isDefined() else f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
     if not held.isDefined():
         context.setCheckpointDir(folder)

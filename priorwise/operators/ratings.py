@@ -1,22 +1,26 @@
 """Ratings of entities in pools of contests.
 
 A rating couples both sides of every contest, so within a pool contests are
-taken in order. Pools are independent groups; a pool that is too large for one
-task can be rated by periods, where all contests of a period use the ratings at
-its start and the updates are Spark aggregates.
+taken in order. Pools are independent: Spark sorts their contests into
+partitions, and a task streams through them with only the ratings of the pool
+in memory. A pool that is too large for one task is rated by periods, where all
+contests of a period use the ratings at its start and the updates are Spark
+aggregates.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from types import SimpleNamespace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from priorwise.operators.lineage import checkpointed
+from priorwise.operators.lineage import checkpointed, shared_folder
 
 
 @dataclass(frozen=True)
@@ -43,30 +47,55 @@ def seed_offset(wins: Column, losses: Column, limit: float = 120.0) -> Column:
 SCHEMA = "pool string, contest_id long, a_id long, b_id long, a_pre double, b_pre double"
 
 
-def _elo(rule: EloRule) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def rate(pool: pd.DataFrame) -> pd.DataFrame:
-        pool = pool.sort_values(["day", "contest_id"], kind="stable")
-        rating: dict[int, float] = {}
-        last: dict[int, int] = {}
-        rows = []
-        for c in pool.itertuples(index=False):
-            sides = []
-            for who, seed in ((c.a_id, c.a_seed), (c.b_id, c.b_seed)):
-                r = rating.get(who, rule.start + seed)
-                if who in last and c.day - last[who] > rule.long_gap:
-                    r += rule.pull * (rule.start - r)
-                rating[who], last[who] = r, c.day
-                sides.append(r)
-            a, b = sides
-            rows.append((c.pool, c.contest_id, c.a_id, c.b_id, a, b))
-            if c.won_a != c.won_a or not c.weight:  # no result
-                continue
+#: values of both sides before a contest, given the contest; remembers what follows from it
+Rater = Callable[[SimpleNamespace], tuple]
+
+
+def _sweep(rater: Callable[[], Rater], fields: list[str]):
+    """Rate rows that are sorted by pool and time; a new pool starts anew."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool, rate = object(), None
+        for batch in batches:
+            names = batch.schema.names
+            values = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                c = SimpleNamespace(**dict(zip(names, row)))
+                if c.pool != pool:
+                    pool, rate = c.pool, rater()
+                values.append(rate(c))
+            keys = [batch.column(n) for n in ("pool", "contest_id", "a_id", "b_id")]
+            made = [pa.array(x, pa.float64()) for x in zip(*values)] if values else [pa.array([], pa.float64())] * (len(fields) - 4)
+            yield pa.RecordBatch.from_arrays([*keys, *made], fields)
+
+    return run
+
+
+def _swept(contests: DataFrame, rater: Callable[[], Rater], schema: str) -> DataFrame:
+    rows = _prepared(contests).repartition("pool").sortWithinPartitions("pool", "day", "contest_id")
+    return rows.mapInArrow(_sweep(rater, [x.split()[0] for x in schema.split(", ")]), schema)
+
+
+def _elo(rule: EloRule) -> Rater:
+    rating: dict[int, float] = {}
+    last: dict[int, int] = {}
+
+    def rate(c: SimpleNamespace) -> tuple:
+        sides = []
+        for who, seed in ((c.a_id, c.a_seed), (c.b_id, c.b_seed)):
+            r = rating.get(who, rule.start + seed)
+            if who in last and c.day - last[who] > rule.long_gap:
+                r += rule.pull * (rule.start - r)
+            rating[who], last[who] = r, c.day
+            sides.append(r)
+        a, b = sides
+        if c.won_a is not None and c.weight:
             expected = 1 / (1 + 10 ** ((b - a) / rule.scale))
             k = rule.k * c.weight * (rule.flagged if c.flagged else 1.0)
             up = lambda rival: 1 + rule.opponent_share * math.tanh((rival - rule.start) / rule.opponent_scale)
             rating[c.a_id] = a + k * up(b) * (c.won_a - expected)
             rating[c.b_id] = b + k * up(a) * (expected - c.won_a)
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")])
+        return a, b
 
     return rate
 
@@ -92,41 +121,50 @@ def elo_by_pool(contests: DataFrame, rule: EloRule = EloRule()) -> DataFrame:
     weight, flagged, a_seed and b_seed. A contest without a result or with
     weight 0 changes no rating but counts as activity.
     """
-    return _prepared(contests).groupBy("pool").applyInPandas(_elo(rule), SCHEMA)
+    return _swept(contests, lambda: _elo(rule), SCHEMA)
 
 
-def elo_by_period(contests: DataFrame, period: Column, rule: EloRule = EloRule(), most_periods: int = 500) -> DataFrame:
-    """Pre-contest ratings where a period's contests all use the ratings at its start.
+def elo_by_period(contests: DataFrame, period: Column, rule: EloRule = EloRule()) -> DataFrame:
+    """Pre-contest ratings where a period's contests all use the ratings at its start, by the same rule.
 
-    Suits one pool of any size: each period is a join and an aggregation.
+    Suits one pool of any size: each period is a join and an aggregation over
+    its own contests, and appends its rows to one table of the shared folder.
+    Contests without result are rated and count as activity. A side that was
+    away longer than the rule's gap before a contest is pulled back once, as
+    measured from its last contest of earlier periods.
     """
-    c = checkpointed(_prepared(contests).withColumn("period", period).where("won_a IS NOT NULL"))
-    periods = [r.period for r in c.select("period").distinct().orderBy("period").limit(most_periods + 1).collect()]
-    if len(periods) > most_periods:
-        raise ValueError(f"more than {most_periods} periods")
-    ratings = c.select("pool", F.col("a_id").alias("id")).limit(0).withColumn("rating", F.lit(0.0))
-    out = None
-    for k, p in enumerate(periods):
-        now = c.where(F.col("period") == F.lit(p))
-        of = lambda side: ratings.select("pool", F.col("id").alias(f"{side}_id"), F.col("rating").alias(f"{side}_r"))
-        start = lambda side: F.coalesce(f"{side}_r", F.lit(rule.start) + F.col(f"{side}_seed"))
-        games = now.join(of("a"), ["pool", "a_id"], "left").join(of("b"), ["pool", "b_id"], "left").withColumns({"a_pre": start("a"), "b_pre": start("b")})
-        games = checkpointed(games)
+    spark = contests.sparkSession
+    folder = f"{shared_folder(spark)}/ratings-{uuid.uuid4().hex}"
+    rows = _prepared(contests).withColumn("period", period)
+    rows.write.partitionBy("period").parquet(f"{folder}/contests")
+    c = spark.read.schema(rows.schema).parquet(f"{folder}/contests")
+    state = checkpointed(c.select("pool", F.col("a_id").alias("id")).limit(0).withColumns({"rating": F.lit(0.0), "last": F.lit(0)}))
+    up = lambda rival: 1 + rule.opponent_share * F.tanh((F.col(rival) - rule.start) / rule.opponent_scale)
+    for row in c.select("period").distinct().orderBy("period").toLocalIterator():
+        now = c.where(F.col("period").eqNullSafe(F.lit(row.period)))
+        for s in "ab":
+            held = state.select("pool", F.col("id").alias(f"{s}_id"), F.col("rating").alias("__r"), F.col("last").alias("__l"))
+            rating = F.coalesce("__r", F.lit(rule.start) + F.col(f"{s}_seed"))
+            away = F.coalesce(F.col("day") - F.col("__l") > rule.long_gap, F.lit(False))
+            pulled = F.when(away, rating + rule.pull * (rule.start - rating)).otherwise(rating)
+            now = now.join(held, ["pool", f"{s}_id"], "left").withColumn(f"{s}_pre", pulled).drop("__r", "__l")
+        games = checkpointed(now)
         expected = 1 / (1 + F.pow(F.lit(10.0), (F.col("b_pre") - F.col("a_pre")) / rule.scale))
-        gain = rule.k * F.col("weight") * (F.col("won_a") - expected)
-        moves = F.explode(F.array(F.struct(F.col("a_id").alias("id"), F.col("a_pre").alias("pre"), gain.alias("d")), F.struct(F.col("b_id").alias("id"), F.col("b_pre").alias("pre"), (-gain).alias("d"))))
-        new = games.select("pool", moves.alias("m")).groupBy("pool", "m.id").agg((F.first("m.pre") + F.sum("m.d")).alias("rating"))
-        ratings = ratings.join(new, ["pool", "id"], "left_anti").unionByName(new)
-        ratings = checkpointed(ratings) if k % 4 == 3 else ratings
-        part = games.select("pool", "contest_id", "a_id", "b_id", "a_pre", "b_pre")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else c.select("pool", "contest_id", "a_id", "b_id", F.lit(0.0).alias("a_pre"), F.lit(0.0).alias("b_pre"))
+        gain = rule.k * F.col("weight") * F.when(F.col("flagged"), F.lit(rule.flagged)).otherwise(1.0) * (F.col("won_a") - expected)
+        move = lambda s, d: F.struct(F.col(f"{s}_id").alias("id"), F.col(f"{s}_pre").alias("pre"), F.coalesce(d, F.lit(0.0)).alias("d"), "day")
+        moves = games.select("pool", F.explode(F.array(move("a", gain * up("b_pre")), move("b", -gain * up("a_pre")))).alias("m"))
+        new = moves.groupBy("pool", "m.id").agg((F.min_by("m.pre", "m.day") + F.sum("m.d")).alias("rating"), F.max("m.day").alias("last"))
+        state = checkpointed(state.join(new, ["pool", "id"], "left_anti").unionByName(new))
+        games.select("pool", "contest_id", "a_id", "b_id", "a_pre", "b_pre").write.mode("append").parquet(f"{folder}/rated")
+    if c.isEmpty():
+        return c.select("pool", "contest_id", "a_id", "b_id", F.lit(0.0).alias("a_pre"), F.lit(0.0).alias("b_pre"))
+    return spark.read.parquet(f"{folder}/rated")
 
 
 UNCERTAIN_SCHEMA = "pool string, contest_id long, a_id long, b_id long, a_mu double, a_sigma double, b_mu double, b_sigma double"
 
 
-def _glicko(start: float, phi0: float, sigma0: float, tau: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _glicko(start: float, phi0: float, sigma0: float, tau: float) -> Rater:
     def volatility(phi: float, v: float, delta: float, sigma: float) -> float:
         a = math.log(sigma * sigma)
 
@@ -156,40 +194,37 @@ def _glicko(start: float, phi0: float, sigma0: float, tau: float) -> Callable[[p
             high, f_high = x, fx
         return math.exp(low / 2)
 
-    def rate(pool: pd.DataFrame) -> pd.DataFrame:
-        pool = pool.sort_values(["day", "contest_id"], kind="stable")
-        state: dict[int, tuple[float, float, float]] = {}
-        rows = []
-        for c in pool.itertuples(index=False):
-            a = state.get(c.a_id, (start + c.a_seed, phi0, sigma0))
-            b = state.get(c.b_id, (start + c.b_seed, phi0, sigma0))
-            rows.append((c.pool, c.contest_id, c.a_id, c.b_id, a[0], a[1], b[0], b[1]))
-            no_result = c.won_a != c.won_a or not c.weight
-            for who, own, rival, score in ((c.a_id, a, b, c.won_a), (c.b_id, b, a, 1 - c.won_a)):
-                mu, phi, sigma = own
-                if no_result:
-                    state[who] = (mu, min(phi0, math.sqrt(phi * phi + (173.7178 * sigma) ** 2)), sigma)
-                    continue
-                m, m_r, p, p_r = (mu - start) / 173.7178, (rival[0] - start) / 173.7178, phi / 173.7178, rival[1] / 173.7178
-                g = 1 / math.sqrt(1 + 3 * p_r * p_r / math.pi**2)
-                e = 1 / (1 + math.exp(-g * (m - m_r)))
-                v = 1 / (g * g * e * (1 - e))
-                gain = g * (score - e) * (c.weight * (0.25 if c.flagged else 1.0))
-                sigma = volatility(p, v, v * gain, sigma)
-                wide = math.sqrt(p * p + sigma * sigma)
-                p = 1 / math.sqrt(1 / (wide * wide) + 1 / v)
-                state[who] = (start + 173.7178 * (m + p * p * gain), 173.7178 * p, sigma)
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in UNCERTAIN_SCHEMA.split(", ")])
+    state: dict[int, tuple[float, float, float]] = {}
+
+    def rate(c: SimpleNamespace) -> tuple:
+        a = state.get(c.a_id, (start + c.a_seed, phi0, sigma0))
+        b = state.get(c.b_id, (start + c.b_seed, phi0, sigma0))
+        no_result = c.won_a is None or not c.weight
+        for who, own, rival, score in ((c.a_id, a, b, c.won_a), (c.b_id, b, a, None if no_result else 1 - c.won_a)):
+            mu, phi, sigma = own
+            if no_result:
+                state[who] = (mu, min(phi0, math.sqrt(phi * phi + (173.7178 * sigma) ** 2)), sigma)
+                continue
+            m, m_r, p, p_r = (mu - start) / 173.7178, (rival[0] - start) / 173.7178, phi / 173.7178, rival[1] / 173.7178
+            g = 1 / math.sqrt(1 + 3 * p_r * p_r / math.pi**2)
+            e = 1 / (1 + math.exp(-g * (m - m_r)))
+            v = 1 / (g * g * e * (1 - e))
+            gain = g * (score - e) * (c.weight * (0.25 if c.flagged else 1.0))
+            sigma = volatility(p, v, v * gain, sigma)
+            wide = math.sqrt(p * p + sigma * sigma)
+            p = 1 / math.sqrt(1 / (wide * wide) + 1 / v)
+            state[who] = (start + 173.7178 * (m + p * p * gain), 173.7178 * p, sigma)
+        return a[0], a[1], b[0], b[1]
 
     return rate
 
 
 def glicko_by_pool(contests: DataFrame, start: float = 1500.0, phi0: float = 350.0, sigma0: float = 0.06, tau: float = 0.5) -> DataFrame:
     """Rating and deviation of both sides before each contest (Glicko-2; both sides update from their state before it)."""
-    return _prepared(contests).groupBy("pool").applyInPandas(_glicko(start, phi0, sigma0, tau), UNCERTAIN_SCHEMA)
+    return _swept(contests, lambda: _glicko(start, phi0, sigma0, tau), UNCERTAIN_SCHEMA)
 
 
-def _trueskill(mu0: float, sigma0: float, beta: float, tau: float, draw: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _trueskill(mu0: float, sigma0: float, beta: float, tau: float, draw: float) -> Rater:
     pdf = lambda x: math.exp(-x * x / 2) / math.sqrt(2 * math.pi)
     cdf = lambda x: 0.5 * math.erfc(-x / math.sqrt(2))
 
@@ -202,16 +237,12 @@ def _trueskill(mu0: float, sigma0: float, beta: float, tau: float, draw: float)
 
     margin = quantile((draw + 1) / 2) * math.sqrt(2) * beta
 
-    def rate(pool: pd.DataFrame) -> pd.DataFrame:
-        pool = pool.sort_values(["day", "contest_id"], kind="stable")
-        state: dict[int, tuple[float, float]] = {}
-        rows = []
-        for c in pool.itertuples(index=False):
-            a = state.get(c.a_id, (mu0 + c.a_seed / 1500 * mu0, sigma0))
-            b = state.get(c.b_id, (mu0 + c.b_seed / 1500 * mu0, sigma0))
-            rows.append((c.pool, c.contest_id, c.a_id, c.b_id, *a, *b))
-            if c.won_a != c.won_a or not c.weight:
-                continue
+    state: dict[int, tuple[float, float]] = {}
+
+    def rate(c: SimpleNamespace) -> tuple:
+        a = state.get(c.a_id, (mu0 + c.a_seed / 1500 * mu0, sigma0))
+        b = state.get(c.b_id, (mu0 + c.b_seed / 1500 * mu0, sigma0))
+        if c.won_a is not None and c.weight:
             (w, won), (l, lost) = ((c.a_id, a), (c.b_id, b)) if c.won_a > 0.5 else ((c.b_id, b), (c.a_id, a))
             sw, sl = won[1] ** 2 + tau * tau, lost[1] ** 2 + tau * tau
             spread = math.sqrt(sw + sl + 2 * beta * beta)
@@ -222,11 +253,11 @@ def _trueskill(mu0: float, sigma0: float, beta: float, tau: float, draw: float)
             part = 0.25 if c.flagged else 1.0
             state[w] = (won[0] + part * sw / spread * v, math.sqrt(max(sw * (1 - sw / spread**2 * shrink), 1e-12)))
             state[l] = (lost[0] - part * sl / spread * v, math.sqrt(max(sl * (1 - sl / spread**2 * shrink), 1e-12)))
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in UNCERTAIN_SCHEMA.split(", ")])
+        return *a, *b
 
     return rate
 
 
 def trueskill_by_pool(contests: DataFrame, mu0: float = 25.0, sigma0: float = 25 / 3, beta: float = 25 / 6, tau: float = 25 / 300, draw: float = 0.01) -> DataFrame:
     """Mean and deviation of both sides before each contest (two players, from the published update)."""
-    return _prepared(contests).groupBy("pool").applyInPandas(_trueskill(mu0, sigma0, beta, tau, draw), UNCERTAIN_SCHEMA)
+    return _swept(contests, lambda: _trueskill(mu0, sigma0, beta, tau, draw), UNCERTAIN_SCHEMA)
