@@ -107,7 +107,52 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 
+#: kind, rank, pattern, group whose length counts, least length, as in ``secret_scan``
+_SECRETS = (
+    ("assign", 0, r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 1, 12),
+    ("access", 1, "AKIA[A-Z0-9]{14,}", 0, 18),
+    ("hex", 2, "[0-9a-f]{16,}", 0, 16),
+    ("entropy", 3, "[A-Za-z0-9][A-Za-z0-9+_-]{19,}", 0, 20),
+)
+_MATCHES = " UNION ALL ".join(
+    f"SELECT doc_id, '{k}' AS kind, {r} AS rank, {n} AS least, regexp_extract_all(x, '{p}') AS w, regexp_extract_all(x, '{p}', {g}) AS c, string_split_regex(x, '{p}') AS g FROM t"
+    for k, r, p, g, n in _SECRETS
+)
+
 ORACLE_SQL = {
+    "op3_secret_scan": rf"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+        m AS ({_MATCHES}),
+        u AS (SELECT doc_id, kind, rank, least, i, w[i] AS value, length(c[i]) AS n, sum(length(g[i]) + length(w[i])) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop
+              FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM m)),
+        p AS (SELECT doc_id, kind, rank, value, (stop - length(value))::BIGINT AS start, stop::BIGINT AS stop FROM u WHERE n >= least),
+        base AS (SELECT * FROM p WHERE rank < 3),
+        cand AS (SELECT *, CASE WHEN regexp_matches(value, '^([0-9a-f-]+|[0-9A-F-]+)$') THEN 2.9 WHEN regexp_matches(value, '^([0-9a-z_-]+|[0-9A-Z_-]+)$') THEN 3.5 ELSE 3.7 END AS bits FROM p
+                 WHERE rank = 3 AND NOT regexp_matches(value, '^[^0-9]+$|^[0-9-]+$|(?i:example|sample|placeholder|changeme|dummy|your[-_])|0{{7}}|1{{7}}|x{{7}}|X{{7}}')
+                   AND NOT regexp_matches(value, '^(?i:[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}})$')),
+        ch AS (SELECT value, o, l, count(*) AS c FROM (SELECT value, o, unnest(string_split(substr(value, o, 20), '')) AS l FROM (SELECT DISTINCT value, unnest(range(1, length(value) - 18)) AS o FROM cand)) GROUP BY ALL),
+        h AS (SELECT value, max(e) AS e FROM (SELECT value, o, log2(20) - sum(c * log2(c)) / 20 AS e FROM ch GROUP BY 1, 2) GROUP BY 1),
+        extra AS (SELECT c.doc_id, kind, rank, start, stop FROM cand c JOIN h USING (value) WHERE e >= bits - 1e-9
+                  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.start <= c.start AND b.stop >= c.stop)),
+        every AS (SELECT doc_id, kind, rank, start, stop FROM base UNION ALL SELECT * FROM extra),
+        s AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex, count(*) FILTER (rank = 3) AS n_entropy,
+                     string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 3) AS b, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM every GROUP BY 1)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_entropy, 0) AS n_entropy, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM t LEFT JOIN s USING (doc_id)""",
+    "op6_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+        part AS (SELECT doc_id, o, n, substr(h, 2 * o + 1, 2 * 2399) AS h FROM (SELECT *, unnest(range(0, greatest(n - 399, 0), 2000)) AS o FROM d)),
+        s AS (SELECT doc_id, o + i AS i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT *, unnest(range(0, least(2000, n - 399 - o))) AS i FROM part)),
+        again AS (SELECT k FROM s GROUP BY 1 HAVING count(*) > 1),
+        r AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM s SEMI JOIN again USING (k)),
+        g AS (SELECT doc_id, i, sum(CASE WHEN i <= p + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM r),
+        x AS (SELECT doc_id, g, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY 1, 2),
+        gaps AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM x
+                 UNION ALL SELECT doc_id, coalesce(max(b), 0), any_value(n) FROM d LEFT JOIN x USING (doc_id) GROUP BY 1),
+        kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS h FROM gaps JOIN d USING (doc_id) GROUP BY 1),
+        runs AS (SELECT doc_id, sum(b - a)::BIGINT AS removed, count(*) AS spans FROM x GROUP BY 1)
+        SELECT doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+        FROM d JOIN kept USING (doc_id) LEFT JOIN runs USING (doc_id)""",
     "op1_substring_dedup": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
         win AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS i, ws FROM w),
