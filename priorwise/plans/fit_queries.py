@@ -97,9 +97,10 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_write_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First event of each event id on a stream of the events table."""
-    stream = ledgers.first_write_wins(_event_stream(spark, sf_dir), "event_id", "ts", "60 days")
-    return ledgers.run_to_table(stream.select("event_id", "user_id", "event_type"), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
+    """Users and types of events, each written once however often it occurs, on a stream of the events table."""
+    keyed = _event_stream(spark, sf_dir).withColumn("key", F.concat_ws("|", F.col("user_id").cast("string"), "event_type"))
+    stream = ledgers.first_write_wins(keyed, "key", "ts", "3650 days")
+    return ledgers.run_to_table(stream.select("key", "user_id", "event_type"), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
 
 
 def windowed_hit_rate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,6 +145,6 @@ ORACLE_SQL = {
                round(0.5 + (p - 0.5) * least(1, (user_id % 7) / 4), 6) AS shrunk, round(greatest(power(0.5, date_diff('day', day, DATE '2024-02-01') / 10.0), 0.2), 6) AS weight,
                round((p + 0.01) / (p + 0.01 + q), 6) AS no_vig, round(CASE WHEN q >= 1 THEN 0 ELSE greatest(least((p - q) / (1 - q), 0.5), 0) END, 6) AS kelly,
                round(q + 0.01 + 0.25 * 0.07 * (q + 0.01) * (1 - (q + 0.01)), 6) AS maker FROM w""",
-    "first_write_stream": "SELECT event_id, user_id, event_type FROM events",
+    "first_write_stream": "SELECT DISTINCT user_id || '|' || event_type AS key, user_id, event_type FROM events",
     "windowed_hit_rate_stream": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(avg(value), 4) AS mean_value FROM events GROUP BY 1, 2",
 }
