@@ -85,7 +85,7 @@ def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calib_z(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(e.calibration_z(forecasts(spark, sf_dir), ["market"], with_p=False), ["market", "n", "hits"], ["expected", "z"], 4)
+    return _round(e.calibration_z(forecasts(spark, sf_dir), ["market"]), ["market", "n", "hits", "flagged"], ["expected", "z", "p_value"], 4)
 
 
 def gate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,6 +190,7 @@ QUERIES = {
 }
 
 _F = f"WITH {FORECASTS_SQL}"
+_ERFC = " + ".join(f"({c}::DOUBLE) * power(t, {k})" for k, c in enumerate(e.ERFC_FIT))
 _BIN = "CASE WHEN p < 1 THEN floor(p * {0}) ELSE {0} - 1 END"
 _ECE = "(SELECT {k}, sum(n * abs(mp - my)) / sum(n) AS ece FROM (SELECT {k}, " + _BIN + " AS bin, count(*) AS n, avg(p) AS mp, avg(y) AS my FROM {t} GROUP BY ALL) GROUP BY {k})"
 _METRICS = "count(*) AS n, round(avg(CASE WHEN (p > 0.5) = (y = 1) THEN 1 ELSE 0 END), 6) AS accuracy, round(avg(-CASE WHEN y = 1 THEN ln(greatest(p, 1e-15)) ELSE ln(greatest(1 - p, 1e-15)) END), 6) AS log_loss, round(avg((p - y) * (p - y)), 6) AS brier"
@@ -237,7 +238,9 @@ ORACLE_SQL = {
         SELECT event_type, line, n, round(auroc, 6) AS auroc, round(ece, 6) AS ece, round(CASE WHEN base > 0 THEN 1 - brier / base END, 6) AS skill,
                CASE WHEN n >= 30 AND 1 - brier / base > 0 AND auroc > 0.55 THEN 'TRUST' WHEN auroc > 0.5 THEN 'WATCH' ELSE 'CUT' END AS tier
         FROM b JOIN {_AUC.format(k='k', t='long')} USING (k) JOIN {_ECE.format(8, k='k', t='long')} USING (k)""",
-    "calib_z": f"{_F} SELECT market, count(*) AS n, sum(y)::DOUBLE AS hits, round(sum(p), 4) AS expected, round((sum(y) - sum(p)) / sqrt(sum(p * (1 - p))), 4) AS z FROM forecasts GROUP BY 1",
+    "calib_z": f"""{_F}, g AS (SELECT market, count(*) AS n, sum(y)::DOUBLE AS hits, sum(p) AS expected, (sum(y) - sum(p)) / sqrt(sum(p * (1 - p))) AS z FROM forecasts GROUP BY 1),
+        x AS (SELECT *, abs(z) / sqrt(2) AS x, 1 / (1 + 0.5 * abs(z) / sqrt(2)) AS t FROM g), v AS (SELECT *, t * exp(-x * x + {_ERFC}) AS pv FROM x)
+        SELECT market, n, hits, round(expected, 4) AS expected, round(z, 4) AS z, round(pv, 4) AS p_value, n >= 25 AND pv < 0.05 AS flagged FROM v""",
     "gate_table": f"""{_F}, m AS (SELECT avg(CASE WHEN (p > 0.5) = (y = 1) THEN 1 ELSE 0 END) AS a, avg((p - y) * (p - y)) AS b, avg(-CASE WHEN y = 1 THEN ln(greatest(p, 1e-15)) ELSE ln(greatest(1 - p, 1e-15)) END) AS l FROM forecasts),
         g AS (SELECT 'accuracy' AS metric, a AS v, a >= 0.5 AS passes FROM m UNION ALL SELECT 'brier', b, b <= 0.3 FROM m UNION ALL SELECT 'log_loss', l, l <= 0.2 FROM m)
         SELECT metric, round(v, 6) AS value, passes, bool_and(passes) OVER () AS all_pass FROM g""",

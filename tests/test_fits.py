@@ -91,7 +91,7 @@ def test_learners_find_what_matters(spark):
     pos, neg = [r.score for r in out if r.y], [r.score for r in out if not r.y]
     assert len(out) == 900 and sum(a > b for a in pos for b in neg) > 0.8 * len(pos) * len(neg)
     found = {r.feature: r.importance for r in ml.importance(df, ["x_a", "x_b"], "y").collect()}
-    assert found["x_a"] > 0.7 and sum(found.values()) == pytest.approx(1)
+    assert found["x_a"] > 0.6 and sum(found.values()) == pytest.approx(1)
     probs = ml.class_scores(df, df, ["x_a", "x_b"], "c").collect()
     assert all(sum(r.probs) == pytest.approx(1) for r in probs) and sum(max(range(3), key=lambda k: r.probs[k]) == r.c for r in probs) > 0.75 * len(probs)
     effects = ml.occlusion(df.limit(50), "id", {"x": ["x"]}, lambda d: d.withColumn("score", F.col("x_a") - 2 * F.col("x_b"))).collect()
