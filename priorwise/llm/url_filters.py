@@ -64,15 +64,12 @@ def match_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
 
     sites = pages.select("host", "path").distinct()
     labels = F.split("host", r"\.", -1)
-    options = [
-        F.when(
-            (F.size(labels) >= n) & (F.length("path") >= m),
-            _expression(F.array_join(F.slice(labels, -n, n), "."), F.substring("path", 1, m)),
-        )
-        for n, m in shapes
-    ]
+    # one expression over the list of shapes, however many there are
+    listed = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(m).alias("m")) for n, m in shapes))
+    fitting = F.filter(listed, lambda s: (F.size(labels) >= s["n"]) & (F.length("path") >= s["m"]))
+    options = F.transform(fitting, lambda s: _expression(F.array_join(F.slice(labels, F.size(labels) - s["n"] + 1, s["n"]), "."), F.substring(F.col("path"), F.lit(1), s["m"])))
     asked = (
-        sites.select("host", "path", F.explode(F.array_compact(F.array(*options))).alias("expression"))
+        sites.select("host", "path", F.explode(options).alias("expression"))
         .select("host", "path", _digest(F.col("expression")).alias("digest"))
         .withColumn("short", F.substring("digest", 1, PREFIX_DIGITS))
     )

@@ -102,6 +102,9 @@ def test_urls(spark):
     pages = spark.createDataFrame([(u, "clash") for u in [*cases, "http://net/"]], "url string, rule string")
     got = url_filters.match_urls(pages, rules).collect()
     assert len(got) == len(cases) + 1 and all((r.host, r.path, r.rule, r.verdict) == cases[r.url] for r in got)
+    many = spark.createDataFrame([(".".join("abcdefgh"[: 1 + k % 8]), "/" + "x" * (k // 8), "block") for k in range(1600)], "host string, path string, action string")
+    asked = spark.createDataFrame([("http://q.a.b.c/" + "x" * 60,), ("http://zz/",)], "url string")
+    assert {r.url[:9]: r.rule for r in url_filters.match_urls(asked, many).collect()} == {"http://q.": "a.b.c/" + "x" * 60, "http://zz": None}
     none = url_filters.match_urls(pages, rules.limit(0))
     assert {r.verdict for r in none.collect()} == {"allow"} and url_filters.match_urls(pages.limit(0), rules).count() == 0
 
