@@ -124,11 +124,26 @@ def bootstrap(df: DataFrame, key: str, reps: int = 200, level: float = 0.95, see
     return scores.agg(F.percentile("score", tail).alias("low"), F.percentile("score", 1 - tail).alias("high"), F.avg("score").alias("mean"))
 
 
-def slices(df: DataFrame, labels: Column, p: str = "p", y: str = "y", least: int = 50, worst: float = 0.255) -> DataFrame:
-    """Metrics of every slice a row belongs to (array of labels), flagged where large and badly scored."""
+def rare_pooled(df: DataFrame, label: str, least: int = 30, other: str = "Other") -> DataFrame:
+    """``df`` with labels of fewer than ``least`` rows replaced; a null label stays null."""
+    sizes = df.groupBy(label).agg((F.count("*") >= least).alias("__large"))
+    joined = df.join(F.broadcast(sizes) if sizes.limit(100_001).count() <= 100_000 else sizes, label, "left")
+    return joined.withColumn(label, F.when(F.col("__large") | F.col(label).isNull(), F.col(label)).otherwise(F.lit(other))).select(*df.columns)
+
+
+def slices(df: DataFrame, labels: Column, p: str = "p", y: str = "y", least: int = 50, worst: float = 0.255, z: float = 1.959963984540054) -> DataFrame:
+    """Metrics of every slice a row belongs to (array of labels), with an interval of the Brier score.
+
+    The interval is that of a mean, which a bootstrap of the rows tends to. Large
+    slices with a score above ``worst`` are flagged; a flag is ``noise`` where
+    the interval reaches down to ``worst``.
+    """
     long = df.withColumn("slice", F.explode(labels))
-    out = winner_metrics(long, ["slice"], p, y).join(ece(long, ["slice"], 10, p, y), "slice")
-    return out.withColumn("flagged", (F.col("n") >= least) & (F.col("brier") > worst))
+    loss = (F.col(p) - F.col(y)) * (F.col(p) - F.col(y))
+    half = long.where(loss.isNotNull()).groupBy("slice").agg((z * F.stddev_pop(loss) / F.sqrt(F.count(loss))).alias("__half"))
+    out = winner_metrics(long, ["slice"], p, y).join(ece(long, ["slice"], 10, p, y), "slice").join(half, "slice")
+    out = out.withColumns({"brier_low": F.col("brier") - F.col("__half"), "brier_high": F.col("brier") + F.col("__half"), "flagged": (F.col("n") >= least) & (F.col("brier") > worst)})
+    return out.withColumn("noise", F.col("flagged") & (F.col("brier_low") <= worst)).drop("__half")
 
 
 def pinball(q: Column, value: Column, y: Column) -> Column:

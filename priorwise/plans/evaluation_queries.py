@@ -48,9 +48,9 @@ def brier_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = forecasts(spark, sf_dir)
-    labels = F.array_compact(F.array(F.col("market"), F.concat(F.lit("w"), F.weekofyear("day")), F.when(F.col("q") > 0.5, "dear")))
-    return _round(e.slices(f, labels), ["slice", "n", "flagged"], ["accuracy", "log_loss", "brier", "ece"])
+    f = e.rare_pooled(forecasts(spark, sf_dir).withColumn("who", F.concat(F.lit("u"), (F.col("user_id") % 50).cast("string"))), "who", 30)
+    labels = F.array_compact(F.array(F.col("market"), F.concat(F.lit("w"), F.weekofyear("day")), F.when(F.col("q") > 0.5, "dear"), F.col("who")))
+    return _round(e.slices(f, labels), ["slice", "n", "flagged", "noise"], ["accuracy", "log_loss", "brier", "ece", "brier_low", "brier_high"])
 
 
 def pinball_crps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,9 +214,11 @@ ORACLE_SQL = {
                  UNION ALL SELECT 'purchase', 0.5::DOUBLE, (event_type = 'purchase')::INT FROM k)
         SELECT cls, n, round(brier, 6) AS brier, round(ece, 6) AS ece, round(rate, 6) AS rate
         FROM (SELECT cls, count(*) AS n, avg((p - y) * (p - y)) AS brier, avg(y) AS rate FROM long GROUP BY 1) JOIN {_ECE.format(10, k='cls', t='long')} USING (cls)""",
-    "slices": f"""{_F}, s AS (SELECT p, y, unnest(list_filter([market, 'w' || weekofyear(day), CASE WHEN q > 0.5 THEN 'dear' END], lambda x: x IS NOT NULL)) AS slice FROM forecasts)
-        SELECT slice, n, accuracy, log_loss, brier, round(ece, 6) AS ece, n >= 50 AND raw > 0.255 AS flagged
-        FROM (SELECT slice, avg((p - y) * (p - y)) AS raw, {_METRICS} FROM s GROUP BY 1) JOIN {_ECE.format(10, k='slice', t='s')} USING (slice)""",
+    "slices": f"""{_F}, w AS (SELECT *, 'u' || (user_id % 50) AS who, count(*) OVER (PARTITION BY user_id % 50) >= 30 AS large FROM forecasts),
+        s AS (SELECT p, y, unnest(list_filter([market, 'w' || weekofyear(day), CASE WHEN q > 0.5 THEN 'dear' END, CASE WHEN large THEN who ELSE 'Other' END], lambda x: x IS NOT NULL)) AS slice FROM w),
+        h AS (SELECT slice, avg((p - y) * (p - y)) AS raw, 1.959963984540054::DOUBLE * stddev_pop((p - y) * (p - y)) / sqrt(count(*)) AS half FROM s GROUP BY 1)
+        SELECT slice, n, accuracy, log_loss, brier, round(ece, 6) AS ece, round(raw - half, 6) AS brier_low, round(raw + half, 6) AS brier_high, n >= 50 AND raw > 0.255 AS flagged, n >= 50 AND raw > 0.255 AND raw - half <= 0.255 AS noise
+        FROM (SELECT slice, {_METRICS} FROM s GROUP BY 1) JOIN h USING (slice) JOIN {_ECE.format(10, k='slice', t='s')} USING (slice)""",
     "pinball_crps": """
         WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, list_sort(CAST(embedding AS DOUBLE[])) AS s, len(embedding) AS n, CAST(embedding[1] AS DOUBLE) AS y FROM embeddings)
         SELECT vec_id,
