@@ -64,6 +64,31 @@ def json_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select(F.col("volume").cast("long").alias("event_id"), "kind", "contest_date", "code", "bid", "ask")
 
 
+_SERIES = ("winner", "method", "distance", "mof", "rounds", "vicround")
+
+
+def series_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as payloads of six series, some of their markets beyond parsing, read back as quotes."""
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    series = F.element_at(F.array(*(F.lit(x) for x in _SERIES)), (F.col("event_id") % 6 + 1).cast("int"))
+    tail = F.element_at(F.array(*(F.lit(x) for x in ("DIST", "KO", "DRAW", "3", "OTHER"))), (k % 5 + 1).cast("int"))
+    method = F.element_at(F.array(F.lit("KO/TKO"), F.lit("Submission"), F.lit("Draw"), F.lit("decision"), F.lit(None).cast("string")), (k % 5 + 1).cast("int"))
+    who = F.when(k % 4 == 0, "Al Bo").when(k % 4 == 1, "Other")
+    strike = F.struct(method.alias("Method"), who.alias("Participant"), F.when(k % 3 > 0, (k % 3).cast("string")).otherwise("x").alias("Round"))
+    title = F.when(k % 7 == 0, "Cy Do to win in Round 2").when(k % 7 == 1, "Ed Fa")
+    market = F.struct(
+        F.concat(F.lit("EV-AB-"), tail).alias("ticker"), F.lit("EV-26JUL11AB").alias("event_ticker"), title.alias("yes_sub_title"), F.format_string("%.2f", k / 100).alias("yes_bid_dollars"),
+        F.when(k % 2 == 0, "bad").otherwise("0.50").alias("yes_ask_dollars"), F.col("event_id").cast("string").alias("volume_fp"), strike.alias("custom_strike"),
+    )
+    payloads = e.groupBy(series.alias("series"), F.floor(F.col("event_id") / 1000).alias("pull")).agg(F.to_json(F.struct(F.collect_list(market).alias("markets"))).alias("payload"))
+    out = None
+    for name in _SERIES:
+        part = quotes.series_quotes(payloads.where(F.col("series") == name), "payload", name)
+        out = part if out is None else out.unionByName(part)
+    return out.select(F.col("volume").cast("long").alias("event_id"), "series", "kind", "entity", "code", "bid", "ask")
+
+
 def card_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as cards of matchups with one line each, parsed back."""
     return _parsed_cards(table(spark, sf_dir, "lineitem"))
@@ -192,7 +217,7 @@ def latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        parse_fields, name_keys, folded_names, json_quotes, card_lines, html_fields, asof_latest, within_a_day, two_pass_resolution, fuzzy_names, name_suggestions, temporal_splits,
+        parse_fields, name_keys, folded_names, json_quotes, series_quotes, card_lines, html_fields, asof_latest, within_a_day, two_pass_resolution, fuzzy_names, name_suggestions, temporal_splits,
         bounded_rows, tripwire_flags, class_labels, token_filter, outer_precedence, stale_pruning, dead_features, csv_round_trip, latest_snapshot,
     )
 }
@@ -224,6 +249,15 @@ ORACLE_SQL = {
         WITH e AS (SELECT event_id, CAST(ts AS DATE) AS day, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)
         SELECT event_id, CASE k % 5 WHEN 0 THEN 'distance' WHEN 1 THEN 'mof_ko' WHEN 2 THEN 'end_before_r' || (k % 4 + 1) ELSE 'winner' END AS kind, day AS contest_date, 'QRSTUV' AS code,
                k / 100 AS bid, CASE WHEN k % 2 = 0 THEN (k + 1) / 100 ELSE 0.5 END AS ask FROM e WHERE k % 5 < 4""",
+    "series_quotes": r"""
+        WITH e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events),
+        t AS (SELECT *, ['winner', 'method', 'distance', 'mof', 'rounds', 'vicround'][event_id % 6 + 1] AS series, ['DIST', 'KO', 'DRAW', '3', 'OTHER'][k % 5 + 1] AS tail, ['ko', 'sub', NULL, 'dec', NULL][k % 5 + 1] AS m,
+              CASE k % 4 WHEN 0 THEN 'Al Bo' WHEN 1 THEN 'Other' END AS who, CASE k % 7 WHEN 0 THEN 'Cy Do to win in Round 2' WHEN 1 THEN 'Ed Fa' END AS title FROM e),
+        q AS (SELECT *, CASE series WHEN 'winner' THEN CASE WHEN title IS NOT NULL THEN 'winner' END WHEN 'method' THEN CASE WHEN who IS NOT NULL THEN 'method_' || m END WHEN 'distance' THEN CASE WHEN tail = 'DIST' THEN 'distance' END
+                WHEN 'mof' THEN 'mof_' || CASE WHEN k % 5 < 4 THEN m ELSE CASE tail WHEN 'KO' THEN 'ko' END END WHEN 'rounds' THEN CASE WHEN tail = '3' THEN 'end_before_r3' END
+                ELSE CASE WHEN who = 'Other' OR (who IS NULL AND tail = 'OTHER') THEN 'vicround_other' WHEN who IS NOT NULL THEN CASE WHEN k % 3 > 0 THEN 'win_in_r' || (k % 3) END WHEN k % 7 = 0 THEN 'win_in_r2' END END AS kind,
+              CASE series WHEN 'winner' THEN title WHEN 'method' THEN who WHEN 'vicround' THEN CASE WHEN who = 'Al Bo' THEN who WHEN who IS NULL AND tail <> 'OTHER' THEN 'Cy Do' END END AS entity FROM t)
+        SELECT event_id, series, kind, entity, '26JUL11AB' AS code, k / 100 AS bid, CASE WHEN k % 2 <> 0 THEN 0.5::DOUBLE END AS ask FROM q WHERE kind IS NOT NULL""",
     "card_lines": """
         SELECT CAST(l_orderkey AS VARCHAR) AS card, count(*) AS n, sum(CASE WHEN l_linenumber = 2 THEN 5 ELSE 3 END)::BIGINT AS rounds, sum(l_quantity) AS lines, count(*) FILTER (l_linenumber <> 1) AS inherited
         FROM lineitem GROUP BY 1""",

@@ -35,6 +35,70 @@ def quote_rows(payloads: DataFrame, column: str) -> DataFrame:
     return out.where("kind IS NOT NULL")
 
 
+SERIES_MARKETS = (
+    "struct<markets:array<struct<ticker:string,event_ticker:string,yes_sub_title:string,yes_bid_dollars:string,yes_ask_dollars:string,last_price_dollars:string,volume_fp:string,"
+    "custom_strike:struct<Method:string,Participant:string,Round:string>>>>"
+)
+#: fixed values: method labels and ticker suffixes of contests that end by a method
+METHODS = (("submission", "sub"), ("decision", "dec"))
+METHOD_SUFFIXES = (("KO", "ko"), ("SUB", "sub"), ("DEC", "dec"))
+ROUND_TITLE = r"^\s*(.+?)\s+to win in [Rr]ound\s+(\d+)"
+
+
+def _method(label: Column) -> Column:
+    """ko, sub or dec by a label; null for others, such as a draw."""
+    text = F.lower(F.trim(label))
+    out = F.when(text.contains("ko"), "ko")
+    for name, short in METHODS:
+        out = out.when(text == name, short)
+    return out
+
+
+def series_kind(series: str, ticker: Column, strike: Column, sub_title: Column) -> Column:
+    """struct(kind, entity) of a market of a series; a null kind cannot be parsed.
+
+    Series: winner, method (of a side), distance, mof (method of the contest),
+    rounds, vicround (side and round, by the strike, else by the subtitle).
+    """
+    tail, who = ticker_tail(ticker), F.nullif(F.trim(strike["Participant"]), F.lit(""))
+    nobody = F.lit(None).cast("string")
+    pair = lambda kind, entity=nobody: F.struct(kind.alias("kind"), F.when(kind.isNotNull(), entity).alias("entity"))
+    if series == "winner":
+        name = F.nullif(F.trim(sub_title), F.lit(""))
+        return pair(F.when(name.isNotNull(), F.lit("winner")), name)
+    if series == "method":
+        return pair(F.when(who.isNotNull(), F.concat(F.lit("method_"), _method(strike["Method"]))), who)
+    if series == "distance":
+        return pair(F.when(tail == "DIST", F.lit("distance")))
+    if series == "mof":
+        by_tail = F.lit(None).cast("string")
+        for suffix, short in METHOD_SUFFIXES:
+            by_tail = F.when(tail == suffix, short).otherwise(by_tail)
+        return pair(F.concat(F.lit("mof_"), F.when(F.nullif(strike["Method"], F.lit("")).isNotNull(), _method(strike["Method"])).otherwise(by_tail)))
+    if series == "rounds":
+        return pair(F.when(tail.rlike(r"^\d+$"), F.concat(F.lit("end_before_r"), tail)))
+    if series == "vicround":
+        n = F.trim(strike["Round"]).try_cast("int").cast("string")
+        titled = F.nullif(F.regexp_extract(sub_title, ROUND_TITLE, 2), F.lit(""))
+        stated = F.when(who == "Other", F.lit("vicround_other")).otherwise(F.concat(F.lit("win_in_r"), n))
+        kind = F.when(who.isNotNull(), stated).when(tail == "OTHER", F.lit("vicround_other")).otherwise(F.concat(F.lit("win_in_r"), titled))
+        side = F.when(who.isNotNull(), F.when(who != "Other", who)).when(tail != "OTHER", F.regexp_extract(sub_title, ROUND_TITLE, 1))
+        return pair(kind, side)
+    raise ValueError(f"unknown series {series}")
+
+
+def series_quotes(payloads: DataFrame, column: str, series: str) -> DataFrame:
+    """One row for each market of a series' payload that can be parsed; prices as doubles, null where they cannot be read."""
+    kept = [c for c in payloads.columns if c != column]
+    rows = payloads.select(*kept, F.explode(F.from_json(column, SERIES_MARKETS)["markets"]).alias("m"))
+    number = lambda c: F.col(f"m.{c}").try_cast("double")
+    rows = rows.withColumn("k", series_kind(series, F.col("m.ticker"), F.col("m.custom_strike"), F.col("m.yes_sub_title"))).where("k.kind IS NOT NULL")
+    return rows.select(
+        *kept, F.col("m.ticker").alias("ticker"), F.substring_index(F.col("m.event_ticker"), "-", -1).alias("code"), "k.kind", "k.entity", number("yes_bid_dollars").alias("bid"),
+        number("yes_ask_dollars").alias("ask"), number("last_price_dollars").alias("last"), number("volume_fp").alias("volume"),
+    )
+
+
 def card_lines(payloads: DataFrame, column: str) -> DataFrame:
     """Matchups and their lines of cards; three rounds, no title and the card's payout by default."""
     card = payloads.select(F.from_json(column, CARD).alias("c"))
