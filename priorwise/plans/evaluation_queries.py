@@ -150,11 +150,11 @@ def last_close(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def settle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contests settled for three contracts; the outcome label comes from quantity."""
+    """Contests settled for all kinds of contracts; the outcome label comes from quantity."""
     c = contests(spark, sf_dir)
     k = F.col("a_quantity") % 7
     outcome = F.when(k == 0, "NC").when(k == 1, "KO").when(k == 2, "SUB").when(k == 3, "DRAW").when(k == 4, "DQ").when(k == 5, F.lit(None)).otherwise("U-DEC")
-    kinds = F.explode(F.array(*(F.lit(x) for x in ("winner", "method_ko", "distance", "vicround_other", "end_before_r3", "win_in_r2"))))
+    kinds = F.explode(F.array(*(F.lit(x) for x in ("winner", "method_ko", "method_sub", "method_dec", "distance", "mof_ko", "mof_sub", "mof_dec", "vicround_other", "end_before_r3", "win_in_r2"))))
     rows = c.select("contest_id", kinds.alias("kind"), (F.col("won_a") == 1).alias("won"), outcome.alias("outcome"), (F.col("b_quantity") % 5 + 1).cast("int").alias("end_round"))
     s = ledger.settle(F.col("kind"), F.col("won"), F.col("outcome"), F.col("end_round"), F.lit(3))
     return rows.select("contest_id", "kind", s.alias("s")).select("contest_id", "kind", F.col("s.realized").cast("long").alias("realized"), F.col("s.status").alias("status"))
@@ -272,8 +272,9 @@ ORACLE_SQL = {
         SELECT id, round(CASE WHEN status = 'pending' AND f.day >= DATE '2024-01-15' THEN last ELSE close END, 6) AS close FROM forecasts f JOIN l ON l.market = f.market AND l.day = f.day""",
     "settle": f"""WITH {CONTESTS_SQL},
         r AS (SELECT contest_id, won_a = 1 AS won, b_quantity % 5 + 1 AS rd, CASE a_quantity % 7 WHEN 0 THEN 'NC' WHEN 1 THEN 'KO' WHEN 2 THEN 'SUB' WHEN 3 THEN 'DRAW' WHEN 4 THEN 'DQ' WHEN 5 THEN NULL ELSE 'U-DEC' END AS o FROM contests),
-        k AS (SELECT *, unnest(['winner', 'method_ko', 'distance', 'vicround_other', 'end_before_r3', 'win_in_r2']) AS kind, CASE WHEN o = 'DRAW' THEN false ELSE won END AS side FROM r),
-        y AS (SELECT *, CASE kind WHEN 'winner' THEN side WHEN 'method_ko' THEN side AND o IN ('KO', 'TKO', 'DQ') WHEN 'distance' THEN o IN ('U-DEC', 'S-DEC', 'M-DEC', 'DRAW')
+        k AS (SELECT *, unnest(['winner', 'method_ko', 'method_sub', 'method_dec', 'distance', 'mof_ko', 'mof_sub', 'mof_dec', 'vicround_other', 'end_before_r3', 'win_in_r2']) AS kind, CASE WHEN o = 'DRAW' THEN false ELSE won END AS side FROM r),
+        y AS (SELECT *, CASE kind WHEN 'winner' THEN side WHEN 'method_ko' THEN side AND o IN ('KO', 'TKO', 'DQ') WHEN 'method_sub' THEN side AND o = 'SUB' WHEN 'method_dec' THEN side AND o IN ('U-DEC', 'S-DEC', 'M-DEC')
+                WHEN 'mof_ko' THEN o IN ('KO', 'TKO', 'DQ') WHEN 'mof_sub' THEN o = 'SUB' WHEN 'mof_dec' THEN o IN ('U-DEC', 'S-DEC', 'M-DEC') WHEN 'distance' THEN o IN ('U-DEC', 'S-DEC', 'M-DEC', 'DRAW')
                 WHEN 'vicround_other' THEN o IN ('NC', 'DRAW', 'U-DEC', 'S-DEC', 'M-DEC') WHEN 'end_before_r3' THEN o IN ('KO', 'TKO', 'DQ', 'SUB') AND rd < 3
                 ELSE side AND o IN ('KO', 'TKO', 'DQ', 'SUB') AND rd = 2 END AS yes FROM k),
         s AS (SELECT *, CASE WHEN o IS NULL THEN 'pending' WHEN o = 'NC' AND kind <> 'vicround_other' THEN 'void' WHEN yes IS NULL THEN 'pending' ELSE 'resolved' END AS status FROM y)
