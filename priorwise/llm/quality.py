@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from priorwise.llm.shared import checkpointed, in_small_batches, nested, small, stored, unnested
+from priorwise.llm.shared import checkpointed, in_small_batches, nested, small, unnested
 from priorwise.llm.text_blocks import blocks, ragged
 
 #: bytes of text whose n-grams travel together, and bytes that are taken apart at once
@@ -217,7 +217,7 @@ def train(trusted: DataFrame, order: int = 3) -> list[tuple[DataFrame, DataFrame
 
 
 def gram_probabilities(grams: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """``lang, hi, lo, nats`` of distinct n-grams (lang, hi, lo): minus the logarithm of the last character's probability.
+    """``lang, hi, lo, nats`` (and ``least``) of distinct n-grams: minus the logarithm of the last character's probability.
 
     Each order's tables are joined by the n-gram's suffix and its context; an
     n-gram that was not seen has the context's weight times the lower order's
@@ -232,7 +232,8 @@ def gram_probabilities(grams: DataFrame, model: list[tuple[DataFrame, DataFrame]
         keyed = grams.withColumns({f"h{n}": hi, f"l{n}": lo, f"ch{n}": chi, f"cl{n}": clo})
         grams = keyed.join(own, ["lang", f"h{n}", f"l{n}"], "left").join(back, ["lang", f"ch{n}", f"cl{n}"], "left")
         p = F.coalesce(f"p{n}", F.coalesce(f"g{n}", F.lit(1.0 if n > 1 else None)) * p)
-    return grams.select("lang", "hi", "lo", (-F.log(p)).alias("nats"))
+    kept = [c for c in ("least",) if c in grams.columns]
+    return grams.select("lang", "hi", "lo", *kept, (-F.log(p)).alias("nats"))
 
 
 # ---------------------------------------------------------------- scores
@@ -308,9 +309,12 @@ def score(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFram
     rows = nested(docs, "text", "lang").select("row", "text", F.col("lang").cast("string").alias("lang"), block.alias("block"))
     dealt = rows.groupBy("block")
     order = len(model)
-    grams = stored(dealt.applyInArrow(_block_grams(order), "block long, lang string, hi long, lo long"))
-    nats = gram_probabilities(grams.select("lang", "hi", "lo").distinct(), model)
-    asked = grams.join(nats, ["lang", "hi", "lo"]).select("block", "lang", "hi", "lo", "nats")
+    # one exchange of the n-grams and one of the documents serve both of their readers
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grams = dealt.applyInArrow(_block_grams(order), "block long, lang string, hi long, lo long").repartition(parts, "lang", "hi", "lo")
+    # the least block is read so that both need the same columns of the exchange
+    nats = gram_probabilities(grams.groupBy("lang", "hi", "lo").agg(F.min("block").alias("least")), model)
+    asked = grams.join(nats, ["lang", "hi", "lo"]).where("block >= least").select("block", "lang", "hi", "lo", "nats")
     schema = T.StructType([*rows.schema.fields[:3], T.StructField("loss", T.DoubleType()), T.StructField("chars", T.LongType())])
     return dealt.cogroup(asked.groupBy("block")).applyInArrow(_score_block(order), schema)
 
