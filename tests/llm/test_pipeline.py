@@ -7,7 +7,8 @@ import pytest
 
 import corpus_pipeline
 from priorwise.llm import queries, quality
-from tests.llm.test_text_operators import LOW, WORD, fingerprint
+from tests.llm.test_near_dedup_stage import shingles
+from tests.llm.test_text_operators import LOW, WORD
 
 TOKEN = re.compile("token = '[0-9a-f]{18}")
 
@@ -54,11 +55,11 @@ def test_pipeline(spark, tmp_path, words):
     verdicts = quality.classify(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
     kept = {v.doc_id for v in verdicts.collect() if v.keep}
     assert 202 not in kept and len(kept) > 150
-    prints = {k: fingerprint(texts[k]) for k in sorted(kept)}
+    prints = {k: shingles(texts[k]) for k in sorted(kept)}
     first: dict = {k: k for k in prints}
     for a in prints:
         for b in prints:
-            if a < b and (prints[a] ^ prints[b]).bit_count() <= 3:
+            if a < b and len(prints[a] & prints[b]) >= 0.8 * len(prints[a] | prints[b]):
                 low, high = sorted((first[a], first[b]))
                 first = {k: low if v == high else v for k, v in first.items()}
     left = [k for k in prints if first[k] == k]
