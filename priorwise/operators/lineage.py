@@ -26,3 +26,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once and read from files in the shared folder, with its lineage cut."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder that an operator has written and no plan reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

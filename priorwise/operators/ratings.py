@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from priorwise.operators.lineage import checkpointed, shared_folder
+from priorwise.operators.lineage import checkpointed, removed, shared_folder
 
 
 @dataclass(frozen=True)
@@ -158,6 +158,7 @@ def elo_by_period(contests: DataFrame, period: Column, rule: EloRule = EloRule()
         games.select("pool", "contest_id", "a_id", "b_id", "a_pre", "b_pre").write.mode("append").parquet(f"{folder}/rated")
     if c.isEmpty():
         return c.select("pool", "contest_id", "a_id", "b_id", F.lit(0.0).alias("a_pre"), F.lit(0.0).alias("b_pre"))
+    removed(spark, f"{folder}/contests")
     return spark.read.parquet(f"{folder}/rated")
 
 
