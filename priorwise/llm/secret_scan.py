@@ -149,7 +149,8 @@ def find_secrets(docs: DataFrame, text: str = "text", rule: EntropyRule = Entrop
     body = F.coalesce(F.col(text), F.lit(""))
     columns = {kind: _if_hinted(body, _HINTS[kind], _found(body, _SEARCH.get(kind, pattern), group, least)) for kind, pattern, group, least in BASE_KINDS}
     kept = [c for c in docs.columns if c != "secret_spans"]
-    named = lambda kind: f"__{kind}"
+    own = "_" * (1 + max(map(len, docs.columns)))  # begins no name of the input
+    named = lambda kind: own + kind
     found = docs.select(*kept, *(c.alias(named(k)) for k, c in columns.items()), entropy_spans(body, rule).alias(named("entropy")))
 
     def tagged(kind: str, rank: int) -> Column:
@@ -158,12 +159,12 @@ def find_secrets(docs: DataFrame, text: str = "text", rule: EntropyRule = Entrop
             lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind")),
         )
 
-    found = found.select(*kept, named("entropy"), F.concat(*(tagged(k, i) for i, (k, *_) in enumerate(BASE_KINDS))).alias("__base"))
+    found = found.select(*kept, named("entropy"), F.concat(*(tagged(k, i) for i, (k, *_) in enumerate(BASE_KINDS))).alias(named("base")))
     extra = F.filter(
         tagged("entropy", len(BASE_KINDS)),
-        lambda x: ~F.exists(F.col("__base"), lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"])),
+        lambda x: ~F.exists(F.col(named("base")), lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"])),
     )
-    return found.select(*kept, F.array_sort(F.concat("__base", extra)).alias("secret_spans"))
+    return found.select(*kept, F.array_sort(F.concat(named("base"), extra)).alias("secret_spans"))
 
 
 def span_list(spans: Column) -> Column:

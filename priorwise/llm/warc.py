@@ -128,9 +128,9 @@ class ArchiveFiles(InputPartition):
 def plan_partitions(sizes: list[tuple[str, int]], target: int) -> list[ArchiveFiles]:
     """Whole files grouped in order up to about ``target`` bytes; larger files stand alone."""
     out: list[ArchiveFiles] = []
-    filled = target
+    filled = 0
     for path, size in sizes:
-        if filled + size > target:
+        if not out or filled + size > target:
             out.append(ArchiveFiles([]))
             filled = 0
         out[-1].paths.append(path)

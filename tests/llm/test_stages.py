@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from priorwise.llm import stages
+from priorwise.llm import embedding_dedup, packing, secret_scan, simhash, stages, substring_dedup, suffix_dedup, warc
 
 #: names that operators use for columns of their own
 NAMES = (
@@ -41,3 +41,31 @@ def test_stage(spark, corpus, tables, k):
 def test_secrets_keep_a_null_text(spark, corpus, tables):
     got = {r.doc_id: r.text for r in stages.redact_secrets(spark, corpus, tables).collect()}
     assert got[3] is None and got[14] == "[SECRET]'"
+
+
+WIDE = {
+    "substring": lambda d: substring_dedup.remove_repeats(d, 8),
+    "suffix": lambda d: suffix_dedup.remove_repeated_strings(d, 100, 24),
+    "simhash": simhash.simhash_groups,
+    "first": simhash.keep_first,
+    "secrets": secret_scan.find_secrets,
+    "packing": lambda d: packing.pack_documents(d, pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")),
+}
+
+
+@pytest.mark.parametrize("name", WIDE)
+def test_operators_take_further_columns_and_empty_tables(spark, corpus, name):
+    wide = corpus.select("*", *(F.lit(f"mine {n}").alias(n) for n in NAMES if n != "secret_spans"))
+    plain, got = WIDE[name](corpus), WIDE[name](wide)
+    same = [c for c in plain.columns if not c.startswith("__")]
+    rows = lambda df: sorted(map(str, df.select(*same).collect()))
+    assert rows(got) == rows(plain) and WIDE[name](wide.limit(0)).count() == 0
+
+
+def test_vectors_and_pages_of_odd_tables(spark, tmp_path):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0], "x"), (2, [1.0, 0.01], "x"), (2, [1.0, 0.01], "x")], "vec_id long, embedding array<double>, node string").withColumn("copies", F.lit("y"))
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(vectors).collect())
+    assert got == [(1, 2, 1), (2, 2, 1), (2, 2, 1)] and embedding_dedup.near_duplicates(vectors.limit(0)).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    warc.write_archives(warc.plan_records(pages), str(tmp_path / "w"))
+    assert warc.read_archives(spark, str(tmp_path / "w")).count() == 0
