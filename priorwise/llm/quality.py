@@ -31,7 +31,7 @@ from priorwise.llm.shared import checkpointed, in_small_batches, nested, small,
 from priorwise.llm.text_blocks import blocks, ragged
 
 #: bytes of text whose n-grams travel together, and bytes that are taken apart at once
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 SCORE_BYTES = 1 << 19
 #: characters of a key column, and the most in both
 _WIDTH, MOST_ORDER = 3, 6
