@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorwise.llm import decontamination, embedding_dedup, packing, quality, secret_scan, simhash, substring_dedup, suffix_dedup, url_filters, warc
+from priorwise.llm import centroid_clusters, decontamination, embedding_dedup, hard_negatives, html_text, packing, quality, secret_scan, simhash, substring_dedup, suffix_dedup, url_filters, warc
 from priorwise.llm.shared import shared_folder
 
 
@@ -94,6 +94,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroid_clusters.cluster_vectors(table(spark, sf_dir, "embeddings"), clusters=8, rounds=10, scale=1024, dims=64, seed=3)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0, positives=5, negatives=5, low=80, high=100, scale=256)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -105,6 +120,9 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_html_text": op12_html_text,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 #: kind, rank, pattern, group whose length counts, least length, as in ``secret_scan``
@@ -119,7 +137,42 @@ _MATCHES = " UNION ALL ".join(
     for k, r, p, g, n in _SECRETS
 )
 
+
+
+def _cluster_rounds(rounds: int = 10) -> str:
+    """SQL of op11: rounds of assignment and exact floors of means, then the last assignment."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(
+            f"""a{r} AS MATERIALIZED (SELECT vec_id, q, k, d FROM (SELECT vec_id, q, k, list_sum(list_transform(list_zip(q, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{r})
+                QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, k) = 1)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""m{r} AS (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM (SELECT k, i, sum(q[i])::BIGINT AS s, count(*)::BIGINT AS n FROM (SELECT k, q, unnest(range(1, 65)) AS i FROM a{r}) GROUP BY 1, 2) GROUP BY 1),
+                c{r + 1} AS MATERIALIZED (SELECT c{r}.k AS k, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} ON c{r}.k = m{r}.k)"""
+            )
+    return f"""
+        WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+                                WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS k, q AS c FROM (SELECT q, sha256('3:' || vec_id) AS h FROM v) ORDER BY h LIMIT 8),
+        {", ".join(steps)},
+        f AS (SELECT k, sum(d)::BIGINT AS own FROM a{rounds} GROUP BY 1)
+        SELECT vec_id, a.k::INTEGER AS cluster, d AS distance, own AS cluster_inertia, (SELECT sum(own) FROM f)::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN f ON a.k = f.k JOIN c{rounds} c ON a.k = c.k"""
+
+
 ORACLE_SQL = {
+    "op11_centroid_clusters": _cluster_rounds(),
+    "op13_hard_negatives": """
+        WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+                                FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT AS score
+                           FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+        n AS (SELECT p.anchor_id AS anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+              FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+        SELECT * FROM n WHERE rank <= 5""",
     "op3_secret_scan": rf"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
         m AS ({_MATCHES}),
