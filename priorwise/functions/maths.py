@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from priorwise.operators.sized import small
+
+
 _Z95 = 1.959963984540054
 
 
@@ -157,8 +160,7 @@ def with_payout(df: DataFrame, payouts: DataFrame, variant: str) -> DataFrame:
 
     A variant without a payout stops the query, as a silent null would pass for no edge.
     """
-    small = payouts.limit(10_001).count() <= 10_000
-    joined = df.join(F.broadcast(payouts) if small else payouts, variant, "left")
+    joined = df.join(small(payouts), variant, "left")
     known = F.when(F.col("multiplier").isNull() & F.col(variant).isNotNull(), F.raise_error(F.concat(F.lit("no payout of "), variant)).cast("double")).otherwise(F.col("multiplier"))
     return joined.withColumn("multiplier", known).withColumn("break_even", implied(F.col("multiplier"), pick_count(F.col(variant))))
 

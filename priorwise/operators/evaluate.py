@@ -12,6 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from priorwise.operators.sized import small
+
+
 _EPS = 1e-15
 
 
@@ -127,7 +130,7 @@ def bootstrap(df: DataFrame, key: str, reps: int = 200, level: float = 0.95, see
 def rare_pooled(df: DataFrame, label: str, least: int = 30, other: str = "Other") -> DataFrame:
     """``df`` with labels of fewer than ``least`` rows replaced; a null label stays null."""
     sizes = df.groupBy(label).agg((F.count("*") >= least).alias("__large"))
-    joined = df.join(F.broadcast(sizes) if sizes.limit(100_001).count() <= 100_000 else sizes, label, "left")
+    joined = df.join(small(sizes), label, "left")
     return joined.withColumn(label, F.when(F.col("__large") | F.col(label).isNull(), F.col(label)).otherwise(F.lit(other))).select(*df.columns)
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from priorwise.functions.names import similarity
+from priorwise.operators.similar import most_similar, similar_pairs
+from priorwise.operators.sized import small
 
 
 def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], time: str, values: Sequence[str]) -> DataFrame:
@@ -58,40 +60,6 @@ def _by_token(names: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.where(_same_person(F.col("name"), F.col("match"))).distinct()
 
 
-def _segments(size: Column, k: Column, i: Column) -> tuple[Column, Column]:
-    """0-based begin and length of segment i of k + 1 even segments of ``size`` letters."""
-    begin = F.floor(i * size / (k + 1)).cast("int")
-    return begin, F.floor((i + 1) * size / (k + 1)).cast("int") - begin
-
-
-def similar_pairs(names: DataFrame, known: DataFrame, cutoff: float) -> DataFrame:
-    """``name, match, score`` of all pairs at least that similar, without comparing all pairs.
-
-    A pair of similarity ``cutoff`` differs by at most k = (1 - cutoff) * longer
-    length edits, so of k + 1 even segments of the known name one stands
-    unchanged in the other, moved by at most k letters. Both sides are exploded
-    into (length, k, segment number, segment) and meet in an equi-join.
-    """
-    edits = lambda n: F.floor((1 - cutoff) * n + 1e-9).cast("int")
-    size = F.length("match")
-    top = F.floor(size / cutoff + 1e-9).cast("int")
-    segment = lambda k: F.transform(
-        F.sequence(F.lit(0), k), lambda i: F.struct(k.alias("k"), i.alias("i"), F.substring(F.col("match"), _segments(size, k, i)[0] + 1, _segments(size, k, i)[1]).alias("s"))
-    )
-    right = known.where(size > 0).select("match", size.alias("n"), F.explode(F.flatten(F.transform(F.sequence(edits(size), edits(top)), segment))).alias("g"))
-    right = right.select("match", "n", "g.k", "g.i", "g.s")
-    m = F.length("name")
-    lengths = F.sequence(F.ceil(m * cutoff - 1e-9).cast("int"), F.floor(m / cutoff + 1e-9).cast("int"))
-    left = names.where(m > 0).select("name", F.explode(lengths).alias("n"))
-    left = left.withColumn("k", edits(F.greatest("n", m))).select("name", "n", "k", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
-    begin, width = _segments(F.col("n"), F.col("k"), F.col("i"))
-    low, high = F.greatest(begin - F.col("k"), F.lit(0)), F.least(begin + F.col("k"), m - width)
-    starts = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-    left = left.select("name", "n", "k", "i", F.explode(F.array_distinct(F.transform(starts, lambda p: F.substring(F.col("name"), p + 1, width)))).alias("s"))
-    pairs = left.join(right, ["n", "k", "i", "s"]).select("name", "match").distinct()
-    return pairs.withColumn("score", similarity(F.col("name"), F.col("match"))).where(F.col("score") >= cutoff - 1e-12)
-
-
 def resolve_names(names: DataFrame, known: DataFrame, overrides: DataFrame | None = None, cutoff: float = 0.85) -> DataFrame:
     """``name, match, how, score`` for distinct names against known names.
 
@@ -119,9 +87,7 @@ def resolve_names(names: DataFrame, known: DataFrame, overrides: DataFrame | Non
 
 def suggestions(names: DataFrame, known: DataFrame, cutoff: float = 0.4, most: int = 5) -> DataFrame:
     """``name, match, score, k`` of the ``most`` most similar known names of each name, from the cutoff on."""
-    known = known.select(F.col("name").alias("match")).distinct()
-    w = Window.partitionBy("name").orderBy(F.desc("score"), "match")
-    return similar_pairs(names.select("name").distinct(), known, cutoff).withColumn("k", F.row_number().over(w)).where(F.col("k") <= most)
+    return most_similar(names.select("name"), known.select(F.col("name").alias("match")), cutoff, most)
 
 
 def nearest_active(candidates: DataFrame, activity: DataFrame, key: str, entity: str, date: str, active: str, days: int = 5 * 365) -> DataFrame:
@@ -164,7 +130,7 @@ def tail_holdout(df: DataFrame, date: str, key: str, months: int = 6, least: int
 
 def within_bounds(df: DataFrame, bounds: DataFrame, key: str, value: str) -> DataFrame:
     """Rows whose value lies in the bounds of their key; keys without bounds are kept."""
-    joined = df.join(F.broadcast(bounds), key, "left") if bounds.limit(10_001).count() <= 10_000 else df.join(bounds, key, "left")
+    joined = df.join(small(bounds), key, "left")
     ok = F.coalesce(F.col(value).between(F.col("low"), F.col("high")), F.lit(True))
     return joined.where(ok).select(*df.columns)
 

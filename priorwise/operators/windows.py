@@ -14,6 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from priorwise.operators.sized import small
+
+
 _AGGREGATES = {"mean": F.avg, "sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
 _DAY_ZERO = "1970-01-01"
 
@@ -219,7 +222,7 @@ def chronological_rank(df: DataFrame, date: str, name: str = "event_rank") -> Da
     """0-based dense rank of dates; ranks are made on the distinct dates and joined back."""
     dates = df.select(date).distinct().where(F.col(date).isNotNull())
     ranked = dates.withColumn(name, (F.dense_rank().over(Window.orderBy(date)) - 1).cast("long"))
-    return df.join(F.broadcast(ranked) if ranked.limit(200_001).count() <= 200_000 else ranked, date, "left").select(*df.columns, name)
+    return df.join(small(ranked), date, "left").select(*df.columns, name)
 
 
 def is_group_max(group: str, value: str) -> Column:

@@ -147,7 +147,7 @@ def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def name_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most similar known names of each damaged one."""
-    out = resolve.suggestions(*_damaged(spark, sf_dir), cutoff=0.6)
+    out = resolve.suggestions(*_damaged(spark, sf_dir), cutoff=0.4)
     return out.select("name", "match", F.round(F.col("score") + 1e-9, 6).alias("score"), F.col("k").cast("long").alias("k"))
 
 
@@ -221,8 +221,6 @@ QUERIES = {
         bounded_rows, tripwire_flags, class_labels, token_filter, outer_precedence, stale_pruning, dead_features, csv_round_trip, latest_snapshot,
     )
 }
-#: the earlier name of the same query
-QUERIES["card_lines_all"] = card_lines
 
 _DAMAGED = """
         n AS (SELECT DISTINCT CASE p_partkey % 6 WHEN 0 THEN 'x' || substr(p_name, 2) WHEN 1 THEN left(p_name, length(p_name) - 1) || 'x'
@@ -286,7 +284,7 @@ ORACLE_SQL = {
         SELECT name, match, coalesce(['exact', 'surname', 'similar'][rk], 'unresolved') AS how, round(score, 6) AS score FROM n LEFT JOIN b USING (name)""",
     "name_suggestions": f"""
         WITH {_DAMAGED}
-        SELECT name, match, round(score, 6) AS score, row_number() OVER (PARTITION BY name ORDER BY score DESC, match) AS k FROM c WHERE score >= 0.6 QUALIFY k <= 5""",
+        SELECT name, match, round(score, 6) AS score, row_number() OVER (PARTITION BY name ORDER BY score DESC, match) AS k FROM c WHERE score >= 0.4 QUALIFY k <= 5""",
     "temporal_splits": """
         WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)
         SELECT o_orderkey, d BETWEEN DATE '1995-01-01' AND DATE '1999-12-31' AS in_train, d BETWEEN DATE '2000-01-01' AND DATE '2000-06-30' AS in_val,
@@ -312,4 +310,3 @@ ORACLE_SQL = {
     "csv_round_trip": "SELECT c_custkey, c_name, c_acctbal FROM customer",
     "latest_snapshot": "SELECT event_id, user_id, '2024-01-02' AS pull_ts FROM events WHERE event_id % 2 = 0",
 }
-ORACLE_SQL["card_lines_all"] = ORACLE_SQL["card_lines"]

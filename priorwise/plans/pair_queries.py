@@ -171,8 +171,6 @@ QUERIES = {
         shrunk_record, rolling_prior, residual_cells, zero_rate_table, line_fit,
     )
 }
-#: the earlier name of the same query
-QUERIES["common_opponents_all"] = common_opponents
 
 _CUST = """
     c AS (SELECT c_custkey, c_mktsegment, CASE WHEN c_acctbal > -500 THEN c_acctbal END AS bal, c_custkey % 3 <> 0 AS train FROM customer)"""
@@ -270,4 +268,3 @@ ORACLE_SQL = {
                round(regr_intercept(a_price, a_quantity), 4) AS intercept, round(avg(a_price) / avg(a_quantity * 1500), 4) AS factor, count(*) AS n
         FROM contests GROUP BY 1""",
 }
-ORACLE_SQL["common_opponents_all"] = ORACLE_SQL["common_opponents"]
