@@ -1,45 +1,177 @@
-"""Opponents that both sides of a pairing have met."""
+"""Opponents that both sides of a pairing have met.
+
+Time is cut into blocks of contests. For each block and entity that is active in
+it there is a snapshot, the latest result against each opponent before the
+block; the results within the block are few. A contest meets the snapshots of
+its block and these results, never the histories that led to them, so what is
+joined grows with the ledger and not with the square of a history. Blocks are
+worked on side by side.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from priorwise.operators.lineage import checkpointed
+from priorwise.operators.sized import small
+
+#: sides of contests that a block of time holds, about
+BLOCK_SIDES = 40_000
+#: opponents of contests that a task looks up at once
+LOOKUPS = 2_000_000
+
+
+def _blocks(ledger: DataFrame, rank: str, sides: int) -> DataFrame:
+    """The block of each rank, so that a block has about ``sides`` rows; a rank is never split. Works on distinct ranks."""
+    sizes = ledger.where(F.col(rank).isNotNull()).groupBy(F.col(rank).alias("__r")).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__r")) - F.col("__n")
+    return small(checkpointed(sizes.select("__r", F.floor(before / sides).cast("int").alias("__b"))))
+
+
+def _snapshots(results: DataFrame, sides: DataFrame) -> DataFrame:
+    """``block`` and the latest result before it of every entity active in it, against each opponent.
+
+    An entity's active blocks are numbered; a result that is an entity's last
+    against an opponent in its block holds from the next number to that of the
+    block with the next such result.
+    """
+    active = sides.select("who", "__b").distinct()
+    active = active.withColumn("i", F.row_number().over(Window.partitionBy("who").orderBy("__b")))
+    ends = active.groupBy("who").agg(F.max("i").alias("end"))
+    last = results.groupBy("who", "met", "__b").agg(F.max_by(F.struct("__r", "__c", "won", "weight"), F.struct("__r", "__c")).alias("s"))
+    numbered = last.join(active, ["who", "__b"]).withColumn("until", F.lead("i").over(Window.partitionBy("who", "met").orderBy("i")))
+    held = numbered.join(ends, "who").withColumn("until", F.coalesce("until", "end")).where("until > i")
+    held = held.select("who", "met", "s", F.explode(F.sequence(F.col("i") + 1, F.col("until"))).alias("i"))
+    return held.join(active, ["who", "i"]).select("__b", "who", "met", "s.*")
+
+
+def _codes(*columns: pa.ChunkedArray) -> tuple[list[np.ndarray], int]:
+    """Numbers for the values of columns of one type, equal ones for equal values."""
+    coded = pa.chunked_array([c for column in columns for c in column.chunks], columns[0].type).combine_chunks().dictionary_encode()
+    flat, out, at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), [], 0
+    for column in columns:
+        out.append(flat[at : at + len(column)])
+        at += len(column)
+    return out, len(coded.dictionary)
+
 
-def common_opponents(ledger: DataFrame, rank: str = "event_rank", method_weight: Column | None = None, half_life: float = 50.0, lost_factor: float = 0.8) -> DataFrame:
+class _Versions:
+    """Results (entity, opponent, rank, tie), of which the latest before a rank is looked up."""
+
+    def __init__(self, who: np.ndarray, met: np.ndarray, rank: np.ndarray, tie: np.ndarray, n: int) -> None:
+        self.n, self.order = n, np.lexsort((tie, rank, met, who))
+        self.pair, self.ranks = (who * n + met)[self.order], np.unique(rank)
+        self.steps = len(self.ranks) + 1
+        self.place = self.pair * self.steps + np.searchsorted(self.ranks, rank[self.order])
+        self.pairs = np.unique(self.pair)
+        self.first = np.searchsorted(self.pairs, np.arange(n + 1) * n)
+
+    def opponents(self, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``who``, opponent) of all results that there are of each."""
+        start, size = self.first[who], self.first[who + 1] - self.first[who]
+        at = np.repeat(np.arange(len(who)), size)
+        nth = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+        return at, self.pairs[start[at] + nth] % self.n
+
+    def before(self, who: np.ndarray, met: np.ndarray, now: np.ndarray) -> np.ndarray:
+        """Row of the latest result before each rank, -1 if there is none."""
+        pair = who * self.n + met
+        at = np.searchsorted(self.place, pair * self.steps + np.searchsorted(self.ranks, now)) - 1
+        found = (at >= 0) & (self.pair[at] == pair)
+        return np.where(found, self.order[at], -1)
+
+
+def _advantages(block: pa.Table, half_life: float, lost: float) -> pa.Table:
+    """Advantage and number of common opponents of each ledger row of a block."""
+    is_side = block.column("kind").to_numpy() == 1
+    known, sides = block.filter(pa.array(~is_side)), block.filter(pa.array(is_side))
+    (who, met, a, b), n = _codes(known.column("who"), known.column("met"), sides.column("who"), sides.column("met"))
+    # of one rank the largest contest is the latest
+    order = pc.rank(pa.chunked_array([*known.column("__c").chunks, *sides.column("__c").chunks], known.column("__c").type), tiebreaker="dense").to_numpy().astype(np.int64)
+    tie, contest = order[: known.num_rows], order[known.num_rows :]
+    rank, now = (t.column("__r").to_numpy().astype(np.int64) for t in (known, sides))
+    won, weight = (known.column(c).to_numpy() for c in ("won", "weight"))
+    # both rows of a contest have one answer, with opposite signs
+    sides_of = np.stack([contest, np.minimum(a, b), np.maximum(a, b), now], axis=1)
+    once, row = np.unique(sides_of, axis=0, return_inverse=True)
+    low, high, now = once[:, 1], once[:, 2], once[:, 3]
+    advantage, common = np.zeros(len(once)), np.zeros(len(once), np.int64)
+    if known.num_rows and len(a):
+        held = _Versions(who, met, rank, tie, n)
+        width = held.first[1:] - held.first[:-1]
+        swap = width[low] > width[high]  # the side with fewer opponents is looked through
+        x, y, sign = np.where(swap, high, low), np.where(swap, low, high), np.where(swap, -1.0, 1.0)
+        edges = np.searchsorted(np.cumsum(width[x]), np.arange(LOOKUPS, width[x].sum() + LOOKUPS, LOOKUPS))
+        edges = np.unique(np.concatenate([[0], np.minimum(edges + 1, len(once)), [len(once)]]))
+        pull = weight * np.where(won > 0, 1.0, lost)
+        for s, e in zip(edges[:-1], edges[1:]):
+            at, other = held.opponents(x[s:e])
+            at = at + s
+            keep = (other != x[at]) & (other != y[at])
+            at, other = at[keep], other[keep]
+            p, q = held.before(x[at], other, now[at]), held.before(y[at], other, now[at])
+            both = (p >= 0) & (q >= 0)
+            at, p, q = at[both], p[both], q[both]
+            recent = (0.5 ** ((now[at] - rank[p]) / half_life) + 0.5 ** ((now[at] - rank[q]) / half_life)) / 2
+            w = (pull[p] + pull[q]) / 2 * recent
+            count = np.bincount(at - s, minlength=e - s)
+            total, by = np.bincount(at - s, w * (won[p] - won[q]), e - s), np.bincount(at - s, w, e - s)
+            common[s:e] = count
+            advantage[s:e] = np.divide(total * sign[s:e], by, out=np.zeros(e - s), where=by > 0)
+    return pa.table([sides.column("__c"), sides.column("who"), pa.array(np.where(a <= b, 1.0, -1.0) * advantage[row] + 0.0), pa.array(common[row])], ["contest_id", "entity", "advantage", "n_common"])
+
+
+def _by_block(half_life: float, lost: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            block = batch.column("__b").to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            for s, e in zip(edges[:-1], edges[1:]):
+                if held and s < e and held[0].column("__b")[0].as_py() != block[s]:
+                    yield from _advantages(pa.Table.from_batches(held), half_life, lost).to_batches()
+                    held = []
+                if s < e:
+                    held.append(batch.slice(s, e - s))
+        if held:
+            yield from _advantages(pa.Table.from_batches(held), half_life, lost).to_batches()
+
+    return run
+
+
+def common_opponents(
+    ledger: DataFrame, rank: str = "event_rank", method_weight: Column | None = None, half_life: float = 50.0, lost_factor: float = 0.8, block_sides: int = BLOCK_SIDES
+) -> DataFrame:
     """For each contest and side: advantage over common opponents, and their number.
 
-    ``ledger`` has contest_id, entity, opponent, won and ``rank``. Of each side's
-    results before the contest's rank the latest against each opponent counts.
-    A common opponent adds the difference of the two results, weighted by the
-    mean method weight (less if lost) and the mean recency 0.5 ** (ranks /
-    half_life). A result against an opponent holds until the next one against
-    it. A contest is joined with the held results of the side that has the
-    shorter history, and these with the other side's by opponent, so no pairs of
-    an entity's rows are formed; the other side's advantage is the opposite.
+    ``ledger`` has contest_id, entity, opponent, won and the integer ``rank``. Of
+    each side's results before the contest's rank the latest against each
+    opponent counts (of one rank that of the largest contest_id). A common
+    opponent adds the difference of the two results, weighted by the mean method
+    weight (less if lost) and the mean recency 0.5 ** (ranks / half_life). A
+    task holds one block: its contests, and the snapshots of their entities,
+    which have one result for each opponent met. A row without rank, entity or
+    opponent has no common opponents.
     """
     weight = method_weight if method_weight is not None else F.lit(1.0)
-    history = ledger.where("won IS NOT NULL").select(
-        F.col("entity").alias("who"), F.col("opponent").alias("met"), F.col(rank).alias("__r"), F.col("contest_id").alias("__c"), F.col("won").cast("double").alias("__won"), weight.alias("__w")
-    )
-    last = history.groupBy("who", "met", "__r").agg(F.max_by(F.struct("__won", "__w", "__r"), "__c").alias("s"))
-    held = last.withColumn("__until", F.lead("__r").over(Window.partitionBy("who", "met").orderBy("__r")))
-    holds = (F.col("__r") < F.col("__now")) & (F.col("__until").isNull() | (F.col("__now") <= F.col("__until")))
-    sizes = held.groupBy("who").agg(F.count("*").alias("n"))
-    sides = ledger.select("contest_id", "entity", "opponent", F.col(rank).alias("__now")).distinct()
-    both = sides.join(sides.select("contest_id", F.col("entity").alias("opponent"), F.col("opponent").alias("entity")), ["contest_id", "entity", "opponent"])
-    both = both.join(sizes.select(F.col("who").alias("entity"), F.col("n").alias("__n")), "entity").join(sizes.select(F.col("who").alias("opponent"), F.col("n").alias("__m")), "opponent")
-    lighter = both.where("__n < __m OR (__n = __m AND entity < opponent)").select("contest_id", "entity", "opponent", "__now")
-    mine = lighter.join(held, F.col("entity") == F.col("who")).where(holds & (F.col("met") != F.col("opponent")) & (F.col("met") != F.col("entity")))
-    mine = mine.select("contest_id", "entity", "opponent", "met", "__now", F.col("s").alias("a"))
-    theirs = held.select(F.col("who").alias("opponent"), "met", "__r", "__until", F.col("s").alias("b"))
-    pull = lambda s: F.col(f"{s}.__w") * F.when(F.col(f"{s}.__won") > 0, F.lit(1.0)).otherwise(F.lit(lost_factor))
-    recent = lambda s: F.pow(F.lit(0.5), (F.col("__now") - F.col(f"{s}.__r")) / half_life)
-    w = (pull("a") + pull("b")) / 2 * (recent("a") + recent("b")) / 2
-    met = mine.join(theirs, ["opponent", "met"]).where(holds).select("contest_id", "entity", "opponent", (F.col("a.__won") - F.col("b.__won")).alias("margin"), w.alias("w"))
-    sums = met.groupBy("contest_id", "entity", "opponent").agg((F.sum(F.col("margin") * F.col("w")) / F.sum("w")).alias("advantage"), F.count("*").alias("n_common"))
-    each = F.array(F.struct("entity", "advantage"), F.struct(F.col("opponent").alias("entity"), (0.0 - F.col("advantage")).alias("advantage")))
-    sums = sums.select("contest_id", F.explode(each).alias("e"), "n_common").select("contest_id", "e.entity", "e.advantage", "n_common")
-    return ledger.select("contest_id", "entity").join(sums, ["contest_id", "entity"], "left").select(
-        "contest_id", "entity", F.coalesce("advantage", F.lit(0.0)).alias("advantage"), F.coalesce("n_common", F.lit(0)).cast("long").alias("n_common")
+    rows = ledger.select(
+        F.col("contest_id").alias("__c"), F.col("entity").alias("who"), F.col("opponent").alias("met"), F.col(rank).cast("long").alias("__r"), F.col("won").cast("double").alias("won"), weight.cast("double").alias("weight")
     )
+    whole = F.col("who").isNotNull() & F.col("met").isNotNull() & F.col("__r").isNotNull()
+    sides = checkpointed(rows.where(whole).join(_blocks(rows.where(whole), "__r", block_sides), "__r"))
+    results = sides.where("won IS NOT NULL")
+    state = _snapshots(results, sides)
+    columns = ["__b", "__c", "who", "met", "__r", "won", "weight"]
+    work = state.select(*columns, F.lit(0).alias("kind")).unionByName(results.select(*columns, F.lit(0).alias("kind"))).unionByName(sides.select(*columns, F.lit(1).alias("kind")))
+    parts = int(ledger.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = dict(rows.dtypes)
+    schema = f"contest_id {kind['__c']}, entity {kind['who']}, advantage double, n_common long"
+    found = work.repartition(4 * parts, "__b").sortWithinPartitions("__b", "kind").mapInArrow(_by_block(half_life, lost_factor), schema)
+    odd = rows.where(~whole).select(F.col("__c").alias("contest_id"), F.col("who").alias("entity"), F.lit(0.0).alias("advantage"), F.lit(0).cast("long").alias("n_common"))
+    return found.unionByName(odd)

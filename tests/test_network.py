@@ -52,6 +52,38 @@ def test_common_opponents(spark):
     assert got.keys() == want.keys() and all(got[k] == (pytest.approx(want[k][0], abs=2e-6), want[k][1]) for k in want)
 
 
+def test_small_blocks_and_odd_rows(spark):
+    """Snapshots carry what earlier blocks left; nulls, one-sided contests and repeated rows are taken."""
+    rows = made(random.Random(9))
+    schema = "contest_id long, entity long, opponent long, won int, event_rank long"
+    want = expected(rows)
+    for sides in (1, 50):
+        got = {(x.contest_id, x.entity): (round(x.advantage, 6) + 0.0, x.n_common) for x in network.common_opponents(spark.createDataFrame(rows, schema), block_sides=sides).collect()}
+        assert got.keys() == want.keys() and all(got[k] == (pytest.approx(want[k][0], abs=2e-6), want[k][1]) for k in want)
+    one_sided = [r for r in rows if r[0] != 299 or r[1] < r[2]]
+    odd = [*one_sided, one_sided[-1], (900, None, 3, 1, 5), (901, 3, None, 1, 5), (902, 3, 4, 1, None)]
+    got = network.common_opponents(spark.createDataFrame(odd, schema)).collect()
+    assert len(got) == len(odd) and all(x.n_common == 0 for x in got if x.contest_id >= 900)
+    assert [(pytest.approx(want[299, x.entity][0], abs=2e-6), want[299, x.entity][1]) for x in got if x.contest_id == 299] == [(x.advantage, x.n_common) for x in got if x.contest_id == 299]
+    assert network.common_opponents(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_joined_rows_follow_the_ledger(spark):
+    """Four times the contests of the same entities join about four times the rows, not sixteen times."""
+    counts = []
+    for n in (400, 1600):
+        r = random.Random(2)
+        rows = []
+        for c in range(n):
+            a, b = r.sample(range(12), 2)
+            rows += [(c, a, b, 1, c), (c, b, a, 0, c)]
+        ledger = spark.createDataFrame(rows, "contest_id long, entity long, opponent long, won int, event_rank long")
+        sides = ledger.selectExpr("contest_id __c", "entity who", "opponent met", "event_rank __r", "double(won) won", "1d weight")
+        sides = sides.join(network._blocks(sides, "__r", 100), "__r")
+        counts.append(network._snapshots(sides.where("won IS NOT NULL"), sides).count())
+    assert counts[0] <= 12 * 11 * 8 and counts[1] < 5 * counts[0]
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_whole_tables(spark):
     from priorwise.operators import pairs
