@@ -3,15 +3,17 @@
 Spans are (start, end) in code points, end exclusive. The base kinds are
 patterns; the kind ``entropy`` comes from long runs of key-like characters,
 which end at ``=`` and ``/`` so that a name or a path before a key is not judged
-with it. Over each such candidate a window slides; one step changes the counts
-of two characters, and with them the sum of c * log2(c), from which the Shannon
-entropy of the window follows. If a window reaches the threshold of the
-candidate's character class, the whole candidate is a span. Candidates that fit
-the allow list give none, nor do spans inside a base span.
+with it. Over each such candidate, cut into pieces that share a window's length,
+a window slides; one step changes the counts of two characters, and with them
+the sum of c * log2(c), from which the Shannon entropy of the window follows. If
+a window reaches the threshold of the candidate's character class, the whole
+candidate is a span. Candidates that fit the allow list give none, nor do spans
+inside a base span.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -32,6 +34,8 @@ _HINTS = {
 #: the same spans, skipping what is too short anyway
 _SEARCH = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
 _HIT = "struct<start:int,end:int,value:string>"
+#: characters of the pieces in which windows slide, and of the stretches that are cut into pieces
+_PIECE, _STRETCH = 256, 16_384
 #: hits that are gathered before they join the others, so that lists are not copied at every hit
 _CHUNK = 64
 
@@ -100,26 +104,42 @@ def window_entropy(value: Column, window: int) -> Column:
     characters: taking a character out or in moves one count by one, and the
     entropy is log2(window) - S / window.
     """
-    weigh = lambda c: F.when(c > 0, c * F.log2(c)).otherwise(F.lit(0.0))
+    gain = F.array(*(F.lit((c + 1) * math.log2(c + 1) - (c * math.log2(c) if c else 0.0)) for c in range(window)))
+
+    def among(first: Column, n: Column, letter: Column) -> Column:
+        part = F.substring(value, first, n)
+        return n - F.length(F.replace(part, letter, F.lit("")))
 
     def step(acc: Column, i: Column) -> Column:
-        # the characters travel in the state, so that they are split once
-        letters = acc["letters"]
-        among = lambda first, n, c: F.size(F.filter(F.slice(letters, first, n), lambda x: x == c)).cast("double")
-        new, old = F.get(letters, i - 1), F.get(letters, i - 1 - window)
-        leaves = i > window
         # the window before without its first character, once it is full
         first = F.greatest(i - window + 1, F.lit(1))
         kept = i - first
-        had = F.when(leaves, among(first, kept, old)).otherwise(F.lit(0.0))
-        out = F.when(leaves, weigh(had) - weigh(had + 1)).otherwise(F.lit(0.0))
-        has = among(first, kept, new)
-        total = acc["total"] + out + weigh(has + 1) - weigh(has)
-        entropy = F.when(i >= window, F.log2(F.lit(float(window))) - total / window).otherwise(F.lit(0.0))
-        return F.struct(letters.alias("letters"), total.alias("total"), F.greatest(acc["top"], entropy).alias("top"))
+        old = F.when(i > window, F.get(gain, among(first, kept, F.substring(value, i - window, F.lit(1))))).otherwise(F.lit(0.0))
+        new = F.get(gain, among(first, kept, F.substring(value, i, F.lit(1))))
+        total = acc["total"] - old + new
+        # the entropy is largest where the sum is least
+        return F.struct(total.alias("total"), F.when(i >= window, F.least(acc["least"], total)).otherwise(acc["least"]).alias("least"))
+
+    none = window * math.log2(window)
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(none).alias("least"))
+    return F.aggregate(F.sequence(F.lit(1), F.length(value)), start, step, lambda acc: F.lit(math.log2(window)) - acc["least"] / window)
+
+
+def _cut(value: Column, size: int, window: int) -> Column:
+    """Pieces of ``value`` that hold each of its windows; all but the last have ``size`` characters."""
+    step = size - window + 1
+    starts = F.sequence(F.lit(0), F.greatest(F.length(value) - window, F.lit(0)), F.lit(step))
+    return F.transform(starts, lambda i: F.substring(value, i + 1, F.lit(size)))
 
-    start = F.struct(F.split(value, "").alias("letters"), F.lit(0.0).alias("total"), F.lit(0.0).alias("top"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), start, step, lambda acc: acc["top"])
+
+def reaches_entropy(value: Column, window: int, bits: Column) -> Column:
+    """Whether a window of ``value`` has that entropy; the search ends with the first one.
+
+    Windows slide within pieces of bounded size, so that the time is in
+    proportion to the length.
+    """
+    found = lambda part: F.exists(_cut(part, _PIECE, window), lambda p: window_entropy(p, window) >= bits - 1e-9)
+    return F.coalesce(F.exists(_cut(value, _STRETCH, window), found), F.lit(False))
 
 
 def entropy_spans(text: Column, rule: EntropyRule) -> Column:
@@ -129,13 +149,15 @@ def entropy_spans(text: Column, rule: EntropyRule) -> Column:
         known = "|".join(f"(?:{p})" for p in rule.allow)
         found = F.filter(found, lambda x: ~x["value"].rlike(known))
 
-    def hot(x: Column) -> Column:
+    def judged(x: Column) -> Column:
         threshold = F.lit(None).cast("double")
         for pattern, bits in reversed(rule.classes):
             threshold = F.when(x["value"].rlike(pattern), F.lit(bits)).otherwise(threshold)
-        return F.coalesce(window_entropy(x["value"], rule.window) >= threshold - 1e-9, F.lit(False))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), threshold.alias("bits"))
 
-    return F.transform(F.filter(found, hot), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    # thresholds first, as they read the whole candidate
+    hot = F.filter(F.transform(found, judged), lambda x: reaches_entropy(x["value"], rule.window, x["bits"]))
+    return F.transform(hot, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
 
 def find_secrets(docs: DataFrame, text: str = "text", rule: EntropyRule = EntropyRule()) -> DataFrame:
