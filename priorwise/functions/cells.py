@@ -6,7 +6,7 @@ measurement is null.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -125,6 +125,19 @@ def ticker_tail(c: Column) -> Column:
     return F.substring_index(c, "-", -1)
 
 
+#: fixed values: pounds of the weight classes
+CLASS_POUNDS = {
+    "strawweight": 115.0, "flyweight": 125.0, "bantamweight": 135.0, "featherweight": 145.0, "lightweight": 155.0,
+    "welterweight": 170.0, "middleweight": 185.0, "light heavyweight": 205.0, "heavyweight": 265.0, "super heavyweight": 265.0,
+}
+
+
+def class_pounds(label: Column, pounds: Mapping[str, float] = CLASS_POUNDS, prefix: str = "women") -> Column:
+    """Pounds of a canonical class label, with or without the prefix; null for a class without a fixed weight."""
+    known = F.create_map(*(F.lit(x) for pair in pounds.items() for x in pair))
+    return F.try_element_at(known, F.regexp_replace(F.lower(F.trim(label)), rf"^{prefix}('s)?\s+", ""))
+
+
 def class_label(c: Column, names: Sequence[str], prefix: str = "women") -> Column:
     """Canonical class in a noisy label: longest name first, with the prefix kept."""
     text = F.lower(F.trim(c))

@@ -27,7 +27,8 @@ def safe_ratio(num: Column, den: Column, scale: float = 1.0) -> Column:
 
 
 def clip(c: Column, low: float | Column, high: float | Column) -> Column:
-    return F.greatest(F.least(c, lit(high)), lit(low))
+    """``c`` within the bounds; a null stays null."""
+    return F.when(c.isNotNull(), F.greatest(F.least(c, lit(high)), lit(low)))
 
 
 def age_years(on: Column, born: Column) -> Column:

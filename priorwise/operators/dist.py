@@ -53,16 +53,52 @@ def duration_quantile(q: Column, p_full: Column, qs: Column, values: Column, end
     return F.when(q >= 1 - p_full, end).otherwise(F.least(interp(q / (1 - p_full), qs, values), end))
 
 
+def duration_cdf_with_boundaries(t: Column, p_full: Column, qs: Column, values: Column, end: Column, mass: Column, boundaries: Column) -> Column:
+    """``duration_cdf`` where the share ``mass`` of the early ends falls on the boundaries (rising, below the end), evenly."""
+    n = F.size(boundaries)
+    share = F.when(n > 0, mass).otherwise(F.lit(0.0))
+    passed = F.aggregate(boundaries, F.lit(0.0), lambda acc, b: acc + (b <= t).cast("double"))
+    early = (1 - share) * interp(t, values, qs) + share * passed / F.greatest(n, F.lit(1))
+    return F.when(t >= end, 1.0).when(t < 0, 0.0).otherwise((1 - p_full) * early)
+
+
+def duration_quantile_with_boundaries(q: Column, p_full: Column, qs: Column, values: Column, end: Column, mass: Column, boundaries: Column) -> Column:
+    """The least t at which that law reaches q: on a boundary's atom, between two of them by the grid, or at the end.
+
+    Between boundaries the atoms passed are constant, so the grid is inverted
+    for what is left of q.
+    """
+    n = F.size(boundaries)
+    share = F.when(n > 0, mass).otherwise(F.lit(0.0))
+    law = lambda t: duration_cdf_with_boundaries(t, p_full, qs, values, end, mass, boundaries)
+    edges = F.concat(F.array(F.lit(0.0)), boundaries)
+
+    def within(low: Column, k: Column) -> Column:
+        passed = share * k / F.greatest(n, F.lit(1))
+        inside = interp((q / (1 - p_full) - passed) / (1 - share), qs, values)
+        high = F.when(k < n, F.get(boundaries, k)).otherwise(end)
+        before = (1 - p_full) * ((1 - share) * interp(high, values, qs) + passed)  # just below the next edge
+        return F.when(law(low) >= q, low).when(before >= q, F.least(F.greatest(inside, low), high))
+
+    found = F.array_min(F.transform(edges, within))
+    return F.when(q > 1 - p_full, end).otherwise(F.least(F.coalesce(found, end), end))
+
+
 def mixture(weights: Column, cdfs: Column) -> Column:
     """Weighted sum of component values."""
     return F.aggregate(F.zip_with(weights, cdfs, lambda w, f: w * f), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def inverse_on_grid(levels: Column, grid: Column, cdf: Column) -> Column:
-    """Quantiles at the levels from a CDF on a grid, repaired to rise and scaled to end at one."""
+def inverse_on_grid(levels: Column, grid: Column, cdf: Column, ceiling: Column | None = None) -> Column:
+    """Quantiles at the levels from a CDF on a grid, repaired to rise and scaled to end at one.
+
+    With a ceiling the law is that of values at or below it: the CDF is scaled
+    to reach one there.
+    """
     up = running_max(cdf)
-    top = F.array_max(cdf)
-    return F.transform(levels, lambda q: interp(q * top, up, grid))
+    top = F.array_max(cdf) if ceiling is None else interp(ceiling, grid, up)
+    capped = lambda x: x if ceiling is None else F.least(x, ceiling)
+    return F.transform(levels, lambda q: capped(interp(q * top, up, grid)))
 
 
 def curve(df: DataFrame, keys: Sequence[str], points: Column, cdf) -> DataFrame:

@@ -12,9 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from priorwise.functions.maths import wilson
 from priorwise.operators.sized import small
 
-
 _EPS = 1e-15
 
 
@@ -177,6 +177,22 @@ def pit(low: Column, high: Column, key: Column | None = None, seed: int = 1) ->
     return low + (high - low) * (hashed_uniform(key, seed) if key is not None else F.lit(0.5))
 
 
+def hurdle_pit(y: Column, p_zero: Column, cdf, u: Column, top: Column | None = None) -> Column:
+    """Transform of a law with an atom at 0 and, with ``top``, one there; ``cdf`` maps a column to F, ``u`` is uniform.
+
+    At 0 it is uniform below F(0), at or beyond the top uniform above F(top-),
+    which is what the law's continuous part has reached; between them it is F(y).
+    """
+    inside = F.when(y <= 0, u * p_zero).otherwise(cdf(y))
+    return inside if top is None else F.when(y >= top, cdf(top) + u * (1 - cdf(top))).otherwise(inside)
+
+
+def discrete_pit(y: Column, cdf, u: Column) -> Column:
+    """Transform of a sum of whole numbers whose smooth law is ``cdf``: uniform between F(y - 1/2) and F(y + 1/2)."""
+    low, high = cdf(y - 0.5), cdf(y + 0.5)
+    return low + u * (high - low)
+
+
 def conditional_pit(value: Column, p_first: Column, is_first: Column) -> Column:
     """Transform of a two-part mixture within its part: first part below ``p_first``, the other above."""
     floor = F.lit(1e-6)
@@ -217,8 +233,21 @@ def parlays(df: DataFrame, event: str, hit: str) -> DataFrame:
     return g.select(event, "n", "k", *(f(c).cast("long").alias(name) for f, c, name in ((two, "n", "pairs"), (two, "k", "pair_hits"), (three, "n", "triples"), (three, "k", "triple_hits"))))
 
 
+def pick_record(df: DataFrame, by: Sequence[str], p: str, y: str, confident: float = 0.6, break_even: float = 0.5, least: int = 30, z: float = 1.959963984540054) -> DataFrame:
+    """Picks of either side that are confident enough, their hit rate with its Wilson interval, and whether it is proven to pay.
+
+    A pick is over where p reaches ``confident``, under where 1 - p does. It is
+    proven with at least ``least`` picks whose interval lies above ``break_even``.
+    """
+    over, under = F.col(p) >= confident, 1 - F.col(p) >= confident
+    won = F.when(over, F.col(y)).when(under, 1 - F.col(y))
+    out = df.groupBy(*by).agg(F.count(won).alias("picks"), F.avg(won.cast("double")).alias("pick_rate"))
+    band = F.when(F.col("picks") > 0, wilson(F.col("pick_rate"), F.col("picks"), z))
+    return out.select(*by, "picks", "pick_rate", band["low"].alias("low"), band["high"].alias("high"), F.coalesce((F.col("picks") >= least) & (band["low"] > break_even), F.lit(False)).alias("proven"))
+
+
 def scorecard(df: DataFrame, group: str, lines: Sequence[float], value: str, p: str, least: int = 30) -> DataFrame:
-    """For each group and line: how p ranks and calibrates 'value is over the line', and a tier for the group's line."""
+    """For each group and line: how p ranks and calibrates 'value is over the line', its picks, and a tier for the group's line."""
     long = df.withColumn("line", F.explode(F.array(*(F.lit(float(x)) for x in lines)))).withColumn("y", (F.col(value) > F.col("line")).cast("int"))
     keys = [group, "line"]
     base = winner_metrics(long, keys, p, "y").select(*keys, "n", "brier")
@@ -226,7 +255,8 @@ def scorecard(df: DataFrame, group: str, lines: Sequence[float], value: str, p:
     out = base.join(auroc(long, keys, p, "y"), keys).join(ece(long, keys, 8, p, "y"), keys).join(rate, keys)
     skill = F.when(F.col("base") > 0, 1 - F.col("brier") / F.col("base"))
     tier = F.when((F.col("n") >= least) & (skill > 0) & (F.col("auroc") > 0.55), "TRUST").when(F.col("auroc") > 0.5, "WATCH").otherwise("CUT")
-    return out.select(*keys, "n", "auroc", "ece", skill.alias("skill"), tier.alias("tier"))
+    out = out.join(pick_record(long, keys, p, "y", least=least), keys)
+    return out.select(*keys, "n", "auroc", "ece", skill.alias("skill"), tier.alias("tier"), "picks", "pick_rate", "low", "high", "proven")
 
 
 def calibration_z(df: DataFrame, by: Sequence[str], p: str = "p", y: str = "y", least: int = 25, with_p: bool = True) -> DataFrame:
@@ -257,6 +287,27 @@ def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     )
 
 
+def forecast_rules(probs: Column | None = None, quantiles: Column | None = None, tail: float = 1e-9) -> dict[str, Column]:
+    """Rules for ``violations``: rows that don't sum to one, quantiles that fall, and tails without width.
+
+    A row's probabilities sum to one within 1e-4. The ends of a quantile grid are
+    degenerate if the outer step is no wider than ``tail`` while the grid has
+    width. A null array, or one with a null, breaks the rule ``null_*`` alone.
+    """
+    rules: dict[str, Column] = {}
+    whole = lambda a: a.isNotNull() & ~F.exists(a, lambda x: x.isNull() | F.isnan(x.cast("double")))
+    if probs is not None:
+        total = F.aggregate(probs, F.lit(0.0), lambda acc, x: acc + x)
+        rules |= {"null_probs": ~F.coalesce(whole(probs), F.lit(False)), "row_sum": F.coalesce(whole(probs) & (F.abs(total - 1) > 1e-4), F.lit(False)), "out_of_range": F.coalesce(whole(probs) & F.exists(probs, lambda x: (x < 0) | (x > 1)), F.lit(False))}
+    if quantiles is not None:
+        n = F.size(quantiles)
+        falls = F.exists(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.get(quantiles, i) < F.get(quantiles, i - 1))
+        at = lambda i: F.get(quantiles, i)
+        flat = (at(n - 1) - at(F.lit(0)) > tail) & ((at(F.lit(1)) - at(F.lit(0)) <= tail) | (at(n - 1) - at(n - 2) <= tail))
+        rules |= {"null_quantiles": ~F.coalesce(whole(quantiles), F.lit(False)), "falling": F.coalesce(whole(quantiles) & falls, F.lit(False)), "flat_tail": F.coalesce(whole(quantiles) & (n > 1) & flat, F.lit(False))}
+    return rules
+
+
 def differences(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     """Keys on one side only and the largest difference of values of two score tables."""
     both = a.select(key, F.col(value).alias("x")).join(b.select(key, F.col(value).alias("y")), key, "full")

@@ -107,6 +107,17 @@ def bucket_stats(df: DataFrame, by: Sequence[str], p: str, hit: str, cost: str)
     )
 
 
+def maker_stats(df: DataFrame, by: Sequence[str], bid: str, close: str, hit: str, cost: str, p: str) -> DataFrame:
+    """``bucket_stats`` of offers one cent above the bid that were filled, and how many were made.
+
+    An offer is filled if the close came down to it, that is close <= bid + 0.01;
+    one without a close is not.
+    """
+    filled = F.coalesce(F.col(close) <= F.col(bid) + 0.01 + 1e-9, F.lit(False))
+    made = df.groupBy(*by).agg(F.count("*").alias("offers"))
+    return made.join(bucket_stats(df.where(filled), by, p, hit, cost), list(by), "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+
 def closing_value(df: DataFrame, by: Sequence[str], price: str, close: str, side: Column | None = None) -> DataFrame:
     """Rows whose price moved, share of those that beat the close, and mean move, signed by side."""
     move = (F.col(close) - F.col(price)) * (F.when(side == "no", -1).otherwise(1) if side is not None else F.lit(1))
@@ -139,10 +150,30 @@ def scale_to_budget(df: DataFrame, by: Sequence[str], stake: str, budget: float,
     return df.withColumn("sized", units.cast("double")).where("sized > 0")
 
 
-def event_feed(df: DataFrame, event: str, order: str, columns: Sequence[str]) -> DataFrame:
-    """One row for each event with its contests in order as an array of structs, and totals."""
+def event_feed(df: DataFrame, event: str, order: str, columns: Sequence[str], size: int = 100, **totals: Column) -> DataFrame:
+    """Pages of at most ``size`` contests of each event in order, as an array of structs, with totals of the event.
+
+    ``n`` counts the event's contests; ``totals`` are further aggregates over
+    them. Places are numbered as rows pass, so no array is longer than a page.
+    """
+    page = F.floor((F.row_number().over(Window.partitionBy(event).orderBy(order)) - 1) / size).cast("int")
     rows = F.array_sort(F.collect_list(F.struct(order, *columns)))
-    return df.groupBy(event).agg(rows.alias("rows"), F.count("*").alias("n"))
+    pages = df.withColumn("page", page).groupBy(event, "page").agg(rows.alias("rows"))
+    whole = df.groupBy(event).agg(F.count("*").alias("n"), *(c.alias(n) for n, c in totals.items()))
+    return pages.join(whole, event).select(event, "page", "rows", *whole.columns[1:])
+
+
+def history(past: DataFrame, live: DataFrame, key: str, event: str, hit: str) -> DataFrame:
+    """Series of events from evaluation rows and live ones, which replace those of their keys.
+
+    For each event its rows, those resolved and their hits, and the same added up
+    over all events to it, with the hit rate so far. Works on one row an event.
+    """
+    rows = past.join(live.select(key), key, "left_anti").withColumn("__live", F.lit(0)).unionByName(live.withColumn("__live", F.lit(1)), allowMissingColumns=True)
+    daily = rows.groupBy(event).agg(F.count("*").alias("n"), F.sum("__live").alias("live"), F.count(hit).alias("resolved"), F.sum(F.coalesce(F.col(hit).cast("long"), F.lit(0))).alias("hits"))
+    so_far = Window.orderBy(event).rowsBetween(Window.unboundedPreceding, 0)
+    out = daily.withColumns({f"total_{c}": F.sum(c).over(so_far) for c in ("n", "resolved", "hits")})
+    return out.withColumn("rate", F.when(F.col("total_resolved") > 0, F.col("total_hits") / F.col("total_resolved")))
 
 
 def merge_by_priority(parts: Sequence[DataFrame], key: str) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,6 +29,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def counted(df: DataFrame, kept: Column | None = None, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """Rows of ``df`` (those where ``kept`` holds), and counts over all of them from the same pass, also when they are 0."""
+    seen = Observation()
+    watched = df.observe(seen, *(F.count_if(c).alias(n) for n, c in counts.items()))
+    rows = checkpointed(watched if kept is None else watched.where(kept))
+    return rows, {n: int(x) for n, x in seen.get.items()}
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a folder that an operator has written and no plan reads any more."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from priorwise.functions.maths import recency_weight
+from priorwise.functions.maths import recency_weight, shrink_to_prior, softmax
 from priorwise.operators.dist import stratum_quantiles
+from priorwise.operators.lineage import checkpointed
+from priorwise.operators.sized import small
 
 _NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
@@ -29,9 +31,7 @@ def filled(df: DataFrame, features: Sequence[str]) -> DataFrame:
 def standard_pca(df: DataFrame, features: Sequence[str], train: Column, k: int = 5) -> DataFrame:
     """``df`` with components pc_1..pc_k fitted on the training rows; the signs of components are arbitrary."""
     df = filled(df, features)
-    steps = [VectorAssembler(inputCols=list(features), outputCol="__v"), StandardScaler(inputCol="__v", outputCol="__s", withMean=True), PCA(k=k, inputCol="__s", outputCol="__p")]
-    out = Pipeline(stages=steps).fit(df.where(train)).transform(df).withColumn("__a", vector_to_array("__p"))
-    return out.select(*df.columns, *(F.col("__a")[i].alias(f"pc_{i + 1}") for i in range(k)))
+    return with_components(df, fitted_components(df.where(train), features, k))
 
 
 def _learner(kind: str, label: str, weight: str | None):
@@ -57,6 +57,70 @@ def out_of_fold(df: DataFrame, key: str, features: Sequence[str], label: str, fo
     return out
 
 
+def time_folds(df: DataFrame, date: str, folds: int = 5) -> DataFrame:
+    """``df`` with ``fold``, 0 to ``folds``: blocks of dates in order with about as many rows each; a date is never split.
+
+    A null date has no fold. Numbers come from the distinct dates.
+    """
+    sizes = df.where(F.col(date).isNotNull()).groupBy(F.col(date).alias("__d")).agg(F.count("*").alias("__n"))
+    before, whole = F.sum("__n").over(Window.orderBy("__d")) - F.col("__n"), F.sum("__n").over(Window.partitionBy())
+    numbered = sizes.select("__d", F.floor(before * (folds + 1) / whole).cast("int").alias("fold"))
+    return df.join(small(numbered), F.col(date) == F.col("__d"), "left").drop("__d")
+
+
+def out_of_time(df: DataFrame, features: Sequence[str], label: str, date: str, folds: int = 5, embargo: int = 0, kind: str = "logistic", half_life: float | None = None) -> DataFrame:
+    """Rows with the score of a model that saw only dates before those of their fold, less ``embargo`` days.
+
+    Folds are ``time_folds``; the first has nothing before it and a null score,
+    as have folds of which the earlier rows hold one label only, and rows
+    without date. With a half-life, training rows weigh less the older they are.
+    """
+    rows = checkpointed(time_folds(df, date, folds))
+    starts = {r.fold: (r.first, r.last) for r in rows.where("fold IS NOT NULL").groupBy("fold").agg(F.min(date).alias("first"), F.max(date).alias("last")).collect()}  # a row a fold
+    out = rows.where("fold IS NULL OR fold = 0").withColumn("score", F.lit(None).cast("double"))
+    for fold, (first, _) in sorted(starts.items()):
+        if fold == 0:
+            continue
+        known = rows.where(F.col(date) < F.date_sub(F.lit(first), embargo)).where(F.col(label).isNotNull())
+        weight = recency_weight(F.datediff(F.lit(first), F.col(date)), half_life, 0.0) if half_life else F.lit(1.0)
+        held = rows.where(F.col("fold") == fold)
+        if known.select(label).distinct().limit(2).count() < 2:
+            out = out.unionByName(held.withColumn("score", F.lit(None).cast("double")))
+            continue
+        out = out.unionByName(fit_scores(known.withColumn("__w", weight), held, features, label, kind, "__w"))
+    return out
+
+
+def fitted_components(train: DataFrame, features: Sequence[str], k: int = 5) -> PipelineModel:
+    """Scaling and components fitted on training rows, as one model that ``save`` keeps and ``PipelineModel.load`` brings back."""
+    steps = [VectorAssembler(inputCols=list(features), outputCol="__v"), StandardScaler(inputCol="__v", outputCol="__s", withMean=True), PCA(k=k, inputCol="__s", outputCol="__p")]
+    return Pipeline(stages=steps).fit(filled(train, features))
+
+
+def with_components(df: DataFrame, model: PipelineModel) -> DataFrame:
+    """``df`` with pc_1, pc_2, ... of a fitted model, which knows its features and their number."""
+    features, k = model.stages[0].getInputCols(), model.stages[-1].getK()
+    out = model.transform(filled(df, features)).withColumn("__a", vector_to_array("__p"))
+    return out.select(*df.columns, *(F.col("__a")[i].alias(f"pc_{i + 1}") for i in range(k)))
+
+
+def served_classes(scored: DataFrame, held: DataFrame, label: str, prior: Sequence[float], probs: str = "probs", share: float = 0.05, grid: Sequence[float] = (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0)) -> DataFrame:
+    """``scored`` with ``served``: class probabilities at the temperature with the least log loss on held rows, shrunk to a prior.
+
+    One aggregate tries the grid of temperatures, a second one finer steps beside its best.
+    """
+    logs = lambda: F.transform(probs, lambda p: F.log(F.greatest(p, F.lit(1e-12))))
+
+    def best(values: Sequence[float]) -> float:
+        loss = lambda t: F.avg(-F.log(F.greatest(F.get(softmax(logs(), t), F.col(label).cast("int")), F.lit(1e-12))))
+        row = held.agg(*(loss(t).alias(f"t{i}") for i, t in enumerate(values))).first()
+        return min(values, key=lambda t: (row[f"t{list(values).index(t)}"] if row[f"t{list(values).index(t)}"] is not None else 0.0, abs(t - 1)))
+
+    first = best(grid)
+    fine = best([first * 2 ** (i / 16) for i in range(-8, 9)])
+    return scored.withColumn("served", shrink_to_prior(softmax(logs(), fine), F.array(*(F.lit(float(p)) for p in prior)), share))
+
+
 def class_scores(train: DataFrame, rows: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """``rows`` with an array of probabilities of a multinomial model."""
     columns = rows.columns

@@ -3,9 +3,13 @@
 A rating couples both sides of every contest, so within a pool contests are
 taken in order. Pools are independent: Spark sorts their contests into
 partitions, and a task streams through them with only the ratings of the pool
-in memory. A pool that is too large for one task is rated by periods, where all
-contests of a period use the ratings at its start and the updates are Spark
-aggregates.
+in memory. A pool that is too large for one task is rated in waves, with equal
+results: a wave takes every contest that is the next one of both its sides, and
+these share no entity, so they are rated side by side. There are as many waves
+as the longest chain of contests that build on each other, which follows the
+histories of entities and not the size of the pool. Where histories are long,
+it is rated by periods instead, where all contests of a period use the ratings
+at its start and the updates are Spark aggregates.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from dataclasses import dataclass
 from types import SimpleNamespace
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from priorwise.operators.lineage import checkpointed, removed, shared_folder
@@ -47,11 +51,13 @@ def seed_offset(wins: Column, losses: Column, limit: float = 120.0) -> Column:
 SCHEMA = "pool string, contest_id long, a_id long, b_id long, a_pre double, b_pre double"
 
 
-#: values of both sides before a contest, given the contest; remembers what follows from it
+#: values of both sides before a contest, given the contest; puts what follows from it into the states it was made with
 Rater = Callable[[SimpleNamespace], tuple]
+#: the state of each entity, numbers that only its rater reads
+States = dict[int, tuple[float, ...]]
 
 
-def _sweep(rater: Callable[[], Rater], fields: list[str]):
+def _sweep(rater: Callable[[States], Rater], fields: list[str]):
     """Rate rows that are sorted by pool and time; a new pool starts anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +68,7 @@ def _sweep(rater: Callable[[], Rater], fields: list[str]):
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 c = SimpleNamespace(**dict(zip(names, row)))
                 if c.pool != pool:
-                    pool, rate = c.pool, rater()
+                    pool, rate = c.pool, rater({})
                 values.append(rate(c))
             keys = [batch.column(n) for n in ("pool", "contest_id", "a_id", "b_id")]
             made = [pa.array(x, pa.float64()) for x in zip(*values)] if values else [pa.array([], pa.float64())] * (len(fields) - 4)
@@ -71,30 +77,27 @@ def _sweep(rater: Callable[[], Rater], fields: list[str]):
     return run
 
 
-def _swept(contests: DataFrame, rater: Callable[[], Rater], schema: str) -> DataFrame:
+def _swept(contests: DataFrame, rater: Callable[[States], Rater], schema: str) -> DataFrame:
     rows = _prepared(contests).repartition("pool").sortWithinPartitions("pool", "day", "contest_id")
     return rows.mapInArrow(_sweep(rater, [x.split()[0] for x in schema.split(", ")]), schema)
 
 
-def _elo(rule: EloRule) -> Rater:
-    rating: dict[int, float] = {}
-    last: dict[int, int] = {}
-
+def _elo(rule: EloRule, state: States) -> Rater:
     def rate(c: SimpleNamespace) -> tuple:
         sides = []
         for who, seed in ((c.a_id, c.a_seed), (c.b_id, c.b_seed)):
-            r = rating.get(who, rule.start + seed)
-            if who in last and c.day - last[who] > rule.long_gap:
+            r, last = state.get(who, (rule.start + seed, None))
+            if last is not None and c.day - last > rule.long_gap:
                 r += rule.pull * (rule.start - r)
-            rating[who], last[who] = r, c.day
+            state[who] = (r, c.day)
             sides.append(r)
         a, b = sides
         if c.won_a is not None and c.weight:
             expected = 1 / (1 + 10 ** ((b - a) / rule.scale))
             k = rule.k * c.weight * (rule.flagged if c.flagged else 1.0)
             up = lambda rival: 1 + rule.opponent_share * math.tanh((rival - rule.start) / rule.opponent_scale)
-            rating[c.a_id] = a + k * up(b) * (c.won_a - expected)
-            rating[c.b_id] = b + k * up(a) * (expected - c.won_a)
+            state[c.a_id] = (a + k * up(b) * (c.won_a - expected), c.day)
+            state[c.b_id] = (b + k * up(a) * (expected - c.won_a), c.day)
         return a, b
 
     return rate
@@ -121,7 +124,7 @@ def elo_by_pool(contests: DataFrame, rule: EloRule = EloRule()) -> DataFrame:
     weight, flagged, a_seed and b_seed. A contest without a result or with
     weight 0 changes no rating but counts as activity.
     """
-    return _swept(contests, lambda: _elo(rule), SCHEMA)
+    return _swept(contests, lambda held: _elo(rule, held), SCHEMA)
 
 
 def elo_by_period(contests: DataFrame, period: Column, rule: EloRule = EloRule()) -> DataFrame:
@@ -165,7 +168,7 @@ def elo_by_period(contests: DataFrame, period: Column, rule: EloRule = EloRule()
 UNCERTAIN_SCHEMA = "pool string, contest_id long, a_id long, b_id long, a_mu double, a_sigma double, b_mu double, b_sigma double"
 
 
-def _glicko(start: float, phi0: float, sigma0: float, tau: float) -> Rater:
+def _glicko(start: float, phi0: float, sigma0: float, tau: float, state: States) -> Rater:
     def volatility(phi: float, v: float, delta: float, sigma: float) -> float:
         a = math.log(sigma * sigma)
 
@@ -195,8 +198,6 @@ def _glicko(start: float, phi0: float, sigma0: float, tau: float) -> Rater:
             high, f_high = x, fx
         return math.exp(low / 2)
 
-    state: dict[int, tuple[float, float, float]] = {}
-
     def rate(c: SimpleNamespace) -> tuple:
         a = state.get(c.a_id, (start + c.a_seed, phi0, sigma0))
         b = state.get(c.b_id, (start + c.b_seed, phi0, sigma0))
@@ -222,10 +223,10 @@ def _glicko(start: float, phi0: float, sigma0: float, tau: float) -> Rater:
 
 def glicko_by_pool(contests: DataFrame, start: float = 1500.0, phi0: float = 350.0, sigma0: float = 0.06, tau: float = 0.5) -> DataFrame:
     """Rating and deviation of both sides before each contest (Glicko-2; both sides update from their state before it)."""
-    return _swept(contests, lambda: _glicko(start, phi0, sigma0, tau), UNCERTAIN_SCHEMA)
+    return _swept(contests, lambda held: _glicko(start, phi0, sigma0, tau, held), UNCERTAIN_SCHEMA)
 
 
-def _trueskill(mu0: float, sigma0: float, beta: float, tau: float, draw: float) -> Rater:
+def _trueskill(mu0: float, sigma0: float, beta: float, tau: float, draw: float, state: States) -> Rater:
     pdf = lambda x: math.exp(-x * x / 2) / math.sqrt(2 * math.pi)
     cdf = lambda x: 0.5 * math.erfc(-x / math.sqrt(2))
 
@@ -238,8 +239,6 @@ def _trueskill(mu0: float, sigma0: float, beta: float, tau: float, draw: float)
 
     margin = quantile((draw + 1) / 2) * math.sqrt(2) * beta
 
-    state: dict[int, tuple[float, float]] = {}
-
     def rate(c: SimpleNamespace) -> tuple:
         a = state.get(c.a_id, (mu0 + c.a_seed / 1500 * mu0, sigma0))
         b = state.get(c.b_id, (mu0 + c.b_seed / 1500 * mu0, sigma0))
@@ -261,4 +260,84 @@ def _trueskill(mu0: float, sigma0: float, beta: float, tau: float, draw: float)
 
 def trueskill_by_pool(contests: DataFrame, mu0: float = 25.0, sigma0: float = 25 / 3, beta: float = 25 / 6, tau: float = 25 / 300, draw: float = 0.01) -> DataFrame:
     """Mean and deviation of both sides before each contest (two players, from the published update)."""
-    return _swept(contests, lambda: _trueskill(mu0, sigma0, beta, tau, draw), UNCERTAIN_SCHEMA)
+    return _swept(contests, lambda held: _trueskill(mu0, sigma0, beta, tau, draw, held), UNCERTAIN_SCHEMA)
+
+
+def _ordered(rows: DataFrame) -> DataFrame:
+    """Contests with the place of each among those of its sides (``a_at``, ``b_at``, from 1)."""
+    sides = rows.select("pool", "contest_id", "day", F.explode(F.array(*(F.struct(F.lit(s).alias("s"), F.col(f"{s}_id").alias("id")) for s in "ab"))).alias("e"))
+    at = F.row_number().over(Window.partitionBy("pool", "e.id").orderBy("day", "contest_id"))
+    placed = sides.withColumn("at", at).groupBy("pool", "contest_id").agg(*(F.max(F.when(F.col("e.s") == s, F.col("at"))).alias(f"{s}_at") for s in "ab"))
+    return rows.join(placed, ["pool", "contest_id"])
+
+
+def _rate_wave(rater: Callable[[States], Rater], width: int):
+    """Values before each contest, and both sides' states after it; no two rows have an entity in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: States = {}
+        rate = rater(held)
+        for batch in batches:
+            names = batch.schema.names
+            before, after = [], ([], [])
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                c = SimpleNamespace(**dict(zip(names, row)))
+                held.clear()
+                for who, state in ((c.a_id, c.a_state), (c.b_id, c.b_state)):
+                    if state is not None:
+                        held[who] = tuple(state)
+                before.append(rate(c))
+                for side, who in zip(after, (c.a_id, c.b_id)):
+                    side.append(held.get(who))
+            pre = list(zip(*before)) if before else [()] * width
+            states = [pa.array(x, pa.list_(pa.float64())) for x in after]
+            keys = [batch.column(n) for n in ("pool", "contest_id", "a_id", "b_id")]
+            yield pa.RecordBatch.from_arrays([*keys, *(pa.array(x, pa.float64()) for x in pre), *states], [*"pool contest_id a_id b_id".split(), *(f"v{k}" for k in range(width)), "a_state", "b_state"])
+
+    return run
+
+
+def _in_waves(contests: DataFrame, rater: Callable[[States], Rater], schema: str) -> DataFrame:
+    spark = contests.sparkSession
+    fields = [x.split()[0] for x in schema.split(", ")][4:]
+    folder = f"{shared_folder(spark)}/waves-{uuid.uuid4().hex}"
+    rows = _ordered(_prepared(contests).where("a_id <> b_id"))
+    rows.write.parquet(f"{folder}/contests")
+    c = spark.read.schema(rows.schema).parquet(f"{folder}/contests")
+    entities = c.select("pool", F.explode(F.array("a_id", "b_id")).alias("id")).distinct()
+    state = checkpointed(entities.select("pool", "id", F.lit(0).alias("done"), F.lit(None).cast("array<double>").alias("state")))
+    values = ", ".join(f"v{k} double" for k in range(len(fields)))
+    wave = 0
+    while True:
+        ready = c
+        for s in "ab":
+            held = state.select("pool", F.col("id").alias(f"{s}_id"), (F.col("done") + 1).alias(f"{s}_at"), F.col("state").alias(f"{s}_state"))
+            ready = ready.join(held, ["pool", f"{s}_id", f"{s}_at"])
+        ready = ready.drop("a_at", "b_at")
+        path = f"{folder}/rated/wave={wave}"
+        rated = ready.mapInArrow(_rate_wave(rater, len(fields)), f"pool string, contest_id long, a_id long, b_id long, {values}, a_state array<double>, b_state array<double>")
+        rated.write.parquet(path)
+        rated = spark.read.schema(rated.schema).parquet(path)
+        if rated.isEmpty():
+            break
+        moved = rated.select("pool", F.explode(F.array(*(F.struct(F.col(f"{s}_id").alias("id"), F.col(f"{s}_state").alias("new")) for s in "ab"))).alias("m")).select("pool", "m.*")
+        state = checkpointed(state.join(moved.withColumn("moved", F.lit(1)), ["pool", "id"], "left").select("pool", "id", (F.col("done") + F.coalesce("moved", F.lit(0))).alias("done"), F.coalesce("new", "state").alias("state")))
+        wave += 1
+    removed(spark, f"{folder}/contests")
+    rated = spark.read.schema(rated.schema).parquet(f"{folder}/rated/*")
+    return rated.select("pool", "contest_id", "a_id", "b_id", *(F.col(f"v{k}").alias(n) for k, n in enumerate(fields)))
+
+
+def elo_in_waves(contests: DataFrame, rule: EloRule = EloRule()) -> DataFrame:
+    """``elo_by_pool`` for pools of any size, a job for each wave; contests of an entity with itself are left out."""
+    return _in_waves(contests, lambda held: _elo(rule, held), SCHEMA)
+
+
+def glicko_in_waves(contests: DataFrame, start: float = 1500.0, phi0: float = 350.0, sigma0: float = 0.06, tau: float = 0.5) -> DataFrame:
+    """``glicko_by_pool`` for pools of any size, in waves."""
+    return _in_waves(contests, lambda held: _glicko(start, phi0, sigma0, tau, held), UNCERTAIN_SCHEMA)
+
+
+def trueskill_in_waves(contests: DataFrame, mu0: float = 25.0, sigma0: float = 25 / 3, beta: float = 25 / 6, tau: float = 25 / 300, draw: float = 0.01) -> DataFrame:
+    """``trueskill_by_pool`` for pools of any size, in waves."""
+    return _in_waves(contests, lambda held: _trueskill(mu0, sigma0, beta, tau, draw, held), UNCERTAIN_SCHEMA)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from priorwise.operators.evaluate import crps_samples
+from priorwise.operators.lineage import counted
 
 #: fixed values: outcomes that settle who won
 VALID_OUTCOMES = ("KO", "SUB", "U-DEC", "S-DEC", "M-DEC")
@@ -88,10 +89,10 @@ def clean_labels(df: DataFrame, outcome: str, label: str, flagged: str | None =
     return out if flagged is None else out.where(~F.coalesce(F.col(flagged), F.lit(False)))
 
 
-def dated(df: DataFrame, date: str) -> tuple[DataFrame, DataFrame]:
-    """Rows with a date, and one row (undated, kept) that counts those dropped and kept."""
-    counts = df.agg(F.count_if(F.col(date).isNull()).alias("undated"), F.count(date).alias("kept"))
-    return df.where(F.col(date).isNotNull()), counts
+def dated(df: DataFrame, date: str) -> tuple[DataFrame, int]:
+    """Rows with a date, and the number of those dropped, counted in the pass that drops them."""
+    kept, counts = counted(df, F.col(date).isNotNull(), undated=F.col(date).isNull())
+    return kept, counts["undated"]
 
 
 def still_listed(day: Column, clock: Column, now: Column) -> Column:
@@ -141,10 +142,14 @@ def concept(feature: Column, groups: Sequence[tuple[str, Sequence[str]]], defaul
     return F.lit(default) if out is None else F.coalesce(out, F.lit(default))
 
 
-def status_by_kind(kind: Column, by_kind: Mapping[str, str], default: str | None = None, last: str = "paper") -> Column:
-    """Setting of a kind: its own, that of its family (trailing digits dropped), the general one, then ``last``."""
+def status_by_kind(kind: Column, by_kind: Mapping[str, str], default: str | None = None, last: str = "paper", allowed: Sequence[str] | None = None) -> Column:
+    """Setting of a kind: its own, that of its family (trailing digits dropped), the general one, then ``last``.
+
+    With ``allowed``, a setting of any other value counts as ``last``, in either case of letters.
+    """
     known = F.create_map(*(F.lit(x) for pair in by_kind.items() for x in pair)) if by_kind else F.create_map().cast("map<string,string>")
-    return F.coalesce(F.try_element_at(known, kind), F.try_element_at(known, F.regexp_replace(kind, r"\d+$", "")), F.lit(default), F.lit(last))
+    found = F.coalesce(F.try_element_at(known, kind), F.try_element_at(known, F.regexp_replace(kind, r"\d+$", "")), F.lit(default), F.lit(last))
+    return found if allowed is None else F.when(F.lower(found).isin(*allowed), F.lower(found)).otherwise(F.lit(last))
 
 
 def slot(title: Column, segment: Column, position: Column, main: int = 5) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from priorwise.functions.names import similarity
+from priorwise.operators.lineage import counted
 from priorwise.operators.similar import most_similar, similar_pairs
 from priorwise.operators.sized import small
 
@@ -142,6 +143,11 @@ def tripwire(df: DataFrame, curated: DataFrame, key: str, text: str, words: Sequ
     return joined.select(*df.columns, F.coalesce("__f", hit, F.lit(False)).alias("flag"), (F.coalesce(hit, F.lit(False)) & F.col("__f").isNull()).alias("is_uncurated"))
 
 
+def counted_tripwire(df: DataFrame, curated: DataFrame, key: str, text: str, words: Sequence[str]) -> tuple[DataFrame, dict[str, int]]:
+    """``tripwire`` and its counts of flagged and of uncurated rows, which every run reports, from the same pass."""
+    return counted(tripwire(df, curated, key, text, words), flagged=F.col("flag"), uncurated=F.col("is_uncurated"))
+
+
 def matches_tokens(tokens: Column, wanted: dict[str, Sequence[str]]) -> Column:
     """Whether for each kind some wanted token (kind:value) occurs."""
     out = F.lit(True)

@@ -81,7 +81,7 @@ def parlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select("event_type", "value", (F.get_json_object("props", "$.k").cast("double") / 100).alias("p"))
-    return _round(e.scorecard(ev, "event_type", [10, 50, 100], "value", "p"), ["event_type", "line", "n", "tier"], ["auroc", "ece", "skill"])
+    return _round(e.scorecard(ev, "event_type", [10, 50, 100], "value", "p"), ["event_type", "line", "n", "tier", "picks", "proven"], ["auroc", "ece", "skill", "pick_rate", "low", "high"])
 
 
 def calib_z(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,9 +175,9 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = forecasts(spark, sf_dir).where("y = 1").select("day", "id", "market")
-    feed = ledger.event_feed(f, "day", "id", ["market"])
-    return feed.select("day", "n", F.array_join(F.transform("rows", lambda r: F.concat_ws(":", r["id"].cast("string"), r["market"])), ",").alias("rows"))
+    f = forecasts(spark, sf_dir).select("day", "id", "market", "y")
+    feed = ledger.event_feed(f, "day", "id", ["market"], 100, hits=F.sum("y"))
+    return feed.select("day", "page", "n", "hits", F.array_join(F.transform("rows", lambda r: F.concat_ws(":", r["id"].cast("string"), r["market"])), ",").alias("rows"))
 
 
 QUERIES = {
@@ -238,8 +238,11 @@ ORACLE_SQL = {
                       FROM events, (SELECT unnest([10.0, 50.0, 100.0])::DOUBLE AS line)),
         b AS (SELECT k, event_type, line, count(*) AS n, avg((p - y) * (p - y)) AS brier, var_pop(y) AS base FROM long GROUP BY ALL)
         SELECT event_type, line, n, round(auroc, 6) AS auroc, round(ece, 6) AS ece, round(CASE WHEN base > 0 THEN 1 - brier / base END, 6) AS skill,
-               CASE WHEN n >= 30 AND 1 - brier / base > 0 AND auroc > 0.55 THEN 'TRUST' WHEN auroc > 0.5 THEN 'WATCH' ELSE 'CUT' END AS tier
-        FROM b JOIN {_AUC.format(k='k', t='long')} USING (k) JOIN {_ECE.format(8, k='k', t='long')} USING (k)""",
+               CASE WHEN n >= 30 AND 1 - brier / base > 0 AND auroc > 0.55 THEN 'TRUST' WHEN auroc > 0.5 THEN 'WATCH' ELSE 'CUT' END AS tier,
+               picks, round(pick_rate, 6) AS pick_rate, round(low, 6) AS low, round(high, 6) AS high, coalesce(picks >= 30 AND low > 0.5, false) AS proven
+        FROM b JOIN (SELECT k, picks, r AS pick_rate, c - h AS low, c + h AS high FROM
+                     (SELECT k, picks, r, (r + z2 / (2 * picks)) / (1 + z2 / picks) AS c, sqrt(z2) / (1 + z2 / picks) * sqrt(r * (1 - r) / picks + z2 / (4 * picks * picks)) AS h
+                      FROM (SELECT k, count(w) AS picks, avg(w) AS r, (3.841458820694124)::DOUBLE AS z2 FROM (SELECT k, CASE WHEN p >= 0.6 THEN y WHEN 1 - p >= 0.6 THEN 1 - y END AS w FROM long) GROUP BY 1))) USING (k) JOIN {_AUC.format(k='k', t='long')} USING (k) JOIN {_ECE.format(8, k='k', t='long')} USING (k)""",
     "calib_z": f"""{_F}, g AS (SELECT market, count(*) AS n, sum(y)::DOUBLE AS hits, sum(p) AS expected, (sum(y) - sum(p)) / sqrt(sum(p * (1 - p))) AS z FROM forecasts GROUP BY 1),
         x AS (SELECT *, abs(z) / sqrt(2) AS x, 1 / (1 + 0.5 * abs(z) / sqrt(2)) AS t FROM g), v AS (SELECT *, t * exp(-x * x + {_ERFC}) AS pv FROM x)
         SELECT market, n, hits, round(expected, 4) AS expected, round(z, 4) AS z, round(pv, 4) AS p_value, n >= 25 AND pv < 0.05 AS flagged FROM v""",
@@ -286,5 +289,6 @@ ORACLE_SQL = {
         b AS (SELECT * FROM s WHERE stake > 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY stake DESC, q, id) = 1),
         z AS (SELECT *, floor(stake * least(1.0::DOUBLE, 500.0::DOUBLE / sum(stake) OVER (PARTITION BY market)) + 1e-9) AS sized FROM b)
         SELECT user_id, id, market, round(stake, 4) AS stake, sized FROM z WHERE sized > 0""",
-    "event_feed": f"{_F} SELECT day, count(*) AS n, string_agg(id || ':' || market, ',' ORDER BY id) AS rows FROM forecasts WHERE y = 1 GROUP BY 1",
+    "event_feed": f"""{_F}, p AS (SELECT *, ((row_number() OVER (PARTITION BY day ORDER BY id) - 1) // 100)::INTEGER AS page, count(*) OVER (PARTITION BY day) AS n, (sum(y) OVER (PARTITION BY day))::BIGINT AS hits FROM forecasts)
+        SELECT day, page, any_value(n) AS n, any_value(hits) AS hits, string_agg(id || ':' || market, ',' ORDER BY id) AS rows FROM p GROUP BY 1, 2""",
 }

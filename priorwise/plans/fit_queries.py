@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,7 +85,11 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def style_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ml.standard_pca(_features(spark, sf_dir), ["q", "d", "t", "n"], F.col("l_orderkey") % 3 > 0, 2).select("l_orderkey", F.abs("pc_1").alias("pc_1"), F.abs("pc_2").alias("pc_2"))
+    """Components of a model that was fitted, kept and loaded again."""
+    rows = _features(spark, sf_dir)
+    path = f"{shared_folder(spark)}/components-{uuid.uuid4().hex}"
+    ml.fitted_components(rows.where(F.col("l_orderkey") % 3 > 0), ml.numeric_features(rows, ["l_orderkey", "y"]), 2).save(path)
+    return ml.with_components(rows, PipelineModel.load(path)).select("l_orderkey", F.abs("pc_1").alias("pc_1"), F.abs("pc_2").alias("pc_2"))
 
 
 def out_of_fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,15 +102,18 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_write_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users and types of events, each written once however often it occurs, on a stream of the events table."""
+    """Users and types of events, each written once however often it occurs, on a stream of the events table.
+
+    The table spans a month, so that state a month old can be dropped.
+    """
     keyed = _event_stream(spark, sf_dir).withColumn("key", F.concat_ws("|", F.col("user_id").cast("string"), "event_type"))
-    stream = ledgers.first_write_wins(keyed, "key", "ts", "3650 days")
+    stream = ledgers.first_write_wins(keyed, "key", "ts", "31 days")
     return ledgers.run_to_table(stream.select("key", "user_id", "event_type"), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
 
 
 def windowed_hit_rate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = _event_stream(spark, sf_dir)
-    out = ledgers.run_to_table(ledgers.hit_rate_windows(stream, "ts", "event_type", "value"), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", "complete")
+    out = ledgers.run_to_table(ledgers.hit_rate_windows(stream, "ts", "event_type", "value"), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", "update", ["window", "event_type"])
     return out.select(F.col("window.start").cast("date").alias("day"), "event_type", "n", rounded(F.col("hit_rate"), 4).alias("mean_value"))
 
 

@@ -166,7 +166,8 @@ def bounded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tripwire_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     curated = p.where("p_partkey % 10 = 0").select("p_partkey", (F.col("p_partkey") % 20 == 0).alias("flag"))
-    return resolve.tripwire(p, curated, "p_partkey", "p_name", ["small", "ring"]).select("p_partkey", "flag", "is_uncurated")
+    flags, counts = resolve.counted_tripwire(p, curated, "p_partkey", "p_name", ["small", "ring"])
+    return flags.select("p_partkey", "flag", "is_uncurated", *(F.lit(n).cast("long").alias(f"n_{c}") for c, n in counts.items()))
 
 
 def class_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,8 +294,9 @@ ORACLE_SQL = {
         SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem
         WHERE CASE l_returnflag WHEN 'A' THEN l_quantity BETWEEN 10 AND 40 WHEN 'R' THEN l_quantity BETWEEN 5 AND 20 ELSE true END GROUP BY 1""",
     "tripwire_flags": """
-        WITH p AS (SELECT p_partkey, regexp_matches(lower(p_name), 'small|ring') AS hit, p_partkey % 10 = 0 AS cur FROM part)
-        SELECT p_partkey, CASE WHEN cur THEN p_partkey % 20 = 0 ELSE hit END AS flag, hit AND NOT cur AS is_uncurated FROM p""",
+        WITH p AS (SELECT p_partkey, regexp_matches(lower(p_name), 'small|ring') AS hit, p_partkey % 10 = 0 AS cur FROM part),
+        f AS (SELECT p_partkey, CASE WHEN cur THEN p_partkey % 20 = 0 ELSE hit END AS flag, hit AND NOT cur AS is_uncurated FROM p)
+        SELECT *, (SELECT count(*) FILTER (flag) FROM f) AS n_flagged, (SELECT count(*) FILTER (is_uncurated) FROM f) AS n_uncurated FROM f""",
     "class_labels": """
         WITH p AS (SELECT p_partkey, lower(p_type || ' ' || p_name) AS t, p_type FROM part)
         SELECT p_partkey, CASE WHEN contains(t, 'standard') THEN 'S' WHEN contains(t, 'ring') THEN 'G' WHEN contains(t, 'economy') THEN 'E' ELSE 'other' END AS label,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from priorwise.functions import maths
@@ -85,6 +85,21 @@ def elo_by_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("pool", "contest_id", "a_id", "b_id", rounded(F.col("a_pre")).alias("a_pre"), rounded(F.col("b_pre")).alias("b_pre"))
 
 
+def rivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of one day next to each other by key, as contests of their customers in one pool."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.col("o_orderdate").cast("date").alias("day"))
+    by_day = Window.partitionBy("day").orderBy("o_orderkey")
+    two = o.withColumns({"n": F.row_number().over(by_day), "rival": F.lead(F.struct("o_custkey", "o_totalprice")).over(by_day)}).where("n % 2 = 1 AND rival.o_custkey <> o_custkey")
+    return two.select(
+        F.lit("all").alias("pool"), F.col("o_orderkey").alias("contest_id"), "day", F.col("o_custkey").alias("a_id"), F.col("rival.o_custkey").alias("b_id"), (F.col("o_totalprice") > F.col("rival.o_totalprice")).cast("int").alias("won_a")
+    )
+
+
+def elo_in_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = ratings.elo_in_waves(rivals(spark, sf_dir))
+    return r.select("contest_id", "a_id", "b_id", rounded(F.col("a_pre")).alias("a_pre"), rounded(F.col("b_pre")).alias("b_pre"))
+
+
 def elo_by_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = ratings.elo_by_period(contests(spark, sf_dir), F.year(F.date_add(F.lit("1970-01-01"), F.col("day"))))
     return r.select("pool", "contest_id", rounded(F.col("a_pre")).alias("a_pre"), rounded(F.col("b_pre")).alias("b_pre"))
@@ -167,7 +182,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         perspective_ledger, wide_pairs, symmetrize, perspective_average, interactions, pair_differences, pairings, career_fill, common_opponents,
-        elo_by_pool, elo_by_period, glicko_by_pool, trueskill_by_pool, group_zscore_train, tiers, train_percentile, late_early_ratio, round_pivot,
+        elo_by_pool, elo_in_waves, elo_by_period, glicko_by_pool, trueskill_by_pool, group_zscore_train, tiers, train_percentile, late_early_ratio, round_pivot,
         shrunk_record, rolling_prior, residual_cells, zero_rate_table, line_fit,
     )
 }

@@ -77,8 +77,8 @@ def label_hygiene(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate").cast("date")).alias("day"))
-    kept, counts = records.dated(o, "day")
-    return kept.crossJoin(F.broadcast(counts.select("undated")))  # one row
+    kept, undated = records.dated(o, "day")
+    return kept.withColumn("undated", F.lit(undated).cast("long"))
 
 
 def still_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,8 +118,9 @@ def concept_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def status_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", F.concat("event_type", (F.col("user_id") % 4).cast("string")).alias("kind"))
-    known = {"view1": "live", "view": "off", "click": "live"}
-    return e.select("event_id", records.status_by_kind(F.col("kind"), known).alias("status"), records.status_by_kind(F.col("kind"), known, "general").alias("general"))
+    known = {"view1": "live", "view": "off", "click": "Live"}
+    plain, general = records.status_by_kind(F.col("kind"), known), records.status_by_kind(F.col("kind"), known, "general")
+    return e.select("event_id", plain.alias("status"), general.alias("general"), records.status_by_kind(F.col("kind"), known, allowed=["live"]).alias("strict"))
 
 
 def card_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +161,7 @@ def accumulated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/names-{uuid.uuid4().hex}"
     held = p.where("p_size < 20").select("p_name")
     files.write_table(records.accumulated(held.limit(0), held, "p_name"), f"{path}/1")
-    files.write_table(records.accumulated(spark.read.parquet(f"{path}/1"), p.where("p_size > 30").select("p_name"), "p_name"), f"{path}/2")
+    files.write_table(records.accumulated(spark.read.parquet(f"{path}/1"), p.where("p_size >= 20").select("p_name"), "p_name"), f"{path}/2")
     return spark.read.parquet(f"{path}/2")
 
 
@@ -174,9 +175,10 @@ def climatology_skill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conditional_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantities against the forecast of the realized flag of their line, as a test of uniformity."""
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_partkey IS NOT NULL")
+    li = table(spark, sf_dir, "lineitem")
     rows = li.groupBy("l_orderkey").agg(F.min("l_returnflag").alias("flag"), F.max("l_quantity").alias("y"))
-    flags = F.explode(F.array(F.struct(F.lit("A").alias("flag"), F.lit(50.0).alias("top")), F.struct(F.lit("R").alias("flag"), F.lit(55.0).alias("top"))))
+    tops = {"A": 50.0, "R": 55.0, "N": 60.0}
+    flags = F.explode(F.array(*(F.struct(F.lit(k).alias("flag"), F.lit(v).alias("top")) for k, v in tops.items())))
     made = rows.select("l_orderkey", flags.alias("f")).select("l_orderkey", "f.flag", "f.top")
     scored = records.realized_forecasts(rows, made, "l_orderkey", "flag").withColumn("u", (F.col("y") - 0.5) / F.col("top"))
     out = evaluate.ks_uniform(scored, ["flag"], "u")
@@ -341,8 +343,9 @@ ORACLE_SQL = {
         SELECT CASE WHEN regexp_matches(lower(p_name), 'ring|bolt|steel') THEN 'metal' WHEN regexp_matches(lower(p_name), 'blue|red|green') THEN 'colour'
                     WHEN regexp_matches(lower(p_name), 'small|large') THEN 'size' ELSE 'other' END AS concept, sum(p_size)::DOUBLE AS importance, count(*) AS n FROM part GROUP BY 1""",
     "status_fallback": """
-        SELECT event_id, CASE WHEN event_type = 'view' THEN CASE user_id % 4 WHEN 1 THEN 'live' ELSE 'off' END WHEN event_type = 'click' THEN 'live' ELSE 'paper' END AS status,
-               CASE WHEN event_type = 'view' THEN CASE user_id % 4 WHEN 1 THEN 'live' ELSE 'off' END WHEN event_type = 'click' THEN 'live' ELSE 'general' END AS general FROM events""",
+        SELECT event_id, CASE WHEN event_type = 'view' THEN CASE user_id % 4 WHEN 1 THEN 'live' ELSE 'off' END WHEN event_type = 'click' THEN 'Live' ELSE 'paper' END AS status,
+               CASE WHEN event_type = 'view' THEN CASE user_id % 4 WHEN 1 THEN 'live' ELSE 'off' END WHEN event_type = 'click' THEN 'Live' ELSE 'general' END AS general,
+               CASE WHEN event_type = 'click' OR (event_type = 'view' AND user_id % 4 = 1) THEN 'live' ELSE 'paper' END AS strict FROM events""",
     "card_slots": """
         SELECT l_orderkey, CASE WHEN l_linenumber = 1 AND l_returnflag = 'R' THEN 'title' WHEN l_linestatus = 'F' AND l_linenumber = 7 THEN 'early' WHEN l_linenumber <= 5 THEN 'main' ELSE 'prelim' END AS slot, count(*) AS n
         FROM lineitem GROUP BY 1, 2""",
@@ -362,7 +365,7 @@ ORACLE_SQL = {
         WITH g AS (SELECT l_orderkey, l_partkey, sum(floor(l_discount * 100 + 0.5::DOUBLE) - 5)::BIGINT AS effect FROM lineitem GROUP BY 1, 2),
         m AS (SELECT *, max(abs(effect)) OVER (PARTITION BY l_orderkey) AS top FROM g)
         SELECT l_orderkey, l_partkey, effect, row_number() OVER (PARTITION BY l_orderkey ORDER BY abs(effect) DESC, l_partkey) AS rank FROM m WHERE top < 3 OR abs(effect) >= 3 QUALIFY rank <= 3""",
-    "accumulated_names": "SELECT DISTINCT p_name FROM part WHERE p_size < 20 OR p_size > 30",
+    "accumulated_names": "SELECT DISTINCT p_name FROM part WHERE p_size IS NOT NULL",
     "climatology_skill": f"""
         WITH {CONTESTS_SQL},
         p AS (SELECT class, b_quantity AS v, count(*)::DOUBLE AS c FROM contests WHERE contest_id % 3 <> 0 GROUP BY 1, 2),
@@ -373,8 +376,8 @@ ORACLE_SQL = {
               FROM r JOIN y USING (class, y) JOIN h USING (class))
         SELECT pool, count(*) AS n, round(avg(c), 6) AS crps_model, round(avg(k), 6) AS crps_pool, round(1 - avg(c) / avg(k), 6) AS skill FROM m GROUP BY 1""",
     "conditional_null": f"""
-        WITH r AS (SELECT l_orderkey, min(l_returnflag) AS flag, max(l_quantity) AS y FROM lineitem WHERE l_linenumber = 1 GROUP BY 1),
-        u AS (SELECT flag, (y - 0.5::DOUBLE) / CASE flag WHEN 'A' THEN 50.0::DOUBLE ELSE 55.0::DOUBLE END AS u FROM r WHERE flag IN ('A', 'R')),
+        WITH r AS (SELECT l_orderkey, min(l_returnflag) AS flag, max(l_quantity) AS y FROM lineitem GROUP BY 1),
+        u AS (SELECT flag, (y - 0.5::DOUBLE) / CASE flag WHEN 'A' THEN 50.0::DOUBLE WHEN 'R' THEN 55.0::DOUBLE ELSE 60.0::DOUBLE END AS u FROM r WHERE flag IN ('A', 'R', 'N')),
         g AS (SELECT flag, u, count(*) AS k FROM u GROUP BY 1, 2), s AS (SELECT flag, u, k, sum(k) OVER (PARTITION BY flag ORDER BY u) AS hi, sum(k) OVER (PARTITION BY flag) AS n FROM g),
         t AS (SELECT flag, any_value(n)::BIGINT AS n, max(greatest(hi / n - u, u - (hi - k) / n)) AS ks FROM s GROUP BY 1 HAVING any_value(n) >= 20), z AS (SELECT *, sqrt(n) * ks AS t FROM t)
         SELECT flag, n, round(ks, 6) AS ks, round(CASE WHEN t < 0.2 THEN 1 ELSE greatest(least({" + ".join(f"{2 * (-1) ** (k - 1)} * exp(-{2 * k * k} * t * t)" for k in range(1, 41))}, 1), 0) END, 5) AS p_value FROM z""",

@@ -115,7 +115,9 @@ def occlusion_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def class_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _pair_rows(spark, sf_dir).withColumn("tier", F.when(F.col("quantity_a") > 35, 2).when(F.col("quantity_a") > 15, 1).otherwise(0))
-    return ml.class_scores(rows.where("contest_id % 2 = 0"), rows, ["quantity_b", "rank_a", "quantity_a"], "tier").select("contest_id", "tier", "probs")
+    scored = ml.class_scores(rows.where("contest_id % 2 = 0"), rows, ["quantity_b", "rank_a", "quantity_a"], "tier")
+    held = scored.where("contest_id % 2 = 1")
+    return ml.served_classes(scored, held, "tier", [0.3, 0.4, 0.3]).select("contest_id", "tier", "probs", "served")
 
 
 def _events(spark: SparkSession, sf_dir: str, kind: str, columns: list[str]) -> DataFrame:
@@ -137,7 +139,8 @@ def rating_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("pool"), F.datediff("o_orderdate", F.lit("1970-01-01")).alias("day"), F.col("o_orderkey").alias("contest_id"), F.col("o_custkey").alias("a_id"),
         (F.col("o_custkey") + 1).alias("b_id"), (F.col("o_totalprice") > 200_000).cast("double").alias("won_a"),
     )
-    return ledgers.run_to_table(ledgers.running_ratings(games), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", "update")
+    with ledgers.rocks_state(spark):
+        return ledgers.run_to_table(ledgers.running_ratings(games), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", "update", ["pool", "id"])
 
 
 QUERIES = {

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from priorwise.operators.lineage import checkpointed
+
 
 def read_text_table(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header; all columns are strings, headers and cells trimmed."""
@@ -41,3 +45,20 @@ def latest_snapshot(spark: SparkSession, path: str, schema: StructType) -> DataF
     rows = spark.read.schema(StructType([*schema.fields]).add("pull_ts", "string")).json(path)
     last = rows.agg(F.max("pull_ts")).first()[0]
     return rows.where(F.col("pull_ts") == F.lit(last))
+
+
+def rewrite_days(spark: SparkSession, path: str, day: str, days: Sequence[str], change: Callable[[DataFrame], DataFrame]) -> list[str]:
+    """Rows of the given days as ``change`` makes them; only days whose rows differ are written anew, and returned.
+
+    Other days keep their files, so a second run with the same change writes
+    nothing. The new rows are complete before the old ones are replaced.
+    """
+    table = spark.read.parquet(path)
+    old = table.where(F.col(day).cast("string").isin(*days))
+    new = checkpointed(change(old).select(*table.columns))
+    # rows that are on one side more often than on the other
+    counts = old.withColumn("__n", F.lit(1)).unionByName(new.withColumn("__n", F.lit(-1))).groupBy(*table.columns).agg(F.sum("__n").alias("__n"))
+    touched = sorted(r[0] for r in counts.where("__n <> 0").select(F.col(day).cast("string")).distinct().collect())  # at most the days given
+    if touched:
+        (new.where(F.col(day).cast("string").isin(*touched)).repartition(day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path))
+    return touched

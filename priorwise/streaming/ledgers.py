@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def table_stream(spark: SparkSession, folder: str, file: str, schema: StructType) -> DataFrame:
@@ -35,46 +36,78 @@ def hit_rate_windows(stream: DataFrame, time: str, by: str, hit: str, width: str
 
 
 _RATING = "pool string, id long, rating double, n long"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Ratings(StatefulProcessor):
+    """Ratings of one pool's entities, each an entry of its own, so that a batch reads and writes only its entities."""
+
+    def __init__(self, k: float) -> None:
+        self.k = k
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getMapState("ratings", "id long", "rating double, n long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(["day", "contest_id"], kind="stable")
+        now: dict[int, tuple[float, int]] = {}
+        for i in pd.unique(pd.concat([batch["a_id"], batch["b_id"]])).tolist():
+            now[i] = self.held.getValue((i,)) if self.held.containsKey((i,)) else (1500.0, 0)
+        for c in batch[["a_id", "b_id", "won_a"]].itertuples(index=False):
+            (a, n), (b, m) = now[c.a_id], now[c.b_id]
+            gain = 0.0 if pd.isna(c.won_a) else self.k * (c.won_a - 1 / (1 + 10 ** ((b - a) / 400)))
+            now[c.a_id], now[c.b_id] = (a + gain, n + 1), (b - gain, m + 1)
+        for i, (rating, n) in now.items():
+            self.held.updateValue((i,), (float(rating), int(n)))
+        out = sorted(now)
+        yield pd.DataFrame({"pool": key[0], "id": out, "rating": [now[i][0] for i in out], "n": [now[i][1] for i in out]})
+
+    def close(self) -> None:
+        pass
 
 
 def running_ratings(stream: DataFrame, k: float = 24.0) -> DataFrame:
-    """Ratings of a pool's entities after each batch of contests (pool, day, contest_id, a_id, b_id, won_a).
+    """Ratings of the entities of each batch after it, from a stream of contests (pool, day, contest_id, a_id, b_id, won_a).
 
-    The state of a pool is its ratings; contests within a batch are taken in order.
+    Contests within a batch are taken in order. The state has one entry for each
+    entity of a pool and is never dropped, as ratings last. Run it with
+    ``rocks_state``, as such state is kept in RocksDB.
     """
+    return stream.groupBy("pool").transformWithStateInPandas(_Ratings(k), _RATING, "update", "none")
+
+
+@contextmanager
+def rocks_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that start within this block keep their state in RocksDB; the session's setting is restored after it."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, _ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+def run_to_table(stream: DataFrame, folder: str, mode: str = "append", keys: Sequence[str] = ()) -> DataFrame:
+    """Run a stream over what is there and return what it wrote below ``folder``; run again, it goes on where it ended.
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held: dict[int, tuple[float, int]] = {}
-        if state.exists:
-            ids, ratings, counts = state.get
-            held = {i: (r, n) for i, r, n in zip(ids, ratings, counts)}
-        rows = pd.concat(list(batches)).sort_values(["day", "contest_id"], kind="stable")
-        touched = set()
-        for c in rows.itertuples(index=False):
-            a, b = held.get(c.a_id, (1500.0, 0)), held.get(c.b_id, (1500.0, 0))
-            gain = 0.0 if pd.isna(c.won_a) else k * (c.won_a - 1 / (1 + 10 ** ((b[0] - a[0]) / 400)))
-            held[c.a_id], held[c.b_id] = (a[0] + gain, a[1] + 1), (b[0] - gain, b[1] + 1)
-            touched |= {c.a_id, c.b_id}
-        state.update((list(held), [r for r, _ in held.values()], [n for _, n in held.values()]))
-        out = sorted(touched)
-        yield pd.DataFrame({"pool": key[0], "id": out, "rating": [held[i][0] for i in out], "n": [held[i][1] for i in out]})
-
-    schema = "ids array<long>, ratings array<double>, counts array<long>"
-    return stream.groupBy("pool").applyInPandasWithState(update, _RATING, schema, "update", GroupStateTimeout.NoTimeout)
-
-
-def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and return what it wrote below ``folder``.
-
-    In complete and update mode each batch replaces what the one before wrote.
+    In update mode a batch writes the rows that it changed to a folder of its
+    own, which a repeated batch replaces, and the newest row of each of ``keys``
+    is returned. In complete mode each batch replaces what the one before wrote.
     """
     spark, out = stream.sparkSession, f"{folder}/out"
     schema = stream.schema
     writer = stream.writeStream.option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True)
     if mode == "append":
         writer = writer.format("parquet").option("path", out)
+    elif mode == "update":
+        writer = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"))
     else:
         writer = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out))
     query = writer.start()
     query.awaitTermination()
-    return spark.read.schema(schema).parquet(out)
+    if mode != "update":
+        return spark.read.schema(schema).parquet(out)
+    written = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(out)
+    newest = written.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "batch").alias("row"))
+    return newest.select("row.*")

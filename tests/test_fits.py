@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import os
 import random
 
 import pytest
@@ -104,13 +105,30 @@ def test_running_ratings(spark, tmp_path):
     rows = [(r.choice("pq"), dt.date(2020, 1, 1) + dt.timedelta(days=k // 3), k, *r.sample(range(6), 2), r.choice((0, 1, None))) for k in range(90)]
     schema = "pool string, day date, contest_id long, a_id long, b_id long, won_a int"
     folder = str(tmp_path / "in")
-    for part in (rows[:40], rows[40:]):
+    os.mkdir(folder)
+    now, got = {}, {}
+    stream = spark.readStream.schema(schema).parquet(folder)
+    for part in (rows[:40], rows[40:70], rows[70:]):  # each run goes on from the checkpoint of the one before
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
-    now = {}
-    for pool, _, _, a, b, won in rows:
-        x, y = now.get((pool, a), 1500.0), now.get((pool, b), 1500.0)
-        gain = 0.0 if won is None else 24 * (won - 1 / (1 + 10 ** ((y - x) / 400)))
-        now[pool, a], now[pool, b] = x + gain, y - gain
+        for pool, _, _, a, b, won in part:
+            x, y = now.get((pool, a), 1500.0), now.get((pool, b), 1500.0)
+            gain = 0.0 if won is None else 24 * (won - 1 / (1 + 10 ** ((y - x) / 400)))
+            now[pool, a], now[pool, b] = x + gain, y - gain
+        with ledgers.rocks_state(spark):
+            found = ledgers.run_to_table(ledgers.running_ratings(stream), str(tmp_path / "out"), "update", ["pool", "id"]).collect()
+        got = {(x.pool, x.id): x.rating for x in found}
+        assert len(found) == len(got) and got.keys() == now.keys() and all(v == pytest.approx(now[k], abs=1e-9) for k, v in got.items())
+    assert {(x.pool, x.id): x.n for x in found} == {k: sum(k in ((p, a), (p, b)) for p, _, _, a, b, _ in rows) for k in now}
+
+
+def test_first_writes_of_late_rows(spark, tmp_path):
+    """Within the watermark a key is written once, rows that are too late not at all, and later keys again."""
+    schema = "key string, ts timestamp, v int"
+    folder = str(tmp_path / "in")
+    os.mkdir(folder)
     stream = spark.readStream.schema(schema).parquet(folder)
-    got = {(x.pool, x.id): x.rating for x in ledgers.run_to_table(ledgers.running_ratings(stream), str(tmp_path / "out"), "update").collect()}
-    assert got and all(v == pytest.approx(now[k], abs=1e-9) for k, v in got.items())
+    day = lambda d: dt.datetime(2024, 1, d)
+    for part in ([("a", day(1), 1), ("a", day(2), 2), ("b", day(10), 3)], [("c", day(1), 4), ("a", day(11), 5), ("b", day(11), 6)], [("d", day(25), 7)], [("b", day(26), 8)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+        found = ledgers.run_to_table(ledgers.first_write_wins(stream, "key", "ts", "3 days"), str(tmp_path / "out"))
+    assert sorted(x.v for x in found.collect()) in ([1, 3, 5, 7, 8], [2, 3, 5, 7, 8])

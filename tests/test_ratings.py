@@ -128,3 +128,15 @@ def test_trueskill(spark):
         share = 0.25 if flagged else 1.0
         now[pool, w] = (up[0] + share * vw / c * v, math.sqrt(vw * (1 - vw / c**2 * v * (v + z))))
         now[pool, lo] = (down[0] - share * vl / c * v, math.sqrt(vl * (1 - vl / c**2 * v * (v + z))))
+
+
+@pytest.mark.parametrize("by_pool, in_waves", [(ratings.elo_by_pool, ratings.elo_in_waves), (ratings.glicko_by_pool, ratings.glicko_in_waves), (ratings.trueskill_by_pool, ratings.trueskill_in_waves)])
+def test_waves_equal_pools(spark, by_pool, in_waves):
+    """Contests in waves have the ratings of a sweep through the pool, as waves keep every entity's order."""
+    r = random.Random(8)
+    rows = [(p, k, START + dt.timedelta(days=r.randrange(900)), 9 * (a // 9) + a % 9, b, w, x, f, s, t) for (p, k, _, a, b, w, x, f, s, t) in made(70, 3)]
+    rows = [(p, k, d, a + 9 * (k % 4), b + 9 * (k % 4), *rest) for p, k, d, a, b, *rest in rows]
+    want, got = rated(spark, by_pool, rows), rated(spark, in_waves, rows)
+    for k, x in want.items():
+        assert all(got[k][f] == (pytest.approx(x[f], abs=1e-9) if isinstance(x[f], float) else x[f]) for f in x.__fields__)
+    assert in_waves(spark.createDataFrame(rows, SCHEMA).limit(0)).count() == 0
