@@ -123,10 +123,11 @@ def test_transforms_of_atoms(spark):
     df = spark.createDataFrame([(k, m, w) for k, (m, w) in enumerate(zip(mixed, whole))], "id long, m double, w double")
     u = evaluate.hashed_uniform(F.col("id"))
     low = lambda x: 0.25 + 0.65 * x / 8
-    spread = math.sqrt(30 * 0.4 * 0.6)
-    normal = lambda x: 1 - F.when(x > 12, evaluate.normal_tail((x - 12) / spread)).otherwise(1 - evaluate.normal_tail((12 - x) / spread))
+    mass = [math.comb(30, k) * 0.4**k * 0.6 ** (30 - k) for k in range(31)]
+    upto = F.array(*(F.lit(sum(mass[:k])) for k in range(32)))  # the exact law, at half-way values
+    steps = lambda x: F.get(upto, F.floor(x).cast("int") + 1)
     got = df.select(
-        "id", evaluate.hurdle_pit(F.col("m"), F.lit(0.25), low, u, F.lit(8.0)).alias("a"), evaluate.hurdle_pit(F.col("m"), F.lit(0.25), low, F.lit(0.5), F.lit(8.0)).alias("b"), evaluate.discrete_pit(F.col("w"), normal, u).alias("c")
+        "id", evaluate.hurdle_pit(F.col("m"), F.lit(0.25), low, u, F.lit(8.0)).alias("a"), evaluate.hurdle_pit(F.col("m"), F.lit(0.25), low, F.lit(0.5), F.lit(8.0)).alias("b"), evaluate.discrete_pit(F.col("w"), steps, u).alias("c")
     )
     p = {c: evaluate.ks_uniform(got.withColumn("g", F.lit(c)), ["g"], c).first().p_value for c in "abc"}
     assert p["a"] > 0.01 and p["c"] > 0.01 and p["b"] < 1e-6
