@@ -4,7 +4,8 @@ Equal vectors are one representative. Representatives are dealt into shards; a
 task builds the graph of its shard and widens the search beam until the links
 of an audited sample, found by brute force, are recalled. Then every
 representative queries every shard, in blocks; a sample of each block is
-audited too, and the block is asked again with wider beams until it passes.
+audited too (of every block at first, then of blocks 1, 2, 4, 8, ...), and the
+block is asked again with wider beams until it passes.
 Candidates count only if their cosine in double precision reaches the
 threshold. Pairs never leave a task: it sums the links of each query, and emits
 only links that join two classes of what it has seen of its shard, from which
@@ -31,8 +32,11 @@ SHARD_VECTORS = 200_000
 LEAST_SHARDS = 8
 #: queries that travel as one row
 QUERY_BLOCK = 1024
-#: queries of a block that are audited
+#: queries of an audited block that are audited
 AUDITED = 32
+#: real links and queries, one of which a shard's audits reach before only blocks 1, 2, 4, 8, ... are audited
+AUDIT_LINKS = 1000
+AUDIT_QUERIES = 4096
 #: audited recall below which the operator stops
 LEAST_RECALL = 0.9
 _SLACK = 1e-4  # single-precision search, double-precision check
@@ -113,19 +117,27 @@ class _Shard:
         index.graph = [held[f"g{k}"] for k in range(len(index.tops))]
         self.ids, self.copies, self.unit, self.index, self.width = held["ids"], held["copies"], held["unit"], index, int(held["width"])
         self.parent = np.arange(len(self.ids))
+        self.blocks = self.audited = self.known = 0
 
     def ask(self, unit: np.ndarray, least: float, recall: float) -> tuple[np.ndarray, np.ndarray, int, int]:
         """(query, node) pairs of at least that cosine; real links of the audited queries, and how many were found.
 
         The beam, also that of later blocks, doubles until the audited queries
-        of the block find their links.
+        of the block find their links. Every block is audited until the audits
+        have met enough links or queries, then each whose number is a power of two.
         """
         q32 = unit.astype(np.float32)
-        sample = np.arange(0, len(unit), max(1, len(unit) // AUDITED))
-        truth = q32[sample] @ self.index.x.T >= least - _SLACK
-        rows, cols = np.nonzero(truth)
-        exact = np.einsum("ij,ij->i", unit[sample[rows]], self.unit[cols]) >= least
-        real = set(zip(sample[rows[exact]].tolist(), cols[exact].tolist()))
+        self.blocks += 1
+        due = (self.known < AUDIT_LINKS and self.audited < AUDIT_QUERIES) or not self.blocks & (self.blocks - 1)
+        sample = np.arange(0, len(unit), max(1, len(unit) // AUDITED)) if due else np.zeros(0, np.int64)
+        truth = [np.zeros((2, 0), np.int64)]
+        for at in range(0, len(self.ids) if due else 0, 1 << 15):
+            rows, cols = np.nonzero(q32[sample] @ self.index.x[at : at + (1 << 15)].T >= least - _SLACK)
+            truth.append(np.stack([sample[rows], cols + at]))
+        rows, cols = np.concatenate(truth, axis=1)
+        exact = np.einsum("ij,ij->i", unit[rows], self.unit[cols]) >= least
+        real = set(zip(rows[exact].tolist(), cols[exact].tolist()))
+        self.audited, self.known = self.audited + len(sample), self.known + len(real)
         while True:
             q, node = self.index.within(q32, least - _SLACK, self.width)
             exact = np.einsum("ij,ij->i", unit[q], self.unit[node]) >= least
@@ -152,7 +164,7 @@ class _Shard:
             # queries in growing batches: after the first ones most nodes of a group have one root
             stop = edges[at + step] if at + step < len(edges) else len(q)
             low = edges[at]
-            while (up := self.parent[self.parent]).tolist() != self.parent.tolist():
+            while not np.array_equal(up := self.parent[self.parent], self.parent):
                 self.parent = up
             some = np.stack([q[low:stop], self.parent[node[low:stop]]], axis=1)
             _, first = np.unique(some, axis=0, return_index=True)

@@ -172,6 +172,17 @@ class Hnsw:
                 out_n.append(cols + at)
         return np.concatenate(out_q), np.concatenate(out_n)
 
+    def links_of(self, nodes: np.ndarray, least: float, block: int = 1 << 14) -> np.ndarray:
+        """(place in nodes, other node) of at least that similarity, by products with blocks of the shard."""
+        out = [np.zeros((2, 0), np.int64)]
+        for k in range(0, len(nodes), 256):
+            some = nodes[k : k + 256]
+            for at in range(0, len(self.x), block):
+                i, j = np.nonzero(self.x[some] @ self.x[at : at + block].T >= least)
+                apart = some[i] != j + at
+                out.append(np.stack([i[apart] + k, j[apart] + at]))
+        return np.concatenate(out, axis=1)
+
     def fitting_beam(self, least: float, order: np.ndarray, recall: float, width: int = 12, real: int = 200, most: int = 4096) -> int:
         """Smallest doubled beam that recalls the audited nodes' links to others.
 
@@ -179,18 +190,18 @@ class Hnsw:
         ``real`` links or ``most`` nodes were taken. With fewer links the beam is
         four times as wide as the last that passed.
         """
-        size = min(128, len(order))
-        while True:
-            sample = order[:size]
-            truth = self.x[sample] @ self.x.T >= least
-            truth[np.arange(len(sample)), sample] = False
-            if truth.sum() >= real or size >= min(most, len(order)):
-                break
-            size = min(2 * size, most, len(order))
-        n = int(truth.sum())
+        size, done = min(128, len(order)), 0
+        links = [np.zeros((2, 0), np.int64)]
+        while done < size:
+            links.append(self.links_of(order[done:size], least) + np.array([[done], [0]]))
+            done = size
+            if sum(x.shape[1] for x in links) < real:
+                size = min(2 * size, most, len(order))
+        sample, (asker, other) = order[:done], np.concatenate(links, axis=1)
+        n, truth = len(asker), asker * len(self.x) + other
         while width < len(self.x) and n:
             q, node = self.within(self.x[sample], least, width)
-            if truth[q, node].sum() >= recall * n:
+            if np.isin(q * len(self.x) + node, truth).sum() >= recall * n:
                 break
             width *= 2
         return width if n >= real else 4 * width

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -301,11 +301,14 @@ def score(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFram
 
     ``row`` holds the other columns, so that no name clashes; ``loss`` is in nats,
     null without a model of the language or without characters. Rows are dealt
-    to blocks by number, so repeated rows never gather in one.
+    to blocks by a hash of doc_id (if there is one), text and partition, which is
+    the same when a lost task is run again in another order; copies with ids of
+    their own never gather in a block, repeated rows only those of a partition.
     """
     docs = in_small_batches(docs)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    block = F.pmod(F.monotonically_increasing_id(), F.lit(max(1, -(-size // BLOCK_BYTES))))
+    marks = [F.col("row").getField(c) for c in ("doc_id",) if c in docs.columns]
+    block = F.pmod(F.xxhash64(*marks, F.col("text"), F.spark_partition_id()), F.lit(max(1, -(-size // BLOCK_BYTES))))
     rows = nested(docs, "text", "lang").select("row", "text", F.col("lang").cast("string").alias("lang"), block.alias("block"))
     dealt = rows.groupBy("block")
     order = len(model)
@@ -323,12 +326,26 @@ def _language() -> Column:
     return F.coalesce("lang", F.lit(NO_LANGUAGE))
 
 
+def _quantile(values: DataFrame, q: float, steps: int) -> DataFrame:
+    """``lang, at, n``: of each language's values x the least that q of its n values don't exceed, to 1 / steps.
+
+    Values are counted on a fixed grid, so the order in which tasks end has no
+    part in it, and no task holds them all.
+    """
+    cells = values.groupBy("lang", F.floor(F.col("x") * steps).alias("cell")).agg(F.count("*").alias("c"), F.max("x").alias("x"))
+    whole = Window.partitionBy("lang")
+    upto = whole.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = cells.select("lang", "x", F.sum("c").over(upto).alias("upto"), F.sum("c").over(whole).alias("n"))
+    return counted.where(F.col("upto") >= q * F.col("n")).groupBy("lang", "n").agg(F.min("x").alias("at"))
+
+
 def language_limits(scored: DataFrame, quantile: float = 0.98, least_docs: int = 10) -> DataFrame:
     """``lang, centre, spread`` from scored trusted documents; languages with fewer than ``least_docs`` have none."""
-    scored = scored.where("chars > 0 AND loss IS NOT NULL").select(_language().alias("lang"), (F.col("loss") / F.col("chars")).alias("mean"), "chars")
-    centre = scored.groupBy("lang").agg(F.percentile_approx("mean", 0.5, 10_000).alias("centre"), F.count("*").alias("n")).where(F.col("n") >= least_docs).drop("n")
-    excess = (F.col("mean") - F.col("centre")) * F.sqrt("chars")
-    return scored.join(small(centre), "lang").groupBy("lang", "centre").agg(F.percentile_approx(excess, quantile, 10_000).alias("spread"))
+    scored = scored.where("chars > 0 AND loss IS NOT NULL").select(_language().alias("lang"), (F.col("loss") / F.col("chars")).alias("x"), "chars")
+    centre = _quantile(scored, 0.5, 1 << 20).where(F.col("n") >= least_docs).select("lang", F.col("at").alias("centre"))
+    excess = scored.join(small(centre), "lang").select("lang", "centre", ((F.col("x") - F.col("centre")) * F.sqrt("chars")).alias("x"))
+    spread = _quantile(excess.select("lang", "x"), quantile, 1 << 16).select("lang", F.col("at").alias("spread"))
+    return centre.join(spread, "lang")
 
 
 def judge(scored: DataFrame, limits: DataFrame) -> DataFrame:
@@ -354,7 +371,7 @@ def fit(docs: DataFrame, labels: DataFrame, order: int = 3, quantile: float = 0.
     trusted = docs.select("doc_id", _language().alias("lang"), "text").join(small(checkpointed(trusted_ids(labels))), "doc_id", "left_semi")
     held = F.pmod(F.xxhash64("text"), F.lit(held_out)) == 0
     model = train(trusted.where(~held).select("lang", "text"), order)
-    return model, checkpointed(language_limits(score(trusted.where(held).select("lang", "text"), model), quantile))
+    return model, checkpointed(language_limits(score(trusted.where(held).select("doc_id", "lang", "text"), model), quantile))
 
 
 def classify(docs: DataFrame, labels: DataFrame, order: int = 3, quantile: float = 0.98) -> DataFrame:

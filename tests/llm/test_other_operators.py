@@ -247,3 +247,32 @@ def test_verdicts_against_plain_counting(spark, words, tmp_path):
                 assert got[k].perplexity == pytest.approx(math.exp(mean)) and (limit is None or got[k].limit == pytest.approx(math.exp(limit)))
                 assert limit is None or abs(mean - limit) < 1e-9 or got[k].keep == (mean <= limit)
     assert got[201].keep and got[202].keep and not got[200].keep
+
+
+def test_limits_are_quantiles_of_all_scores(spark):
+    from priorwise.llm.quality import _quantile
+
+    values = [("a", k * 0.37 % 5.0) for k in range(501)] + [("b", 2.5)] * 30 + [("b", -1.0)]
+    got = {v.lang: v for v in _quantile(spark.createDataFrame(values, "lang string, x double").repartition(7), 0.9, 1 << 20).collect()}
+    for lang in "ab":
+        mine = sorted(x for name, x in values if name == lang)
+        at = next(x for k, x in enumerate(mine, 1) if k >= 0.9 * len(mine))
+        assert got[lang].n == len(mine) and abs(got[lang]["at"] - at) < 2e-6
+
+
+def test_audits_find_links_in_blocks():
+    import numpy as np
+
+    from priorwise.llm.hnsw import Hnsw
+
+    x = np.random.default_rng(1).normal(size=(700, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = Hnsw(x, np.arange(700, dtype=np.uint64) * np.uint64(2**54))
+    nodes = np.arange(300)
+    i, j = index.links_of(nodes, 0.7, block=128)
+    truth = index.x[nodes] @ index.x.T >= 0.7
+    truth[nodes, nodes] = False
+    assert set(zip(i.tolist(), j.tolist())) == set(zip(*(v.tolist() for v in np.nonzero(truth))))
+    width = index.fitting_beam(0.7, np.arange(700), 0.99)
+    q, node = index.within(index.x, 0.7, width)
+    assert len(set(zip(q.tolist(), node.tolist()))) >= 0.97 * int((index.x @ index.x.T >= 0.7).sum())

@@ -78,4 +78,4 @@ def test_pipeline(spark, tmp_path, words):
 
 
 def test_the_query_is_registered():
-    assert len(corpus_pipeline.STAGES) == 5 and {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES}
+    assert len(corpus_pipeline.STAGES) == 5 and {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in queries.QUERIES}
