@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from priorwise.operators.lineage import checkpointed, shared_folder
 
-__all__ = ["checkpointed", "in_small_batches", "nested", "shared_folder", "small", "stored", "unnested"]
+__all__ = ["checkpointed", "in_small_batches", "joined_by_spread_key", "nested", "shared_folder", "small", "stored", "unnested"]
 
 #: bytes of narrow tables that are broadcast at most
 SMALL_BYTES = 32 << 20
+#: rows of one key that a task meets in a join at most
+HOT_ROWS = 1 << 20
 #: rows of texts that travel between Spark and Python at once
 BATCH_ROWS = 1000
 
@@ -24,6 +26,27 @@ def small(df: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
     return F.broadcast(df) if size[0] * (16 + 8 * len(df.columns)) + sum(x or 0 for x in size[1:]) <= most else df
 
 
+def joined_by_spread_key(rows: DataFrame, classes: DataFrame, key: str, most: int = HOT_ROWS) -> DataFrame:
+    """``rows`` with the columns of their class; no task meets more than about ``most`` rows of one key.
+
+    ``classes`` holds each key once and ``n_rows``, how many of the rows have
+    it, which is left out of the result. A key with more rows than ``most`` is
+    repeated once for every ``most`` of them, and its rows are dealt to these
+    by a hash of their place, so that repeated rows spread too: ``rows`` must be
+    a checkpoint or a stored table, whose rows keep their places when a task is
+    run again. There is one such key for every ``most`` rows at most; that
+    table is broadcast if its bytes are few.
+    """
+    splits = F.ceil(F.col("n_rows") / most).cast("int")
+    hot = checkpointed(classes.where(F.col("n_rows") > most).select(key, splits.alias("splits")))
+    if hot.isEmpty():
+        return rows.join(classes.drop("n_rows"), key)
+    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("splits", F.lit(1))).cast("int")
+    spread = rows.join(small(hot), key, "left").withColumn("part", dealt).drop("splits")
+    repeated = classes.withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(splits, F.lit(1)) - 1))).drop("n_rows")
+    return spread.join(repeated, [key, "part"]).drop("part")
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once as a Parquet table of the shared folder and read from there; smaller than a checkpoint."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"

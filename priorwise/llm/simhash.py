@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from priorwise.llm.components import components
-from priorwise.llm.shared import checkpointed, in_small_batches, nested, small, unnested
+from priorwise.llm.shared import checkpointed, in_small_batches, joined_by_spread_key, nested, small, unnested
 from priorwise.llm.text_blocks import LOWER, NOT_SPACE, blocks, ragged, word_spans
 
 SEED = 42
@@ -311,12 +311,12 @@ def hex_fingerprint(fp: Column) -> Column:
 
 
 def _classes(prints: DataFrame, radius: int) -> DataFrame:
-    """``fp, component_id, component``: the smallest doc_id and fingerprint that links reach from each fingerprint."""
-    classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    """``fp, component_id, component, n_rows``: the smallest doc_id and fingerprint that links reach from each fingerprint, and how many rows have it."""
+    classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_rows")))
     found = components(near_links(classes, radius), "a", "b").select(F.col("node").alias("fp"), "component")
     grouped = classes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    return grouped.join(smallest, "component").select("fp", "component_id", "component")
+    return grouped.join(smallest, "component").select("fp", "component_id", "component", "n_rows")
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
@@ -328,7 +328,8 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFr
     smallest, and a group without any other has a null component.
     """
     prints = checkpointed(fingerprints(docs, shingle))
-    return prints.join(_classes(prints, radius).drop("component"), "fp").select("doc_id", "fp", "component_id")
+    classes = checkpointed(_classes(prints, radius).drop("component"))
+    return joined_by_spread_key(prints, classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
