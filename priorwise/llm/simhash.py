@@ -145,6 +145,8 @@ def estimate(n: int, both: np.ndarray, bits: list[int], threshold: int) -> float
     """Estimated cost of a part: keys written, and pairs within ``threshold`` differing bits of it."""
     if threshold < 0:
         return 0.0
+    if threshold > len(bits):
+        return float("inf")
     p = np.diag(both)[bits] / max(n, 1)
     agree = p * p + (1 - p) * (1 - p)
     # distribution of the number of differing bits of a random pair

@@ -27,3 +27,13 @@ def test_empty_tables(spark):
     rows = checkpointed(spark.range(0).select(F.col("id").alias("k")))
     classes = spark.sql("SELECT 1L AS k, 0L AS n_rows, 2 AS c").where("false")
     assert joined_by_spread_key(rows, classes, "k", 1).count() == 0
+
+
+def test_a_plan_of_a_large_radius():
+    import numpy as np
+
+    from priorwise.llm.simhash import plan_parts
+
+    for radius in (0, 3, 15):
+        plan = plan_parts(1000, np.full((64, 64), 250.0) + np.eye(64) * 250.0, radius)
+        assert sum(t + 1 for _, t in plan) == radius + 1 and all(t <= len(bits) for bits, t in plan)
