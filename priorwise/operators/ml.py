@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -40,13 +40,28 @@ def _learner(kind: str, label: str, weight: str | None):
 
 
 def fit_scores(train: DataFrame, rows: DataFrame, features: Sequence[str], label: str, kind: str = "logistic", weight: str | None = None) -> DataFrame:
-    """``rows`` with the score of a model of the training rows."""
+    """``rows`` with the score of a model of the training rows.
+
+    A logistic model of two labels is an expression of its coefficients: rows
+    are scored without the model itself, so no plan has to carry it to the tasks.
+    """
     columns = rows.columns
     model = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="__v"), _learner(kind, label, weight)]).fit(filled(train, features).withColumn(label, F.col(label).cast("double")))
+    if kind != "gbt" and model.stages[-1].numClasses <= 2:
+        return rows.select(*(F.col(f"`{c}`") for c in columns), _logistic_score(model.stages[-1], features).alias("score"))
     out = model.transform(filled(rows, features))
     return out.select(*columns, vector_to_array("probability")[1].alias("score"))
 
 
+def _logistic_score(fitted: LogisticRegressionModel, features: Sequence[str]) -> Column:
+    """Probability of label 1; null features are 0, as in training."""
+    factors = F.array(*(F.lit(float(c)) for c in fitted.coefficients.toArray()))
+    values = F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features))
+    terms = F.zip_with(factors, values, lambda a, b: a * b)
+    z = F.aggregate(terms, F.lit(0.0), lambda a, b: a + b, lambda a: a + F.lit(float(fitted.intercept)))
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+
+
 def out_of_fold(df: DataFrame, key: str, features: Sequence[str], label: str, folds: int = 3, kind: str = "logistic") -> DataFrame:
     """Every row scored by a model that did not see it; folds come from a hash of the key."""
     fold = F.pmod(F.xxhash64(key), F.lit(folds))

@@ -132,3 +132,23 @@ def test_first_writes_of_late_rows(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
         found = ledgers.run_to_table(ledgers.first_write_wins(stream, "key", "ts", "3 days"), str(tmp_path / "out"))
     assert sorted(x.v for x in found.collect()) in ([1, 3, 5, 7, 8], [2, 3, 5, 7, 8])
+
+
+@pytest.mark.parametrize("labels", ["both", "ones", "zeros"])
+def test_logistic_scores_need_no_model_in_their_plan(spark, labels):
+    """Scores are those of Spark's own model, and no function that holds a model is shipped to tasks."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    r = random.Random(4)
+    y = {"both": lambda x: int(r.random() < 1 / (1 + 2.7 ** (-x))), "ones": lambda x: 1, "zeros": lambda x: 0}[labels]
+    rows = [(k, x := r.uniform(-3, 3), None if k % 9 == 0 else r.uniform(0, 1), y(x), r.uniform(0.1, 1)) for k in range(200)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, y int, w double")
+    got = ml.fit_scores(df, df, ["a", "b"], "y", weight="w")
+    assert "UDF" not in got._jdf.queryExecution().toString()
+    known = df.fillna(0.0, ["a", "b"]).withColumn("y", F.col("y").cast("double"))
+    model = Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="v"), LogisticRegression(featuresCol="v", labelCol="y", weightCol="w", maxIter=50, regParam=1e-3)]).fit(known)
+    want = {x.id: x.p for x in model.transform(known).select("id", vector_to_array("probability")[1].alias("p")).collect()}
+    assert {x.id: pytest.approx(x.score, abs=1e-12) for x in got.collect()} == want
