@@ -209,3 +209,14 @@ def test_picks(spark):
     got = {r.g: r for r in evaluate.pick_record(spark.createDataFrame(rows, "g string, p double, y int"), ["g"], "p", "y").collect()}
     assert (got["g"].picks, got["g"].pick_rate, got["g"].proven) == (70, 1.0, True) and got["g"].low > 0.9
     assert (got["h"].picks, got["h"].pick_rate, got["h"].low, got["h"].proven) == (0, None, None, False)
+
+
+def test_folds_of_time_are_scored_without_the_models(spark):
+    """No fold's plan carries a function that holds its model."""
+    r = random.Random(8)
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=k) for k in range(120)]
+    df = spark.createDataFrame([(k, days[k // 3], x := r.uniform(-1, 1), int(x + r.uniform(-1, 1) > 0)) for k in range(360)], "id int, day date, x double, y int")
+    got = ml.out_of_time(df, ["x"], "y", "day", 3, 10, half_life=30.0)
+    assert "UDF" not in got._jdf.queryExecution().toString()
+    scores = [(g.fold, g.score) for g in got.collect()]
+    assert len(scores) == 360 and all((s is None) == (f == 0) for f, s in scores)
