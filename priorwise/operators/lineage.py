@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,11 +30,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def counted(df: DataFrame, kept: Column | None = None, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
-    """Rows of ``df`` (those where ``kept`` holds), and counts over all of them from the same pass, also when they are 0."""
-    seen = Observation()
-    watched = df.observe(seen, *(F.count_if(c).alias(n) for n, c in counts.items()))
-    rows = checkpointed(watched if kept is None else watched.where(kept))
-    return rows, {n: int(x) for n, x in seen.get.items()}
+    """Rows of ``df`` (those where ``kept`` holds), and counts over all of them, also when they are 0.
+
+    ``df`` is computed once; rows and counts are read from its checkpoint. An
+    ``Observation`` would count in the same pass, but leaves a manager in the session
+    that cannot be serialised, and Spark's binary logistic models carry their session
+    to the tasks: none could be applied after it.
+    """
+    rows = checkpointed(df)
+    found = rows.agg(*(F.count_if(c).alias(n) for n, c in counts.items())).first()
+    return rows if kept is None else rows.where(kept), {n: int(x) for n, x in found.asDict().items()}
 
 
 def removed(spark: SparkSession, path: str) -> None:

@@ -90,7 +90,7 @@ def clean_labels(df: DataFrame, outcome: str, label: str, flagged: str | None =
 
 
 def dated(df: DataFrame, date: str) -> tuple[DataFrame, int]:
-    """Rows with a date, and the number of those dropped, counted in the pass that drops them."""
+    """Rows with a date, and the number of those dropped; ``df`` is computed once."""
     kept, counts = counted(df, F.col(date).isNotNull(), undated=F.col(date).isNull())
     return kept, counts["undated"]
 

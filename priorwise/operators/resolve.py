@@ -144,7 +144,7 @@ def tripwire(df: DataFrame, curated: DataFrame, key: str, text: str, words: Sequ
 
 
 def counted_tripwire(df: DataFrame, curated: DataFrame, key: str, text: str, words: Sequence[str]) -> tuple[DataFrame, dict[str, int]]:
-    """``tripwire`` and its counts of flagged and of uncurated rows, which every run reports, from the same pass."""
+    """``tripwire`` and its counts of flagged and of uncurated rows, which every run reports; ``df`` is computed once."""
     return counted(tripwire(df, curated, key, text, words), flagged=F.col("flag"), uncurated=F.col("is_uncurated"))
 
 

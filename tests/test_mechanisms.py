@@ -175,6 +175,19 @@ def test_counts_in_one_pass(spark, tmp_path):
     assert lineage.counted(words, None, none=F.col("name") == "x")[1] == {"none": 0}
 
 
+def test_models_are_applied_after_counts(spark):
+    """Counting leaves nothing in the session that Spark's own binary logistic models cannot carry to the tasks."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    session = spark.newSession()
+    rows = session.createDataFrame([(k, k % 7 + 0.5 * (k % 2), k % 2, dt.date(2020, 1, 1) if k % 3 else None) for k in range(40)], "id long, x double, y int, day date")
+    kept, undated = records.dated(rows, "day")
+    assert undated == 14
+    known = VectorAssembler(inputCols=["x"], outputCol="v").transform(kept.withColumn("y", F.col("y").cast("double")))
+    assert len(LogisticRegression(featuresCol="v", labelCol="y").fit(known).transform(known).collect()) == 26
+
+
 def test_regrading_touches_its_days(spark, tmp_path):
     """Only days whose rows differ are written; a second run writes nothing."""
     path = str(tmp_path / "log")
