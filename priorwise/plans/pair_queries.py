@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from priorwise.functions import maths
 from priorwise.operators import network, pairs, ratings, stats
 from priorwise.operators import windows as w
+from priorwise.operators.lineage import checkpointed
 from priorwise.plans.views import CONTESTS_SQL, PERSPECTIVES_SQL, contests, rounded, table
 
 
@@ -76,7 +77,8 @@ def career_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def common_opponents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = network.common_opponents(w.chronological_rank(pairs.perspectives(contests(spark, sf_dir)), "day"))
+    met = checkpointed(contests(spark, sf_dir).select("contest_id", "day", "a_id", "b_id", "won_a"))
+    out = network.common_opponents(w.chronological_rank(pairs.perspectives(met, measures=()), "day"))
     return out.select("contest_id", "entity", rounded(F.col("advantage")).alias("advantage"), "n_common")
 
 

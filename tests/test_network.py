@@ -3,6 +3,8 @@
 import os
 import random
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +86,34 @@ def test_joined_rows_follow_the_ledger(spark):
     assert counts[0] <= 12 * 11 * 8 and counts[1] < 5 * counts[0]
 
 
+def test_many_entities_are_sent_few_times(spark, monkeypatch):
+    """Of many entities a result travels to a few cells, not to every contest of its entity, and no cell holds a large share."""
+    monkeypatch.setattr(network, "BLOCK_SIDES", 500)
+    monkeypatch.setattr(network, "CELL_ROWS", 1000)
+    r = random.Random(6)
+    names = list(range(600))
+    schema = "contest_id long, entity long, opponent long, won int, event_rank long"
+    for mixed in (False, True):
+        if mixed:
+            r.shuffle(names)  # those who meet are no longer neighbours by name
+        rows = []
+        for c in range(3600):
+            a, b = (names[c % 60 * 10 + k] for k in r.sample(range(10), 2))
+            won = r.choice((0, 1, None))
+            rows += [(c, a, b, won, c // 90), (c, b, a, None if won is None else 1 - won, c // 90)]
+        ledger, want = spark.createDataFrame(rows, schema), expected(rows)
+        for sides in (None, 700):
+            got = {(x.contest_id, x.entity): (round(x.advantage, 6) + 0.0, x.n_common) for x in network.common_opponents(ledger, block_sides=sides).collect()}
+            assert got.keys() == want.keys() and all(got[k] == (pytest.approx(want[k][0], abs=2e-6), want[k][1]) for k in want)
+        sides = ledger.selectExpr("contest_id __c", "entity who", "opponent met", "event_rank __r", "double(won) won", "1d weight", "0 __b")
+        packed = [(x.x, x.y, pa.ipc.open_stream(x.payload).read_all()) for x in network._cells(sides, None, 15).collect()]
+        sizes = {}
+        for x, y, t in packed:
+            sizes[x, y] = sizes.get((x, y), 0) + t.num_rows
+        assert sum(pc.sum(t.column("side")).as_py() for *_, t in packed) == len(rows)
+        assert max(sizes.values()) < 1.5 * 2 * len(rows) / 15 and (mixed or sum(sizes.values()) < 2 * len(rows))
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_whole_tables(spark):
     from priorwise.operators import pairs
