@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from priorwise.functions.maths import interp, running_max
+from priorwise.functions.maths import interp, once, running_max
 
 
 def hurdle_cdf(x: Column, p_zero: Column, qs: Column, values: Column) -> Column:
@@ -57,31 +57,42 @@ def duration_cdf_with_boundaries(t: Column, p_full: Column, qs: Column, values:
     """``duration_cdf`` where the share ``mass`` of the early ends falls on the boundaries (rising, below the end), evenly."""
     n = F.size(boundaries)
     share = F.when(n > 0, mass).otherwise(F.lit(0.0))
-    passed = F.aggregate(boundaries, F.lit(0.0), lambda acc, b: acc + (b <= t).cast("double"))
-    early = (1 - share) * interp(t, values, qs) + share * passed / F.greatest(n, F.lit(1))
-    return F.when(t >= end, 1.0).when(t < 0, 0.0).otherwise((1 - p_full) * early)
+
+    def law(t: Column) -> Column:
+        passed = F.aggregate(boundaries, F.lit(0.0), lambda acc, b: acc + (b <= t).cast("double"))
+        early = (1 - share) * interp(t, values, qs) + share * passed / F.greatest(n, F.lit(1))
+        return F.when(t >= end, 1.0).when(t < 0, 0.0).otherwise((1 - p_full) * early)
+
+    return once(t, law)
 
 
 def duration_quantile_with_boundaries(q: Column, p_full: Column, qs: Column, values: Column, end: Column, mass: Column, boundaries: Column) -> Column:
     """The least t at which that law reaches q: on a boundary's atom, between two of them by the grid, or at the end.
 
     Between boundaries the atoms passed are constant, so the grid is inverted
-    for what is left of q.
+    for what is left of q. The grid is read once at each edge.
     """
     n = F.size(boundaries)
     share = F.when(n > 0, mass).otherwise(F.lit(0.0))
-    law = lambda t: duration_cdf_with_boundaries(t, p_full, qs, values, end, mass, boundaries)
-    edges = F.concat(F.array(F.lit(0.0)), boundaries)
+    edges = F.concat(F.array(F.lit(0.0)), boundaries, F.array(end))
+
+    def least(v: Column) -> Column:
+        left = 1 - v["p"]
+
+        def found(at: Column) -> Column:
+            def within(low: Column, k: Column) -> Column:
+                passed = v["share"] * k / F.greatest(n, F.lit(1))
+                early = lambda k: left * ((1 - v["share"]) * F.get(at, k) + passed)
+                reached = F.when(low >= end, 1.0).otherwise(early(k))  # just below the next edge it is early(k + 1)
+                high = F.get(v["edges"], k + 1)
+                inside = interp((v["q"] / left - passed) / (1 - v["share"]), qs, values)
+                return F.when(k > n, F.lit(None)).when(reached >= v["q"], low).when(early(k + 1) >= v["q"], F.least(F.greatest(inside, low), high))
 
-    def within(low: Column, k: Column) -> Column:
-        passed = share * k / F.greatest(n, F.lit(1))
-        inside = interp((q / (1 - p_full) - passed) / (1 - share), qs, values)
-        high = F.when(k < n, F.get(boundaries, k)).otherwise(end)
-        before = (1 - p_full) * ((1 - share) * interp(high, values, qs) + passed)  # just below the next edge
-        return F.when(law(low) >= q, low).when(before >= q, F.least(F.greatest(inside, low), high))
+            return F.least(F.coalesce(F.array_min(F.transform(v["edges"], within)), end), end)
 
-    found = F.array_min(F.transform(edges, within))
-    return F.when(q > 1 - p_full, end).otherwise(F.least(F.coalesce(found, end), end))
+        return F.when(v["q"] > left, end).otherwise(once(F.transform(v["edges"], lambda e: interp(e, values, qs)), found))
+
+    return once(F.struct(q.alias("q"), p_full.alias("p"), share.alias("share"), edges.alias("edges")), least)
 
 
 def mixture(weights: Column, cdfs: Column) -> Column:
@@ -95,10 +106,13 @@ def inverse_on_grid(levels: Column, grid: Column, cdf: Column, ceiling: Column |
     With a ceiling the law is that of values at or below it: the CDF is scaled
     to reach one there.
     """
-    up = running_max(cdf)
-    top = F.array_max(cdf) if ceiling is None else interp(ceiling, grid, up)
     capped = lambda x: x if ceiling is None else F.least(x, ceiling)
-    return F.transform(levels, lambda q: capped(interp(q * top, up, grid)))
+
+    def at_levels(law: Column) -> Column:
+        top = F.array_max(law["up"]) if ceiling is None else interp(ceiling, law["grid"], law["up"])
+        return once(top, lambda top: F.transform(levels, lambda q: capped(interp(q * top, law["up"], law["grid"]))))
+
+    return once(F.struct(running_max(cdf).alias("up"), grid.alias("grid")), at_levels)
 
 
 def curve(df: DataFrame, keys: Sequence[str], points: Column, cdf) -> DataFrame:

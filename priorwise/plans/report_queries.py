@@ -31,10 +31,9 @@ def boundary_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     law = (F.col("l_linenumber") / 10, numbers(0, 0.5, 1), numbers(0, 300, 900), F.lit(900.0), F.lit(0.2), numbers(300, 600))
     q = (F.col("l_orderkey") % 19 + 0.5) / 20
     under = dist.inverse_on_grid(numbers(0.25, 0.5, 0.9), numbers(0, 10, 20, 60), numbers(0, 0.3, 0.6, 1), F.col("l_quantity"))
-    return li.select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", rounded(dist.duration_cdf_with_boundaries(F.col("l_quantity") * 20, *law)).alias("cdf"),
-        rounded(dist.duration_quantile_with_boundaries(q, *law), 4).alias("quantile"), *(rounded(F.get(under, F.lit(k)), 4).alias(n) for k, n in enumerate(("q25", "q50", "q90"))),
-    )
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    read = li.select(*keys, dist.duration_cdf_with_boundaries(F.col("l_quantity") * 20, *law).alias("cdf"), dist.duration_quantile_with_boundaries(q, *law).alias("quantile"), under.alias("under"))
+    return read.select(*keys, rounded(F.col("cdf")).alias("cdf"), rounded(F.col("quantile"), 4).alias("quantile"), *(rounded(F.get("under", F.lit(k)), 4).alias(n) for k, n in enumerate(("q25", "q50", "q90"))))
 
 
 def blend_three(spark: SparkSession, sf_dir: str) -> DataFrame:

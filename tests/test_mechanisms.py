@@ -5,6 +5,7 @@ import math
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
@@ -161,6 +162,27 @@ def test_ceiling(spark):
     assert inverse(None) == [0.0, 10.0, 20.0] and inverse(F.lit(10.0)) == [0.0, 5.0, 10.0] and inverse(F.lit(99.0)) == [0.0, 10.0, 20.0]
 
 
+def test_curves_are_read_once(spark):
+    """Curves read at points that are themselves read from curves; every expression stands in the plan once for each reading."""
+    from priorwise.functions import maths
+
+    assert spark.range(50).select(maths.once(F.rand(1), lambda v: v - v).alias("x")).distinct().collect()[0].x == 0
+    numbers = lambda *x: F.array(*(F.lit(float(v)) for v in x))
+    x, ys = F.col("id") / 10, [0.0, 0.5, 0.75, 1.0]
+    for _ in range(6):
+        x = maths.interp(x, numbers(0, 0.25, 0.5, 1), numbers(*ys))
+    read = spark.range(12).select("id", x.alias("x"))
+    expected = [k / 10 for k in range(12)]
+    for _ in range(6):
+        expected = [float(np.interp(v, [0, 0.25, 0.5, 1], ys)) for v in expected]
+    assert [r.x for r in read.orderBy("id").collect()] == pytest.approx(expected)
+    law = (F.lit(0.3), numbers(0, 0.4, 1), numbers(30, 200, 890), F.lit(900.0), F.lit(0.25), numbers(300, 600))
+    curves = spark.range(3).select(dist.duration_quantile_with_boundaries(F.col("id") / 5, *law), dist.inverse_on_grid(numbers(0.25, 0.5), numbers(0, 10, 20), numbers(0, 0.5, 1), F.col("id") * 9.0))
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString().count("lambdafunction(")
+    assert plan(read) < 30 and plan(curves) < 80, plan(curves)
+    assert spark.range(1).select(maths.interp(F.lit(None).cast("double"), numbers(0, 1), numbers(0, 1)).alias("x")).first().x is None
+
+
 def test_counts_in_one_pass(spark, tmp_path):
     """Kept rows and counts come from one scan, also where nothing is counted."""
     path = str(tmp_path / "t")
